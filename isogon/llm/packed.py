@@ -18,10 +18,13 @@ Null texts are empty: only the end id. Equal rows stay separate rows."""
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -139,32 +142,98 @@ class Reader:
         self.file.close()
 
 
+#: Parts of a text that are plain enough to be cut here: ASCII and Latin-1 letters.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*").fullmatch
+#: What the tokenizer's own pattern cuts such a part into, when in lower case.
+_CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
+#: How the tokenizer must be set up for this to hold.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class Tokens:
-    """A tokenizer of the tokenizers library, with the ids of the parts met so far."""
+    """A tokenizer of the tokenizers library, with the ids of the parts met so far.
+
+    If the vocabulary marks word ends and cuts by the pattern above, plain parts are
+    cut into words here and words new to this worker go to the tokenizer by hundreds
+    in one text, whose ids the marks tell apart. Other parts go one by one."""
 
     def __init__(self, path: str, room: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.room = Tokenizer.from_file(path), room
+        with open(path, encoding="utf-8") as f:
+            setup = json.load(f)
+        steps = [setup.get("pre_tokenizer") or {}, *((setup.get("pre_tokenizer") or {}).get("pretokenizers") or [])]
+        mark = setup["model"].get("end_of_word_suffix")
+        kinds = [x.get("type") for x in (setup.get("normalizer") or {}).get("normalizers") or []]
+        self.by_words = bool(mark) and kinds == ["NFC", "Replace", "Lowercase"] and any((x.get("pattern") or {}).get("Regex") == _PATTERN and x.get("invert") for x in steps)
+        if self.by_words:
+            vocabulary = self.tokenizer.get_vocab()
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[i for t, i in vocabulary.items() if t.endswith(mark)]] = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
+        self.clear_words()
 
     def clear(self) -> None:
         self.at, self.flat, self.start = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def clear_words(self) -> None:
+        self.word, self.word_flat, self.word_start = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _singly(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum())), sizes
+
+    def _by_words(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.word) > self.room:
+            self.clear_words()
+        cut = [_CUT(p.lower()) for p in parts]
+        new = list(set(chain.from_iterable(cut)) - self.word.keys())
+        if new:
+            texts = [" ".join(new[i : i + 500]) for i in range(0, len(new), 500)]
+            flat = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+            ends = np.flatnonzero(self.last[flat]) + 1
+            if len(ends) != len(new) or ends[-1] != len(flat):
+                raise RuntimeError("the tokenizer cuts words in another way than expected")
+            self.word.update(zip(new, range(len(self.word), len(self.word) + len(new)), strict=True))
+            self.word_flat = np.concatenate([self.word_flat, flat])
+            self.word_start = np.concatenate([self.word_start, self.word_start[-1] + ends])
+        counts = np.fromiter(map(len, cut), np.int64, len(cut))
+        which = np.fromiter(map(self.word.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
+        flat, sizes = gather(self.word_flat, self.word_start, None, which)
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        ends = np.cumsum(counts)
+        return flat, total[ends] - total[ends - counts]
+
+    def _learn(self, parts: list[str]) -> None:
+        plain = [p for p in parts if self.by_words and _PLAIN(p) and not any(x in p for x in self.special)]
+        if len(plain) < len(parts):
+            rest = list(set(parts).difference(plain))
+        else:
+            rest = []
+        for group, how in ((plain, self._by_words), (rest, self._singly)):
+            if group:
+                flat, sizes = how(group)
+                self.at.update(zip(group, range(len(self.at), len(self.at) + len(group)), strict=True))
+                self.flat = np.concatenate([self.flat, flat])
+                self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, how many each has)."""
         if len(self.at) > self.room:
             self.clear()
         docs = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(dict.fromkeys(w for d in docs for w in d if w not in self.at))
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            self.at.update(zip(part, range(len(self.at), len(self.at) + len(part)), strict=True))
-            ends = np.cumsum([len(x) for x in got])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in got for i in x), np.uint32, int(ends[-1]))])
-            self.start = np.concatenate([self.start, self.start[-1] + ends])
-        return [gather(self.flat, self.start, None, np.fromiter(map(self.at.__getitem__, d), np.int64, len(d)))[0] for d in docs]
+        parts = list(chain.from_iterable(docs))
+        new = list(set(parts) - self.at.keys())
+        for a in range(0, len(new), 100_000):
+            self._learn(new[a : a + 100_000])
+        ids, sizes = gather(self.flat, self.start, None, np.fromiter(map(self.at.__getitem__, parts), np.int64, len(parts)))
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        ends = np.cumsum(np.fromiter(map(len, docs), np.int64, len(docs)))
+        return ids, np.diff(total[np.concatenate([[0], ends])])
 
 
 _TOKENS: dict[str, Tokens] = {}
@@ -199,12 +268,18 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabulary: i
     shard = F.when(F.col("id").isNull(), 0).otherwise(shard)
 
     def tokenize(batches):
-        tokens = _TOKENS.setdefault(tokenizer, Tokens(tokenizer))
+        if tokenizer not in _TOKENS:
+            _TOKENS[tokenizer] = Tokens(tokenizer)
+        tokens = _TOKENS[tokenizer]
         for b in batches:
             texts = b.column(1).to_pylist()
             for a, z in in_steps(texts):
-                data = [np.append(x, np.uint32(end_id)).astype(kind).tobytes() for x in tokens.encode(texts[a:z])]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array(data, pa.binary())], names=["id", "ids"])
+                ids, sizes = tokens.encode(texts[a:z])
+                ends = np.cumsum(sizes)
+                data = np.insert(ids, ends, end_id).astype(kind)
+                offsets = np.concatenate([[0], ends + np.arange(1, z - a + 1)]) * data.itemsize
+                packed = pa.Array.from_buffers(pa.binary(), z - a, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), packed], names=["id", "ids"])
 
     def store(batches):
         writer, at = None, None
