@@ -188,9 +188,9 @@ class Tokens:
         return np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum())), sizes
 
     def _by_words(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.word) > self.room:
+        if len(self.word) > 2 * self.room:
             self.clear_words()
-        cut = [_CUT(p.lower()) for p in parts]
+        cut = list(map(_CUT, "\n".join(parts).lower().split("\n")))
         new = list(set(chain.from_iterable(cut)) - self.word.keys())
         if new:
             texts = [" ".join(new[i : i + 500]) for i in range(0, len(new), 500)]
@@ -209,7 +209,9 @@ class Tokens:
         return flat, total[ends] - total[ends - counts]
 
     def _learn(self, parts: list[str]) -> None:
-        plain = [p for p in parts if self.by_words and _PLAIN(p) and not any(x in p for x in self.special)]
+        plain = list(filter(_PLAIN, parts)) if self.by_words else []
+        if any(x in whole for whole in ["\n".join(plain)] for x in self.special):
+            plain = [p for p in plain if not any(x in p for x in self.special)]
         if len(plain) < len(parts):
             rest = list(set(parts).difference(plain))
         else:
