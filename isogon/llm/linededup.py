@@ -117,7 +117,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     and _removed_lines."""
     removed = through_table(repeats(docs, id_col, text_col, window, divisor, least), "line-removed").select(F.col("id").alias("_id"), F.col("sig").alias("_sig"), F.col("numbers").alias("_numbers"))
     marked = docs.withColumn("_s", F.xxhash64(id_col, text_col))
-    joined = marked.join(removed, (F.col("_s") == F.col("_sig")) & F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_s", "_sig", "_id")
+    joined = marked.join(removed.hint("merge"), (F.col("_s") == F.col("_sig")) & F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_s", "_sig", "_id")
     names = docs.columns
     where = names.index(text_col)
 
