@@ -117,7 +117,7 @@ def take(docs: DataFrame, used: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of docs, as often as `used` (of mix with the same columns and seed) uses them."""
     sig = draw(seed, F.col(id_col), F.col(source_col), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
     times = used.select("sig", "epoch").distinct().groupBy("sig").agg(F.count("*").alias("_n"))
-    return docs.withColumn("_sig", sig).join(times.withColumnRenamed("sig", "_sig"), "_sig").withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(docs.columns)
+    return docs.withColumn("_sig", sig).join(times.withColumnRenamed("sig", "_sig").hint("merge"), "_sig").withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(docs.columns)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

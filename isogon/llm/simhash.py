@@ -135,7 +135,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found = near_duplicates(docs, id_col, text_col)
     keep = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
     known = docs.where(F.col(id_col).isNotNull())
-    return known.join(keep, id_col, "left_semi").dropDuplicates([id_col]).unionAll(docs.where(F.col(id_col).isNull())).select(docs.columns)
+    return known.join(keep.hint("merge"), id_col, "left_semi").dropDuplicates([id_col]).unionAll(docs.where(F.col(id_col).isNull())).select(docs.columns)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
