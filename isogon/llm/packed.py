@@ -142,10 +142,10 @@ class Reader:
         self.file.close()
 
 
-#: Parts of a text that are plain enough to be cut here: ASCII and Latin-1 letters.
-_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*").fullmatch
-#: What the tokenizer's own pattern cuts such a part into, when in lower case.
-_CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
+#: Texts that are plain enough to be cut into words here: ASCII and Latin-1 letters.
+_PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*").fullmatch
+#: What the tokenizer's own pattern cuts such a text into, when in lower case.
+_CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\t\n\r ]+").findall
 #: How the tokenizer must be set up for this to hold.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -153,9 +153,10 @@ _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 class Tokens:
     """A tokenizer of the tokenizers library, with the ids of the parts met so far.
 
-    If the vocabulary marks word ends and cuts by the pattern above, plain parts are
-    cut into words here and words new to this worker go to the tokenizer by hundreds
-    in one text, whose ids the marks tell apart. Other parts go one by one."""
+    If the vocabulary marks word ends and cuts by the pattern above, plain texts are
+    cut into words here; words new to this worker go to the tokenizer by hundreds in
+    one text, whose ids the marks tell apart. Of other texts each new part between
+    spaces goes by itself."""
 
     def __init__(self, path: str, room: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -174,74 +175,51 @@ class Tokens:
             self.last[[i for t, i in vocabulary.items() if t.endswith(mark)]] = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
-        self.clear_words()
 
     def clear(self) -> None:
         self.at, self.flat, self.start = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def clear_words(self) -> None:
-        self.word, self.word_flat, self.word_start = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
+    def _learn(self, keys: list, flat: np.ndarray, ends: np.ndarray) -> None:
+        self.at.update(zip(keys, range(len(self.at), len(self.at) + len(keys)), strict=True))
+        self.flat, self.start = np.concatenate([self.flat, flat]), np.concatenate([self.start, self.start[-1] + ends])
 
-    def _singly(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        return np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum())), sizes
+    def _words(self, new: list[str]) -> None:
+        texts = [" ".join(new[i : i + 500]) for i in range(0, len(new), 500)]
+        flat = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        ends = np.flatnonzero(self.last[flat]) + 1
+        if len(ends) != len(new) or ends[-1] != len(flat):
+            raise RuntimeError("the tokenizer cuts words in another way than expected")
+        self._learn(new, flat, ends)
 
-    def _by_words(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.word) > 2 * self.room:
-            self.clear_words()
-        cut = list(map(_CUT, "\n".join(parts).lower().split("\n")))
-        new = list(set(chain.from_iterable(cut)) - self.word.keys())
-        if new:
-            texts = [" ".join(new[i : i + 500]) for i in range(0, len(new), 500)]
-            flat = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
-            ends = np.flatnonzero(self.last[flat]) + 1
-            if len(ends) != len(new) or ends[-1] != len(flat):
-                raise RuntimeError("the tokenizer cuts words in another way than expected")
-            self.word.update(zip(new, range(len(self.word), len(self.word) + len(new)), strict=True))
-            self.word_flat = np.concatenate([self.word_flat, flat])
-            self.word_start = np.concatenate([self.word_start, self.word_start[-1] + ends])
-        counts = np.fromiter(map(len, cut), np.int64, len(cut))
-        which = np.fromiter(map(self.word.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
-        flat, sizes = gather(self.word_flat, self.word_start, None, which)
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        ends = np.cumsum(counts)
-        return flat, total[ends] - total[ends - counts]
-
-    def _learn(self, parts: list[str]) -> None:
-        plain = list(filter(_PLAIN, parts)) if self.by_words else []
-        if any(x in whole for whole in ["\n".join(plain)] for x in self.special):
-            plain = [p for p in plain if not any(x in p for x in self.special)]
-        if len(plain) < len(parts):
-            rest = list(set(parts).difference(plain))
-        else:
-            rest = []
-        for group, how in ((plain, self._by_words), (rest, self._singly)):
-            if group:
-                flat, sizes = how(group)
-                self.at.update(zip(group, range(len(self.at), len(self.at) + len(group)), strict=True))
-                self.flat = np.concatenate([self.flat, flat])
-                self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
+    def _parts(self, new: list[tuple[str]]) -> None:
+        for a in range(0, len(new), 20_000):
+            got = [e.ids for e in self.tokenizer.encode_batch_fast([p for p, in new[a : a + 20_000]], add_special_tokens=False)]
+            ends = np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))
+            self._learn(new[a : a + 20_000], np.fromiter(chain.from_iterable(got), np.uint32, int(ends[-1])), ends)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, how many each has)."""
         if len(self.at) > self.room:
             self.clear()
-        docs = [t.replace("\n", " ").split(" ") for t in texts]
-        parts = list(chain.from_iterable(docs))
-        new = list(set(parts) - self.at.keys())
-        for a in range(0, len(new), 100_000):
-            self._learn(new[a : a + 100_000])
-        ids, sizes = gather(self.flat, self.start, None, np.fromiter(map(self.at.__getitem__, parts), np.int64, len(parts)))
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        ends = np.cumsum(np.fromiter(map(len, docs), np.int64, len(docs)))
-        return ids, np.diff(total[np.concatenate([[0], ends])])
+        # a word is a key; a part is a key in a tuple, as what it stands for is not cut yet
+        docs = [_CUT(t.lower()) if self.by_words and _PLAIN(t) and not any(x in t for x in self.special) else [*zip(t.replace("\n", " ").split(" "), strict=True)] for t in texts]
+        new = set(chain.from_iterable(docs)) - self.at.keys()
+        parts = [k for k in new if isinstance(k, tuple)] if any(d and isinstance(d[0], tuple) for d in docs) else []
+        new = list(new.difference(parts))
+        if new:
+            self._words(new)
+        self._parts(parts)
+        sizes = np.fromiter(map(len, docs), np.int64, len(docs))
+        which = np.fromiter(map(self.at.__getitem__, chain.from_iterable(docs)), np.int64, int(sizes.sum()))
+        ids, each = gather(self.flat, self.start, None, which)
+        total = np.concatenate([[0], np.cumsum(each)])
+        return ids, np.diff(total[np.concatenate([[0], np.cumsum(sizes)])])
 
 
 _TOKENS: dict[str, Tokens] = {}
 
 
-def in_steps(texts: list, step: int = 8 << 20):
+def in_steps(texts: list, step: int = 4 << 20):
     """(from, to) of runs of texts of about step characters."""
     at = 0
     while at < len(texts):
