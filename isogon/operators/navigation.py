@@ -38,7 +38,7 @@ def tercom(base: DataFrame, track: DataFrame, radius: float = 9.0, cell: float =
     moved = t.select("track_id", "seq", "cx", "cy", "angle", (F.col("cx") - F.col("fx")).alias("dx"), (F.col("cy") - F.col("fy")).alias("dy"), F.col("v").cast("double").alias("tv"), (F.col("cx") + ox * F.cos(a) - oy * F.sin(a)).alias("x"), (F.col("cy") + ox * F.sin(a) + oy * F.cos(a)).alias("y"))
     # one look-up for each distinct place
     places = moved.select("x", "y").distinct().withColumn("id", F.xxhash64("x", "y"))
-    values = idw(places, base, neighbours, cell, power=1)
+    values = idw(places, base.withColumn("id", F.xxhash64("x", "y")), neighbours, cell, power=1)
     got = moved.withColumn("q_id", F.xxhash64("x", "y")).join(values, "q_id")
     cost = got.groupBy("track_id", "dx", "dy", "angle").agg(F.avg((F.col("tv") - F.col("value")) ** 2).alias("msd"), F.count("*").alias("n"))
     best = cost.groupBy("track_id").agg(F.min(F.struct("msd", F.abs("angle").alias("turn"), "dx", "dy", "angle")).alias("b"))

@@ -1,10 +1,690 @@
-"""Named queries over the test tables, and the SQL that checks them."""
+"""Named queries over the test tables, one for each operator, and the SQL that checks
+them where SQL can express them. Floating results are rounded far beyond where values
+of these tables can tie."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from isogon.functions import geo, mainfield
+from isogon.operators import accuracy, complexity, continuation, filters, grids, joins, navigation, stats, surface, windows
+from isogon.sources.fixtures import sql, view
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        QUERIES[name] = f
+        if oracle:
+            ORACLE_SQL[name] = oracle
+        return f
+
+    return put
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+SP, ST, OP, QP, AG, FC = ("survey_points", "survey_track", "order_points", "query_points", "anomaly_grid", "file_catalog")
+
+# --- look-ups and joins
+
+
+@query("J1_index_lookup", sql(QP, AG) + """, k AS (SELECT id, lon, lat, CAST(round(lon * 30) AS BIGINT) * 5400 + CAST(round((90 - lat) * 30) AS BIGINT) AS index_ij FROM query_points)
+SELECT k.id, k.index_ij, round(coalesce(g.lon, k.lon), 9) AS lon, round(coalesce(g.lat, k.lat), 9) AS lat, CAST(coalesce(g.value, 0) AS DOUBLE) AS z FROM k LEFT JOIN anomaly_grid g USING (index_ij)""")
+def _(spark, d):
+    out = joins.index_lookup(view(spark, d, QP), view(spark, d, AG), geo.emag2_index(F.col("lon"), F.col("lat")))
+    return out.select("id", "index_ij", F.round("lon", 9).alias("lon"), F.round("lat", 9).alias("lat"), F.col("z").cast("double").alias("z"))
+
+
+@query("J1b_mamea_index", sql(QP) + "SELECT id, CAST(round((lon - 93) / (CAST(67 AS DOUBLE) / 2011)) AS BIGINT) * 1741 + CAST(round((lat + 12) / (CAST(58 AS DOUBLE) / 1741)) AS BIGINT) AS index_ij FROM query_points")
+def _(spark, d):
+    return view(spark, d, QP).select("id", geo.mamea_index(F.col("lon"), F.col("lat")).alias("index_ij"))
+
+
+NEAR = "(p.x - o.x) * (p.x - o.x) + (p.y - o.y) * (p.y - o.y)"
+
+
+@query("J2_within_radius", sql(SP, OP) + f"SELECT p.id, p.x, p.y FROM survey_points p WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT x, y FROM order_points WHERE id % 64 = 0) o WHERE {NEAR} <= 0.36)")
+def _(spark, d):
+    return joins.within(view(spark, d, SP).select("id", "x", "y"), view(spark, d, OP).where("id % 64 = 0"), 0.6)
+
+
+@query("J3_check_point_match", sql(SP, OP) + f"SELECT count(*) AS n FROM survey_points p WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT x, y FROM order_points WHERE id % 32 = 1) o WHERE {NEAR} <= 0.16)")
+def _(spark, d):
+    return joins.within(view(spark, d, SP), view(spark, d, OP).where("id % 32 = 1"), 0.4).agg(F.count("*").alias("n"))
+
+
+KNN = sql(QP, AG) + """, g AS (SELECT DISTINCT index_ij AS gid, min(lon) AS x, min(lat) AS y, min(CAST(value AS DOUBLE)) AS v FROM anomaly_grid GROUP BY index_ij),
+c AS (SELECT q.id AS q_id, g.gid AS p_id, g.v, (q.lon - g.x) * (q.lon - g.x) + (q.lat - g.y) * (q.lat - g.y) AS d2 FROM query_points q CROSS JOIN g),
+r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY d2, p_id) AS rank FROM c) """
+
+
+def _nearest(spark, d, k):
+    g = view(spark, d, AG).groupBy("index_ij").agg(F.min("lon").alias("x"), F.min("lat").alias("y"), F.min(F.col("value").cast("double")).alias("v")).withColumnRenamed("index_ij", "id")
+    q = view(spark, d, QP).select("id", F.col("lon").alias("x"), F.col("lat").alias("y"))
+    return q, g
+
+
+@query("J4_nearest_point", KNN + "SELECT q_id, p_id, round(d2, 9) AS d2 FROM r WHERE rank = 1")
+def _(spark, d):
+    q, g = _nearest(spark, d, 1)
+    return joins.nearest(q, g, 1, 0.05).select("q_id", "p_id", F.round("d2", 9).alias("d2"))
+
+
+@query("J5_k_nearest", KNN + "SELECT q_id, p_id, CAST(rank AS INT) AS rank, round(d2, 9) AS d2 FROM r WHERE rank <= 5")
+def _(spark, d):
+    q, g = _nearest(spark, d, 5)
+    return joins.nearest(q, g, 5, 0.05).select("q_id", "p_id", "rank", F.round("d2", 9).alias("d2"))
+
+
+@query("N7_idw", KNN + ", n AS (SELECT * FROM r WHERE rank <= 32) SELECT q_id, round(coalesce(max(CASE WHEN d2 < 1e-12 THEN v END), sum(CASE WHEN d2 >= 1e-12 THEN v / d2 END) / sum(CASE WHEN d2 >= 1e-12 THEN 1 / d2 END)), 5) AS value FROM n GROUP BY q_id")
+def _(spark, d):
+    q, g = _nearest(spark, d, 32)
+    return joins.idw(q, g, 32, 0.1).select("q_id", F.round("value", 5).alias("value"))
+
+
+@query("N9_idw_track", KNN + ", n AS (SELECT * FROM r WHERE rank <= 10) SELECT q_id, round(coalesce(max(CASE WHEN d2 < 1e-12 THEN v END), sum(CASE WHEN d2 >= 1e-12 THEN v / sqrt(d2) END) / sum(CASE WHEN d2 >= 1e-12 THEN 1 / sqrt(d2) END)), 5) AS value FROM n GROUP BY q_id")
+def _(spark, d):
+    q, g = _nearest(spark, d, 10)
+    return joins.idw(q, g, 10, 0.1, power=1).select("q_id", F.round("value", 5).alias("value"))
+
+
+@query("J8_align_by_ordinal", "SELECT a.seq, CAST(a.v AS DOUBLE) AS a, CAST(b.v AS DOUBLE) AS b FROM (SELECT event_id AS seq, CAST(value AS DECIMAL(18,4)) AS v FROM events WHERE user_id % 2 = 0) a JOIN (SELECT event_id - 1 AS seq, CAST(value AS DECIMAL(18,4)) AS v FROM events WHERE user_id % 2 = 1) b USING (seq)")
+def _(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", F.expr("CAST(value AS DECIMAL(18,4))").cast("double").alias("v"))
+    a = e.where("user_id % 2 = 0").select(F.col("event_id").alias("seq"), F.col("v").alias("a"))
+    return a.join(e.where("user_id % 2 = 1").select((F.col("event_id") - 1).alias("seq"), F.col("v").alias("b")), "seq")
+
+
+@query("J9_align_by_key", "SELECT sqrt(CAST(sum((a.v - b.v) * (a.v - b.v)) AS DOUBLE) / count(*)) AS rmse, count(*) AS n FROM (SELECT o_orderkey AS id, CAST(o_totalprice AS DECIMAL(14,2)) AS v FROM orders) a JOIN (SELECT l_orderkey AS id, CAST(sum(CAST(l_extendedprice AS DECIMAL(14,2))) AS DECIMAL(14,2)) AS v FROM lineitem GROUP BY l_orderkey) b USING (id)")
+def _(spark, d):
+    a = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").cast("decimal(14,2)").alias("a"))
+    b = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("id")).agg(F.sum(F.col("l_extendedprice").cast("decimal(14,2)")).cast("decimal(14,2)").alias("b"))
+    return stats.rmse(a.join(b, "id"), "a", "b")
+
+
+@query("J10_truth_against_estimate", sql(SP) + "SELECT count(*) AS n, round(sqrt(avg((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))), 6) AS rms FROM survey_points a JOIN (SELECT id - 1 AS id, x, y FROM survey_points) b USING (id)")
+def _(spark, d):
+    p = view(spark, d, SP).select(F.lit(0).alias("track_id"), F.col("id").alias("seq"), "x", "y")
+    return navigation.track_rms(p, p.withColumn("seq", F.col("seq") - 1)).select("n", F.round("rms", 6).alias("rms"))
+
+
+# --- filters and samplers
+
+
+@query("F1_box", sql(SP) + "SELECT id, x, y FROM survey_points WHERE x BETWEEN 10 AND 20 AND y BETWEEN 5 AND 15")
+def _(spark, d):
+    return filters.in_box(view(spark, d, SP).select("id", "x", "y"), 10, 20, 5, 15)
+
+
+@query("F2_finite", "SELECT event_id, value FROM events WHERE value IS NOT NULL AND NOT isnan(value) AND NOT isinf(value)")
+def _(spark, d):
+    return filters.finite(spark.read.parquet(f"{d}/events.parquet").select("event_id", "value"), "value")
+
+
+@query("F3_catalogue", sql(FC) + "SELECT id, datatype, platform FROM file_catalog WHERE datatype IN ('O', 'F') AND platform IN ('1-URGENT', '2-HIGH') AND max_x BETWEEN 1000 AND 200000")
+def _(spark, d):
+    return filters.catalogue(view(spark, d, FC), ["O", "F"], ["1-URGENT", "2-HIGH"], x=(1000, 200000)).select("id", "datatype", "platform")
+
+
+@query("F4_line_sample", sql(SP) + "SELECT id, y FROM survey_points WHERE CAST(trunc(y * 10 + 0.1) AS INT) % 20 < 1")
+def _(spark, d):
+    return view(spark, d, SP).where(filters.on_lines(F.col("y"), 20)).select("id", "y")
+
+
+@query("F5_line_sample_tolerant", sql(SP) + "SELECT id, y - 20 AS y FROM survey_points WHERE CAST(trunc((y - 20) * 10 + 0.1) AS INT) % 30 < 1 OR CAST(trunc((y - 20) * 10 - 0.1) AS INT) % 30 < 1")
+def _(spark, d):
+    return view(spark, d, SP).withColumn("y", F.col("y") - 20).where(filters.on_lines(F.col("y"), 30, True)).select("id", "y")
+
+
+@query("F6_random_sample", sql(SP) + "SELECT count(*) // 7 AS n FROM survey_points")
+def _(spark, d):
+    return filters.random_sample(view(spark, d, SP), 7, 1).agg(F.count("*").alias("n"))
+
+
+@query("F7_every_fifth", sql(ST) + "SELECT line_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY seq) - 1 AS n FROM survey_track) WHERE n % 5 = 0")
+def _(spark, d):
+    return filters.every_nth(view(spark, d, ST), 5, "seq", ["line_id"]).select("line_id", "seq")
+
+
+@query("F8_class_split", "SELECT CAST(l_linenumber % 3 AS INT) AS cls, count(*) AS n FROM lineitem WHERE l_linenumber % 3 IN (0, 1) GROUP BY 1")
+def _(spark, d):
+    li = spark.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_linenumber") % 3).cast("int").alias("cls"))
+    return li.where(F.col("cls").isin(0, 1)).groupBy("cls").agg(F.count("*").alias("n"))
+
+
+@query("F9_spacing_match", sql(OP) + "SELECT id, x FROM order_points WHERE abs(x - 8.5) <= 0.3")
+def _(spark, d):
+    return view(spark, d, OP).where(F.abs(F.col("x") - 8.5) <= 0.3).select("id", "x")
+
+
+RING = [(5.0, 5.0), (40.0, 8.0), (30.0, 30.0), (12.0, 34.0), (5.0, 5.0)]
+CROSS = " + ".join(f"CASE WHEN y > {min(a[1], b[1])} AND y <= {max(a[1], b[1])} AND CAST({a[0]} AS DOUBLE) + (y - {a[1]}) * CAST({(b[0] - a[0]) / (b[1] - a[1])!r} AS DOUBLE) < x THEN 1 ELSE 0 END" for a, b in zip(RING, RING[1:], strict=False))
+
+EDGE = " OR ".join(f"((x - {a[0]}) * {b[1] - a[1]} - (y - {a[1]}) * {b[0] - a[0]} = 0 AND x BETWEEN {min(a[0], b[0])} AND {max(a[0], b[0])} AND y BETWEEN {min(a[1], b[1])} AND {max(a[1], b[1])})" for a, b in zip(RING, RING[1:], strict=False))
+
+
+@query("F10_point_in_polygon", sql(OP) + f"SELECT id, x, y FROM order_points WHERE ({CROSS}) % 2 = 1 OR {EDGE}")
+def _(spark, d):
+    return view(spark, d, OP).where(filters.in_polygon(F.col("x"), F.col("y"), RING)).select("id", "x", "y")
+
+
+@query("F11_polygon_cells", sql(OP) + f"SELECT CAST(floor(x) AS BIGINT) AS c, CAST(floor(y) AS BIGINT) AS r, CAST(sum(v) AS DOUBLE) AS total, count(*) AS n FROM order_points WHERE x BETWEEN 5 AND 40 AND y BETWEEN 5 AND 34 AND (({CROSS}) % 2 = 1 OR {EDGE}) GROUP BY 1, 2")
+def _(spark, d):
+    p = filters.in_box(view(spark, d, OP), 5, 40, 5, 34).where(filters.in_polygon(F.col("x"), F.col("y"), RING))
+    return p.groupBy(F.floor("x").alias("c"), F.floor("y").alias("r")).agg(F.sum("v").cast("double").alias("total"), F.count("*").alias("n"))
+
+
+@query("F12_antimeridian", "WITH p AS (SELECT s_nationkey AS ring, s_suppkey AS seq, CAST((s_suppkey * 37) % 360 - 180 AS DOUBLE) AS lon FROM supplier), e AS (SELECT *, abs(lon - lag(lon) OVER (PARTITION BY ring ORDER BY seq)) AS st FROM p) SELECT ring, seq, CASE WHEN max(coalesce(st > 180, false)) OVER (PARTITION BY ring) AND lon < 0 THEN lon + 360 ELSE lon END AS lon FROM e")
+def _(spark, d):
+    s = spark.read.parquet(f"{d}/supplier.parquet").selectExpr("s_nationkey AS ring", "s_suppkey AS seq", "CAST((s_suppkey * 37) % 360 - 180 AS DOUBLE) AS lon")
+    return filters.unwrap_antimeridian(s, "ring", "seq").select("ring", "seq", "lon")
+
+
+@query("F13_valid_position", "SELECT o_orderkey AS id, coalesce((o_custkey % 200 - 100) BETWEEN -90 AND 90 AND (o_orderkey % 400 - 200) BETWEEN -180 AND 180, false) AS ok FROM orders")
+def _(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    return o.select(F.col("o_orderkey").alias("id"), filters.valid_position(F.col("o_custkey") % 200 - 100, F.col("o_orderkey") % 400 - 200).alias("ok"))
+
+
+@query("F15_thinning", sql(ST) + "SELECT line_id, seq FROM survey_track WHERE seq % 100 = 0")
+def _(spark, d):
+    return view(spark, d, ST).where("seq % 100 = 0").select("line_id", "seq")
+
+
+# --- grid and lattice generators
+
+
+@query("G1_grid_over_extent", sql(SP) + "SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, x0 + c * 2.5 AS x, y0 + r * 2 AS y FROM (SELECT min(x) AS x0, min(y) AS y0, CAST(trunc((max(x) - min(x)) / 2.5) AS INT) AS nx, CAST(trunc((max(y) - min(y)) / 2) AS INT) AS ny FROM survey_points) e, range(0, 1000) a(r), range(0, 1000) b(c) WHERE r <= ny AND c <= nx")
+def _(spark, d):
+    return grids.grid_over(view(spark, d, SP), 2.5, 2.0)
+
+
+@query("G4_lattice_4d", "SELECT 10 + a.i * 0.5 AS lat, 110 + b.i * 0.25 AS lon, CAST(c.i AS DOUBLE) AS height, 2020 + e.i * 0.5 AS year FROM range(0, 4) a(i), range(0, 8) b(i), range(0, 3) c(i), range(0, 2) e(i)")
+def _(spark, d):
+    return grids.lattice(spark, lat=(10.0, 12.0, 0.5), lon=(110.0, 112.0, 0.25), height=(0.0, 3.0, 1.0), year=(2020.0, 2021.0, 0.5))
+
+
+@query("G5_lattice_2d", "SELECT 17 + a.i * 0.25 AS lat, 110 + b.i * 0.5 AS lon FROM range(0, 40) a(i), range(0, 20) b(i)")
+def _(spark, d):
+    return grids.lattice(spark, lat=(17.0, 27.0, 0.25), lon=(110.0, 120.0, 0.5))
+
+
+@query("G6_overlap_blocks", sql(SP) + "SELECT CAST(bi AS INT) AS bi, CAST(bj AS INT) AS bj, count(*) AS n FROM survey_points, range(0, 2) a(bi), range(0, 2) b(bj) WHERE x BETWEEN bi * 25 - 2 AND bi * 25 + 27 AND y BETWEEN bj * 20 - 2 AND bj * 20 + 22 GROUP BY 1, 2")
+def _(spark, d):
+    steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    p = view(spark, d, SP).withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps)).withColumns({"bi": (F.floor(F.col("x") / 25) + F.col("i")).cast("int"), "bj": (F.floor(F.col("y") / 20) + F.col("j")).cast("int")})
+    p = p.where("bi BETWEEN 0 AND 1 AND bj BETWEEN 0 AND 1 AND x BETWEEN bi * 25 - 2 AND bi * 25 + 27 AND y BETWEEN bj * 20 - 2 AND bj * 20 + 22")
+    return p.groupBy("bi", "bj").agg(F.count("*").alias("n"))
+
+
+@query("S12_nearest_cell", sql(SP) + "SELECT CAST(round((y - y0) / 1.5) AS INT) AS row, CAST(round((x - x0) / 1.5) AS INT) AS col, CAST(arg_max(v, id) AS DOUBLE) AS value FROM survey_points, (SELECT min(x) AS x0, min(y) AS y0 FROM survey_points) GROUP BY 1, 2")
+def _(spark, d):
+    return grids.nearest_cell(view(spark, d, SP), 1.5, 1.5).withColumn("value", F.col("value").cast("double"))
+
+
+# --- aggregates
+
+
+@query("A1_centroid", sql(SP) + "SELECT count(*) AS n, avg(x) AS x_mean, avg(y) AS y_mean FROM survey_points")
+def _(spark, d):
+    return stats.centroid(view(spark, d, SP), "x", "y")
+
+
+@query("A2_extent", sql(SP) + "SELECT min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max FROM survey_points")
+def _(spark, d):
+    return stats.extent(view(spark, d, SP))
+
+
+def _summary(df):
+    return df.select(*[F.col(c).cast("double").alias(c) if c in ("max", "min") else F.round(c, 6).alias(c) if c in ("mean", "spread") else F.col(c) for c in df.columns])
+
+
+@query("A3_summary", sql(SP) + "SELECT CAST(max(v) AS DOUBLE) AS max, CAST(min(v) AS DOUBLE) AS min, round(CAST(sum(v) AS DOUBLE) / count(v), 6) AS mean, round(2 * sqrt(CAST(sum(v * v) AS DOUBLE) / count(v)), 6) AS spread, count(v) AS n FROM survey_points")
+def _(spark, d):
+    return _summary(stats.summary(view(spark, d, SP)))
+
+
+@query("A4_population_sigma", sql(ST) + "SELECT line_id, CAST(max(v) AS DOUBLE) AS max, CAST(min(v) AS DOUBLE) AS min, round(CAST(sum(v) AS DOUBLE) / count(v), 6) AS mean, round(sqrt(CAST(sum(v * v) AS DOUBLE) / count(v) - (CAST(sum(v) AS DOUBLE) / count(v)) * (CAST(sum(v) AS DOUBLE) / count(v))), 6) AS spread, count(v) AS n FROM survey_track GROUP BY line_id")
+def _(spark, d):
+    return _summary(stats.summary(view(spark, d, ST), compat=False, by=["line_id"]))
+
+
+PAIR = "(SELECT user_id % 8 AS line_id, CAST(value AS DECIMAL(18,4)) AS a, CAST(event_id % 100 AS DECIMAL(18,4)) AS b FROM events)"
+
+
+def _pair(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").selectExpr("user_id % 8 AS line_id", "CAST(value AS DECIMAL(18,4)) AS a", "CAST(event_id % 100 AS DECIMAL(18,4)) AS b")
+
+
+@query("A5_rmse", f"SELECT line_id, round(sqrt(CAST(sum((a - b) * (a - b)) AS DOUBLE) / count(*)), 6) AS rmse, count(*) AS n FROM {PAIR} GROUP BY line_id")
+def _(spark, d):
+    return rounded(stats.rmse(_pair(spark, d), "a", "b", ["line_id"]))
+
+
+@query("A6_weighted_rmse", f"SELECT round(sqrt(sum(r * r * n) / sum(n)), 6) AS rmse, CAST(sum(n) AS BIGINT) AS n FROM (SELECT sqrt(CAST(sum((a - b) * (a - b)) AS DOUBLE) / count(*)) AS r, count(*) AS n FROM {PAIR} GROUP BY line_id)")
+def _(spark, d):
+    return rounded(stats.weighted_rmse(stats.rmse(_pair(spark, d), "a", "b", ["line_id"])))
+
+
+BINS = sql(SP) + ", cells AS (SELECT CAST(trunc((y - y0) / 2) AS INT) AS row, CAST(trunc((x - x0) / 2) AS INT) AS col, CAST(sum(v) AS DOUBLE) / count(v) AS mean, count(v) AS n FROM survey_points, (SELECT min(x) AS x0, min(y) AS y0 FROM survey_points) GROUP BY 1, 2) "
+
+
+@query("A7_bin_mean", BINS + "SELECT row, col, round(mean, 6) AS mean, n FROM cells")
+def _(spark, d):
+    return rounded(grids.bin_mean(view(spark, d, SP), 2.0))
+
+
+@query("A8_plot_grid", sql(SP) + "SELECT CAST(least(trunc(y / 40 * 50), 49) AS INT) AS r, CAST(least(trunc(x / 50 * 50), 49) AS INT) AS c, round(CAST(sum(v) AS DOUBLE) / count(*), 6) AS mean FROM survey_points GROUP BY 1, 2")
+def _(spark, d):
+    p = view(spark, d, SP).select(F.least((F.col("y") / 40 * 50).cast("int"), F.lit(49)).alias("r"), F.least((F.col("x") / 50 * 50).cast("int"), F.lit(49)).alias("c"), "v")
+    return p.groupBy("r", "c").agg(F.round(stats.mean(F.col("v")), 6).alias("mean"))
+
+
+@query("A9_block_sigma", sql(SP) + "SELECT CAST(floor(x / 10) AS BIGINT) AS bx, CAST(floor(y / 10) AS BIGINT) AS bz, round(sqrt(CAST(sum(v * v) AS DOUBLE) / count(v) - (CAST(sum(v) AS DOUBLE) / count(v)) * (CAST(sum(v) AS DOUBLE) / count(v))), 5) AS sigma FROM survey_points GROUP BY 1, 2")
+def _(spark, d):
+    return view(spark, d, SP).groupBy(F.floor(F.col("x") / 10).alias("bx"), F.floor(F.col("y") / 10).alias("bz")).agg(F.round(stats.sigma(F.col("v")), 5).alias("sigma"))
+
+
+@query("A10_block_rms", sql(SP) + "SELECT CAST(floor(x / 25) AS BIGINT) AS bi, CAST(floor(y / 20) AS BIGINT) AS bj, round(sqrt(CAST(sum(v * v) AS DOUBLE) / count(*)), 6) AS rms, count(*) AS n FROM survey_points GROUP BY GROUPING SETS ((1, 2), ())")
+def _(spark, d):
+    p = view(spark, d, SP).select(F.floor(F.col("x") / 25).alias("bi"), F.floor(F.col("y") / 20).alias("bj"), "v")
+    r = p.rollup("bi", "bj").agg(F.round(stats.rms(F.col("v")), 6).alias("rms"), F.count("*").alias("n"), F.grouping_id().alias("g"))
+    return r.where("g IN (0, 3)").drop("g")
+
+
+@query("A11_least_spacing", sql(SP) + "SELECT min(g) AS spacing FROM (SELECT x - lag(x) OVER (ORDER BY x) AS g FROM (SELECT DISTINCT x FROM survey_points))")
+def _(spark, d):
+    return stats.least_spacing(view(spark, d, SP), "x")
+
+
+MEDIAN = "SELECT {c} AS {n} FROM (SELECT {c}, row_number() OVER (ORDER BY {c}) - 1 AS r, count(*) OVER () AS n FROM {t}) WHERE r = n // 2"
+
+
+@query("A12_median_spacing", sql(SP) + ", g AS (SELECT y - lag(y) OVER (ORDER BY y) AS gap FROM (SELECT DISTINCT y FROM survey_points)), h AS (SELECT gap FROM g WHERE gap > 1e-9) " + MEDIAN.format(c="gap", n="spacing", t="h"))
+def _(spark, d):
+    return stats.median_spacing(view(spark, d, SP), "y")
+
+
+@query("A13_regular_grid", sql(SP) + "SELECT count(DISTINCT x) AS nx, count(DISTINCT y) AS ny, count(*) AS n, abs(count(DISTINCT x) * count(DISTINCT y) - count(*)) <= 0.1 * count(*) AS regular FROM survey_points")
+def _(spark, d):
+    return stats.is_regular(view(spark, d, SP))
+
+
+@query("A14_nearest_rank", sql(ST) + ", r AS (SELECT line_id, v, row_number() OVER (PARTITION BY line_id ORDER BY v) - 1 AS r, count(*) OVER (PARTITION BY line_id) AS n FROM survey_track) SELECT line_id, " + ", ".join(f"CAST(max(CASE WHEN r = CAST(floor(n * CAST({p} AS DOUBLE)) AS BIGINT) THEN v END) AS DOUBLE) AS p{round(p * 100)}" for p in (0.01, 0.05, 0.5, 0.95, 0.99)) + " FROM r GROUP BY line_id")
+def _(spark, d):
+    out = stats.nearest_rank(view(spark, d, ST), [0.01, 0.05, 0.5, 0.95, 0.99], by=["line_id"])
+    return out.select("line_id", *[F.col(c).cast("double").alias(c) for c in out.columns[1:]])
+
+
+@query("A15_robust_bounds", sql(ST) + ", i AS (SELECT CAST(v AS DOUBLE) AS v FROM survey_track WHERE abs(v) < 1000), m AS (" + MEDIAN.format(c="v", n="median", t="i") + "), e AS (SELECT abs(v - median) AS dv FROM i, m), f AS (" + MEDIAN.format(c="dv", n="q", t="e") + ") SELECT round(median, 6) AS median, round(q * 1.4826, 6) AS mad, round(median - 5 * q * 1.4826, 6) AS low, round(median + 5 * q * 1.4826, 6) AS high FROM m, f")
+def _(spark, d):
+    return rounded(stats.robust_bounds(view(spark, d, ST)))
+
+
+def _w(dx, dy, lat, hl, hb):
+    dd = f"sqrt({dy} * 60 * {dy} * 60 + {dx} * 60 * {dx} * 60 * cos(radians({lat})) * cos(radians({lat})))"
+    big = f"sqrt(CAST({hb} * {hb} AS DOUBLE) + CAST({hl} * {hl} AS DOUBLE) * cos(radians({lat})) * cos(radians({lat})))"
+    return f"CASE WHEN {dx} * 60 <= {hl} / CAST(3 AS DOUBLE) AND {dy} * 60 <= {hb} / CAST(3 AS DOUBLE) THEN 1.0 / ({dd} + 0.01) / ({dd} + 0.01) ELSE pow(6.75 / {big} * ({dd} / {big} - 1), 2) END"
+
+
+@query("N14_fusion", sql(SP, OP) + ", pts AS (SELECT CAST(2 AS DOUBLE) AS m, x AS l, y AS b, v AS t FROM survey_points UNION ALL SELECT 5, x, y, v FROM order_points), nodes AS (SELECT 1 + a.i * CAST(4 AS DOUBLE) AS gx, 1 + c.i * CAST(4 AS DOUBLE) AS gy FROM range(0, 12) a(i), range(0, 9) c(i)), pr AS (SELECT gx, gy, t, " + _w("abs(gx - l)", "abs(gy - b)", "b", 60, 60) + " / m / m AS w FROM nodes JOIN pts ON abs(gx - l) <= 1 AND abs(gy - b) <= 1) SELECT gx, gy, round(sum(w * CAST(t AS DOUBLE)) / sum(w), 4) AS t, count(*) AS n FROM pr GROUP BY gx, gy")
+def _(spark, d):
+    pts = view(spark, d, SP).select(F.lit(2.0).alias("m"), F.col("x").alias("l"), F.col("y").alias("b"), F.col("v").alias("t")).unionByName(view(spark, d, OP).select(F.lit(5.0).alias("m"), F.col("x").alias("l"), F.col("y").alias("b"), F.col("v").alias("t")))
+    nodes = grids.lattice(spark, gx=(1.0, 49.0, 4.0), gy=(1.0, 37.0, 4.0))
+    return rounded(surface.fuse(nodes, pts, 2.0, 2.0), 4)
+
+
+@query("A17_scatter", sql(SP) + "SELECT count(*) AS n, sum(x) AS s_x, sum(y) AS s_y, sum(x * x) AS p_x_x, sum(x * y) AS p_x_y, sum(y * y) AS p_y_y FROM survey_points")
+def _(spark, d):
+    return stats.scatter(view(spark, d, SP), ["x", "y"])
+
+
+@query("A23_contour_levels", sql(SP) + "SELECT CAST(k AS INT) AS i, round(lo + k * (hi - lo) / 11, 6) AS level FROM (SELECT CAST(min(v) AS DOUBLE) AS lo, CAST(max(v) AS DOUBLE) AS hi FROM survey_points), range(1, 11) a(k)")
+def _(spark, d):
+    return rounded(stats.contour_levels(view(spark, d, SP)))
+
+
+@query("H7_index_statistics", sql(SP) + " SELECT s AS size, count(*) AS cells, CAST(sum(n) AS BIGINT) AS refs FROM (SELECT s, floor(x / s) AS cx, floor(y / s) AS cy, count(*) AS n FROM survey_points, (VALUES (CAST(1 AS DOUBLE)), (2), (5)) t(s) GROUP BY 1, 2, 3) GROUP BY s")
+def _(spark, d):
+    p = view(spark, d, SP).withColumn("size", F.explode(F.array(F.lit(1.0), F.lit(2.0), F.lit(5.0))))
+    c = p.groupBy("size", F.floor(F.col("x") / F.col("size")).alias("cx"), F.floor(F.col("y") / F.col("size")).alias("cy")).agg(F.count("*").alias("n"))
+    return c.groupBy("size").agg(F.count("*").alias("cells"), F.sum("n").alias("refs"))
+
+
+# --- along lines
+
+
+@query("W1_moving_average", sql(ST) + "SELECT line_id, seq, round(CAST(sum(v) OVER w AS DOUBLE) / count(v) OVER w, 8) AS smooth FROM survey_track WINDOW w AS (PARTITION BY line_id ORDER BY seq ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)")
+def _(spark, d):
+    return windows.moving_average(view(spark, d, ST), 21).select("line_id", "seq", F.round("smooth", 8).alias("smooth"))
+
+
+@query("W3_trend_offset", f"SELECT line_id, round(lo - 5 + k * CAST(0.01 AS DOUBLE), 6) AS \"offset\", round(sqrt(greatest(q - 2 * (lo - 5 + k * CAST(0.01 AS DOUBLE)) * m + (lo - 5 + k * CAST(0.01 AS DOUBLE)) * (lo - 5 + k * CAST(0.01 AS DOUBLE)), 0)), 6) AS rmse, n FROM (SELECT *, floor((m - (lo - 5)) / CAST(0.01 AS DOUBLE) + 0.5) AS k FROM (SELECT line_id, CAST(min(b - a) AS DOUBLE) AS lo, CAST(sum(b - a) AS DOUBLE) / count(*) AS m, CAST(sum((b - a) * (b - a)) AS DOUBLE) / count(*) AS q, count(*) AS n FROM {PAIR} GROUP BY line_id))")
+def _(spark, d):
+    return rounded(windows.trend_offset(_pair(spark, d), "a", "b", ["line_id"]))
+
+
+def _nine(w):
+    return " + ".join(f"{k} * max(CASE WHEN b.row = a.row + ({r}) AND b.col = a.col + ({c}) THEN b.mean END)" for (r, c), k in w.items())
+
+
+EAST = {(1, 1): 1, (0, 1): 2, (-1, 1): 1, (1, -1): -1, (0, -1): -2, (-1, -1): -1}
+NORTH = {(1, 1): 1, (1, 0): 2, (1, -1): 1, (-1, 1): -1, (-1, 0): -2, (-1, -1): -1}
+GRAD = BINS + f", gr AS (SELECT a.row, a.col, max(a.mean) AS mean, CASE WHEN count(*) = 9 THEN ({_nine(EAST)}) / 8 END AS e, CASE WHEN count(*) = 9 THEN ({_nine(NORTH)}) / 8 END AS n FROM cells a JOIN cells b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 GROUP BY a.row, a.col) "
+
+
+@query("W4_gradients", GRAD + "SELECT row, col, round(e, 5) AS e, round(n, 5) AS n, round((n + e) / sqrt(2), 5) AS ne, round((n - e) / sqrt(2), 5) AS se FROM gr")
+def _(spark, d):
+    return rounded(grids.gradients(grids.bin_mean(view(spark, d, SP), 2.0)).drop("mean"), 5)
+
+
+@query("W5_gradient_spread", GRAD + ", d AS (SELECT a.row, a.col, stddev_pop(b.e) AS sd FROM gr a JOIN gr b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 WHERE b.e IS NOT NULL AND a.e IS NOT NULL GROUP BY a.row, a.col) SELECT row, col, round(sd, 4) AS spread FROM d")
+def _(spark, d):
+    g = grids.gradients(grids.bin_mean(view(spark, d, SP), 2.0)).where("e IS NOT NULL")
+    offsets = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in (-1, 0, 1) for c in (-1, 0, 1)])
+    s = g.withColumn("o", F.explode(offsets)).select((F.col("row") + F.col("o.r")).alias("row"), (F.col("col") + F.col("o.c")).alias("col"), "e", ((F.col("o.r") == 0) & (F.col("o.c") == 0)).alias("own"))
+    return s.groupBy("row", "col").agg(F.stddev_pop("e").alias("spread"), F.max("own").alias("own")).where("own").select("row", "col", F.round("spread", 4).alias("spread"))
+
+
+FEAT = GRAD + """, z AS (SELECT row, col, mean, coalesce(e, 0) AS e, coalesce(n, 0) AS n FROM gr)
+SELECT a.row, a.col, round(stddev_pop(b.mean), 3) AS sigma, round(avg(b.mean), 3) AS average, round(avg(sqrt(2 * (b.e * b.e + b.n * b.n))), 3) AS slope, round(stddev_pop(b.e) + stddev_pop(b.n) + stddev_pop((b.n + b.e) / sqrt(2)) + stddev_pop((b.n - b.e) / sqrt(2)), 3) AS grad_sigma
+FROM z a JOIN z b ON abs(a.row - b.row) <= 2 AND abs(a.col - b.col) <= 2 GROUP BY a.row, a.col HAVING count(*) >= 3"""
+
+
+@query("W6_square_features", FEAT)
+def _(spark, d):
+    return rounded(complexity.features(grids.bin_mean(view(spark, d, SP), 2.0), 2).select("row", "col", "sigma", "average", "slope", "grad_sigma"), 3)
+
+
+# --- sorting and sets
+
+
+@query("T1_sorted_points", sql(SP) + "SELECT id, x, y FROM survey_points ORDER BY x, y, id LIMIT 100")
+def _(spark, d):
+    return view(spark, d, SP).select("id", "x", "y").orderBy("x", "y", "id").limit(100)
+
+
+@query("T2_distinct_coordinates", sql(SP) + "SELECT DISTINCT x FROM survey_points ORDER BY x")
+def _(spark, d):
+    return view(spark, d, SP).select("x").distinct().orderBy("x")
+
+
+@query("T4_arg_min", sql(ST) + "SELECT line_id, arg_min(seq, v) AS seq, CAST(min(v) AS DOUBLE) AS v FROM (SELECT line_id, min(seq) AS seq, v FROM survey_track GROUP BY line_id, v) GROUP BY line_id")
+def _(spark, d):
+    best = view(spark, d, ST).groupBy("line_id").agg(F.min(F.struct("v", "seq")).alias("b"))
+    return best.select("line_id", F.col("b.seq").alias("seq"), F.col("b.v").cast("double").alias("v"))
+
+
+@query("T6_union_sources", sql(SP, OP) + "SELECT src, count(*) AS n FROM (SELECT 0 AS src, x FROM survey_points UNION ALL SELECT 1, x FROM order_points) GROUP BY src")
+def _(spark, d):
+    a = view(spark, d, SP).select(F.lit(0).alias("src"), "x").unionByName(view(spark, d, OP).select(F.lit(1).alias("src"), "x"))
+    return a.groupBy("src").agg(F.count("*").alias("n"))
+
+
+# --- scalar functions
+
+DATES = "(SELECT o_orderkey AS id, CAST(extract(year FROM o_orderdate) AS INT) AS y, CAST(extract(month FROM o_orderdate) AS INT) AS mo, CAST(extract(day FROM o_orderdate) AS INT) AS dd, CAST(o_orderkey % 24 AS INT) AS h, CAST(o_custkey % 60 AS INT) AS mi, CAST(o_orderkey % 60 AS INT) AS s FROM orders)"
+JULIAN = f"SELECT id, floor(365.25 * (yy + 4716)) + floor(CAST(30.6001 AS DOUBLE) * (1 + mm)) + dd + (2 - yy // 100 + yy // 400) - 1524.5 + (h + (mi + s / CAST(60 AS DOUBLE)) / CAST(60 AS DOUBLE)) / CAST(24 AS DOUBLE) AS jd FROM (SELECT *, CASE WHEN mo <= 2 THEN y - 1 ELSE y END AS yy, CASE WHEN mo <= 2 THEN mo + 12 ELSE mo END AS mm FROM {DATES})"
+
+
+def _jd(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    at = lambda c, n: (F.col(c) % n).cast("int")
+    return o.select(F.col("o_orderkey").alias("id"), geo.julian_date(F.year("o_orderdate"), F.month("o_orderdate"), F.day("o_orderdate"), at("o_orderkey", 24), at("o_custkey", 60), at("o_orderkey", 60)).alias("jd"))
+
+
+@query("Q1_julian_date", f"SELECT id, round(jd, 7) AS jd FROM ({JULIAN})")
+def _(spark, d):
+    return rounded(_jd(spark, d), 7)
+
+
+@query("Q2_gps_time", f"SELECT id, CAST(trunc((jd - 2444244.5) / 7) AS INT) AS week, round(((jd - 2444244.5) - trunc((jd - 2444244.5) / 7) * 7) * 86400, 2) AS seconds FROM ({JULIAN})")
+def _(spark, d):
+    return _jd(spark, d).select("id", geo.gps_week(F.col("jd")).alias("week"), F.round(geo.gps_seconds(F.col("jd")), 2).alias("seconds"))
+
+
+E2 = f"CAST({(geo.AXIS_A**2 - geo.AXIS_B**2) / geo.AXIS_A**2!r} AS DOUBLE)"
+
+
+@query("Q3_geodetic_to_cartesian", sql(QP) + f", n AS (SELECT id, radians(lat) AS b, radians(lon) AS l, 6378137.0 / sqrt(1 - {E2} * sin(radians(lat)) * sin(radians(lat))) AS n FROM query_points) SELECT id, round((n + 100) * cos(b) * cos(l), 4) AS x, round((n + 100) * cos(b) * sin(l), 4) AS y, round((n * (1 - {E2}) + 100) * sin(b), 4) AS z FROM n")
+def _(spark, d):
+    c = view(spark, d, QP).select("id", geo.to_cartesian(F.col("lat"), F.col("lon"), F.lit(100.0)).alias("c"))
+    return c.select("id", *[F.round(f"c.{k}", 4).alias(k) for k in "xyz"])
+
+
+@query("Q4_cartesian_round_trip", sql(QP) + "SELECT id, round(lat, 9) AS lat, round(lon, 9) AS lon, CAST(100 AS DOUBLE) AS height FROM query_points")
+def _(spark, d):
+    c = view(spark, d, QP).select("id", geo.to_cartesian(F.col("lat"), F.col("lon"), F.lit(100.0)).alias("c"))
+    b = c.select("id", geo.to_geodetic(F.col("c.x"), F.col("c.y"), F.col("c.z")).alias("b"))
+    return b.select("id", F.round("b.lat", 9).alias("lat"), F.round("b.lon", 9).alias("lon"), F.round("b.height", 4).alias("height"))
+
+
+@query("Q6_gauss_kruger")
+def _(spark, d):
+    g = view(spark, d, QP).select("id", geo.gauss_kruger(F.col("lat"), F.col("lon")).alias("g"))
+    return g.select("id", F.round("g.x", 4).alias("x"), F.round("g.y", 4).alias("y"))
+
+
+@query("Q8_decimal_year", "SELECT o_orderkey AS id, round(extract(year FROM o_orderdate) + dayofyear(o_orderdate) / CAST(dayofyear(make_date(CAST(extract(year FROM o_orderdate) AS INT), 12, 31)) AS DOUBLE), 9) AS y FROM orders")
+def _(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    return o.select(F.col("o_orderkey").alias("id"), F.round(geo.decimal_year(F.col("o_orderdate")), 9).alias("y"))
+
+
+def _steps(table, c):
+    steps, rest = table
+    return "CASE " + " ".join(f"WHEN {c} > {a} THEN {s}" for a, s in steps) + f" ELSE {rest} END"
+
+
+@query("Q12_line_spacing", "SELECT event_id, CAST(" + _steps(geo.MARINE_SPACING, "c") + " AS DOUBLE) AS marine, CAST(" + _steps(geo.AIR_SPACING, "c") + " AS DOUBLE) AS air FROM (SELECT event_id, CAST(event_id % 800 - 200 AS DOUBLE) / 100 AS c FROM events)")
+def _(spark, d):
+    c = (F.col("event_id") % 800 - 200).cast("double") / 100
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", geo.line_spacing(c).alias("marine"), geo.line_spacing(c, True).alias("air"))
+
+
+@query("Q13_rotation", sql(SP) + "SELECT id, round(20 + (x - 20) * cos(radians(30)) - (y - 20) * sin(radians(30)), 6) AS rx, round(20 + (x - 20) * sin(radians(30)) + (y - 20) * cos(radians(30)), 6) AS ry FROM survey_points")
+def _(spark, d):
+    r = view(spark, d, SP).select("id", geo.rotate(F.col("x"), F.col("y"), F.lit(20.0), F.lit(20.0), F.lit(30.0)).alias("r"))
+    return r.select("id", F.round("r.x", 6).alias("rx"), F.round("r.y", 6).alias("ry"))
+
+
+@query("Q14_azimuth", sql(SP) + "SELECT id, round(CASE WHEN dx = 0 OR dy = 0 THEN 0 WHEN atan2(dy, dx) < 0 THEN atan2(dy, dx) + 2 * pi() ELSE atan2(dy, dx) END, 9) AS a FROM (SELECT id, x - 25 AS dx, y - 20 AS dy FROM survey_points)")
+def _(spark, d):
+    return view(spark, d, SP).select("id", F.round(geo.azimuth(F.col("x") - 25, F.col("y") - 20), 9).alias("a"))
+
+
+@query("Q17_normalise", sql(SP) + "SELECT id, round((x - lo) / (hi - lo), 9) AS u, round(2 * (x - lo) / (hi - lo) - 1, 9) AS s FROM survey_points, (SELECT min(x) AS lo, max(x) AS hi FROM survey_points)")
+def _(spark, d):
+    p = view(spark, d, SP)
+    span = surface.normaliser(p, "x")["x"]
+    return p.select("id", F.round(surface.scaled(F.col("x"), span), 9).alias("u"), F.round(surface.scaled(F.col("x"), span, True), 9).alias("s"))
+
+
+@query("Q19_nearest_on_segment", sql(SP) + "SELECT id, round(10 + t * 30, 6) AS px, round(5 + t * 20, 6) AS py FROM (SELECT id, greatest(0, least(1, ((x - 10) * 30 + (y - 5) * 20) / CAST(1300 AS DOUBLE))) AS t FROM survey_points)")
+def _(spark, d):
+    s = view(spark, d, SP).select("id", geo.nearest_on_segment(F.col("x"), F.col("y"), *map(F.lit, (10.0, 5.0, 40.0, 25.0))).alias("s"))
+    return s.select("id", F.round("s.x", 6).alias("px"), F.round("s.y", 6).alias("py"))
+
+
+@query("Q21_path_json", "SELECT line_id, count(*) AS n FROM (SELECT user_id % 8 AS line_id FROM events WHERE event_id % 100 = 0) GROUP BY line_id")
+def _(spark, d):
+    t = view(spark, d, ST).where("seq % 100 = 0").groupBy("line_id").agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("seq", F.col("v").cast("double").alias("v")))).alias("path"))).alias("j"))
+    return t.select("line_id", F.size(F.from_json("j", "path array<struct<seq:long,v:double>>")["path"]).cast("long").alias("n"))
+
+
+# --- main field; the coefficients of low degree are enough for a check
+
+#: fixed values: n, m, g, h, gdot, hdot of the 2020 main field to degree 2
+LOW_DEGREE = [
+    (1, 0, -29404.5, 0.0, 6.7, 0.0), (1, 1, -1450.7, 4652.9, 7.7, -25.1),
+    (2, 0, -2500.0, 0.0, -11.5, 0.0), (2, 1, 2982.0, -2991.6, -7.1, -30.2), (2, 2, 1676.8, -734.8, -2.2, -23.9),
+]
+
+
+def _field(spark, d):
+    p = view(spark, d, QP).withColumns({"height": F.lit(0.5), "year": F.lit(2021.5)})
+    return mainfield.main_field(p, [mainfield.Model(2020.0, LOW_DEGREE)])
+
+
+@query("M1_main_field")
+def _(spark, d):
+    return _field(spark, d).select("id", *[F.round(f"field.{c}", 3).alias(c) for c in mainfield.FIELDS])
+
+
+@query("M7_time_adjust", "SELECT n, m, round(g + 1.5 * gd, 6) AS g, round(h + 1.5 * hd, 6) AS h FROM (VALUES " + ", ".join(f"({n}, {m}, CAST({g} AS DOUBLE), CAST({h} AS DOUBLE), CAST({gd} AS DOUBLE), CAST({hd} AS DOUBLE))" for n, m, g, h, gd, hd in LOW_DEGREE) + ") t(n, m, g, h, gd, hd)")
+def _(spark, d):
+    c = spark.createDataFrame(LOW_DEGREE, "n int, m int, g double, h double, gd double, hd double")
+    return c.select("n", "m", F.round(F.col("g") + 1.5 * F.col("gd"), 6).alias("g"), F.round(F.col("h") + 1.5 * F.col("hd"), 6).alias("h"))
+
+
+@query("M8_uncertainty", sql(SP) + "SELECT id, round(least(sqrt(CAST(0.26 AS DOUBLE) * 0.26 + pow(5417 / (CAST(v AS DOUBLE) + 1), 2)), 180), 6) AS u FROM survey_points")
+def _(spark, d):
+    return view(spark, d, SP).select("id", F.round(geo.horizontal_uncertainty(F.col("v").cast("double") + 1), 6).alias("u"))
+
+
+@query("M11_epoch_reduction")
+def _(spark, d):
+    p = view(spark, d, QP).withColumns({"height": F.lit(0.5), "t": F.lit(45000.0)})
+    return mainfield.to_epoch(p, [mainfield.Model(2020.0, LOW_DEGREE)], 2020.0, 2022.0).select("id", F.round("reduced", 3).alias("reduced"))
+
+
+# --- surfaces
+
+
+@query("N1_polynomial", sql(SP) + "SELECT id, round(x * 2 - y * 3 + x * y / 10 + 7, 3) AS fit FROM survey_points")
+def _(spark, d):
+    p = view(spark, d, SP).withColumn("v", F.col("x") * 2 - F.col("y") * 3 + F.col("x") * F.col("y") / 10 + 7)
+    return surface.Polynomial(3).fit(p).evaluate(p).select("id", F.round("fit", 3).alias("fit"))
+
+
+LEG = "(SELECT id, 2 * (x - x0) / (x1 - x0) - 1 AS a, 2 * (y - y0) / (y1 - y0) - 1 AS b, CAST(v AS DOUBLE) AS v FROM survey_points, (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM survey_points))"
+
+
+@query("N2_legendre_surface", sql(SP) + f", s AS {LEG}, c AS (SELECT sum(v) / count(*) / 4 AS c00, sum(v * b) / count(*) * 0.75 AS c01, sum(v * a) / count(*) * 0.75 AS c10, sum(v * a * b) / count(*) * 2.25 AS c11 FROM s) SELECT id, round(c00 + c01 * b + c10 * a + c11 * a * b, 4) AS fit FROM s, c")
+def _(spark, d):
+    p = view(spark, d, SP)
+    return surface.legendre_surface(p, p.select("id", "x", "y"), 1).select("id", F.round("fit", 4).alias("fit"))
+
+
+def _grid(spark, d, size=5.0):
+    g = grids.bin_mean(view(spark, d, SP), size)
+    return g.select((F.col("col") * size).alias("x"), (F.col("row") * size).alias("y"), F.col("mean").alias("v"))
+
+
+@query("N3_multiquadric_blocks")
+def _(spark, d):
+    g = _grid(spark, d)
+    return rounded(surface.by_blocks(g, g.select("x", "y"), 20.0, 5.0, surface.solve_multiquadric), 4)
+
+
+@query("N5_tension_spline")
+def _(spark, d):
+    g = _grid(spark, d)
+    return rounded(surface.by_blocks(g, g.select("x", "y"), 20.0, 5.0, surface.solve_tension), 4)
+
+
+@query("N6_local_thin_plate", BINS.replace("/ 2)", "/ 5)") + "SELECT col * CAST(5 AS DOUBLE) AS x, row * CAST(5 AS DOUBLE) AS y, round(mean, 4) AS fit FROM cells")
+def _(spark, d):
+    g = _grid(spark, d)  # nodes are met exactly
+    return rounded(surface.by_blocks(g, g.select("x", "y"), 20.0, 5.0, surface.solve_local), 4)
+
+
+@query("N12_continuation")
+def _(spark, d):
+    return rounded(continuation.continue_grids(_grid(spark, d).withColumn("grid_id", F.lit(1)), 1.0, 5.0, 5.0), 4)
+
+
+@query("N12_downward")
+def _(spark, d):
+    return rounded(continuation.continue_grids(_grid(spark, d).withColumn("grid_id", F.lit(1)), 1.0, 5.0, 5.0, "landweber"), 4)
+
+
+@query("N13_block_model")
+def _(spark, d):
+    g = _grid(spark, d)
+    fit = surface.by_blocks(g, g, 25.0, 5.0, surface.solve_multiquadric)
+    return fit.groupBy(F.floor(F.col("x") / 25).alias("bi"), F.floor(F.col("y") / 25).alias("bj")).agg(F.round(F.sqrt(F.avg((F.col("fit") - F.col("v")) ** 2)), 4).alias("rms"))
+
+
+@query("N15_support_vectors")
+def _(spark, d):
+    g = _grid(spark, d)
+    return rounded(surface.by_blocks(g, g.select("x", "y"), 25.0, 5.0, lambda p, v, q: surface.fit_lssvm(p / 5, v, 2.0, 100.0)(q / 5)), 4)
+
+
+@query("N16_particle_swarm")
+def _(spark, d):
+    s, c, e = surface.tune_lssvm(_grid(spark, d), particles=8, rounds=2, most=300)
+    return spark.createDataFrame([(s, c, e)], "sigma double, c double, error double")
+
+
+@query("N17_compressive_sensing")
+def _(spark, d):
+    g = _grid(spark, d).withColumn("tile", (F.col("y") / 20).cast("int"))
+    return rounded(surface.reconstruct_tiles(g, "tile", 0.6, 10), 4)
+
+
+@query("N19_contours", BINS + ", sq AS (SELECT a.row, a.col FROM cells a JOIN cells b ON b.row = a.row AND b.col = a.col + 1 JOIN cells c ON c.row = a.row + 1 AND c.col = a.col JOIN cells e ON e.row = a.row + 1 AND e.col = a.col + 1 WHERE NOT (a.mean < 51000 AND b.mean < 51000 AND c.mean < 51000 AND e.mean < 51000) AND NOT (a.mean >= 51000 AND b.mean >= 51000 AND c.mean >= 51000 AND e.mean >= 51000)) SELECT row, col FROM sq")
+def _(spark, d):
+    return grids.contours(grids.bin_mean(view(spark, d, SP), 2.0), [51000.0]).select("row", "col")
+
+
+# --- complexity, accuracy, navigation
+
+
+@query("X1_complexity")
+def _(spark, d):
+    return rounded(complexity.complexity(view(spark, d, SP), 2.0, 2).select("row", "col", "complexity", "spacing"), 4)
+
+
+@query("X3_check_lines")
+def _(spark, d):
+    lines = view(spark, d, SP).select((F.col("id") % 4).alias("line_id"), F.col("id").alias("seq"), "x", "y", "v").where("id % 50 = 0")
+    return rounded(accuracy.check_lines(_grid(spark, d), lines, 20.0, 5.0, 21), 4)
+
+
+def _tracks(spark, d):
+    base = _grid(spark, d, 1.0)
+    path = base.where("x = y AND x BETWEEN 10 AND 20").select(F.lit(1).alias("track_id"), F.col("x").cast("long").alias("seq"), (F.col("x") + 2).alias("x"), (F.col("y") - 1).alias("y"), "v")
+    return base, path
+
+
+@query("V1_terrain_match", "SELECT 1 AS track_id, CAST(-2 AS DOUBLE) AS dx, CAST(1 AS DOUBLE) AS dy")
+def _(spark, d):
+    base, path = _tracks(spark, d)
+    return navigation.tercom(base, path, 4.0, 2.0).select("track_id", "dx", "dy")
+
+
+@query("V2_terrain_match_turned", "SELECT 1 AS track_id, CAST(-2 AS DOUBLE) AS dx, CAST(1 AS DOUBLE) AS dy, CAST(0 AS DOUBLE) AS angle")
+def _(spark, d):
+    base, path = _tracks(spark, d)
+    return navigation.tercom(base, path, 3.0, 2.0, angles=[-5.0, 0.0, 5.0]).select("track_id", "dx", "dy", "angle")
+
+
+@query("V3_kalman_match")
+def _(spark, d):
+    base, path = _tracks(spark, d)
+    return rounded(navigation.match_tracks(base, path, 1.0, "sitan"), 4)
+
+
+@query("V4_contour_match")
+def _(spark, d):
+    base, path = _tracks(spark, d)
+    return rounded(navigation.match_tracks(base, path, 1.0, "iccp"), 4)
+
+
+@query("V6_autonav")
+def _(spark, d):
+    base, path = _tracks(spark, d)
+    return rounded(navigation.autonav(base, path, 1.0, 4.0), 4)
