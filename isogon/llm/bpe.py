@@ -8,7 +8,8 @@ replayed once in a worker's life, as long as its cache has room.
 
 A rank file also lets two tokens join whose union has a lower rank than the merge
 just made; then the order inside the word matters, so that such words (rare) are
-done again one merge at a time, as the definition has it.
+done again one merge at a time, as the definition has it; which tokens can lead to
+that is known from the file.
 
 Nulls are empty texts. Equal rows stay separate rows. Other columns are dropped."""
 
@@ -57,6 +58,12 @@ class MergeReplay:
         # the last key can't occur, so that every search lands inside
         self.keys = np.append(keys[order], np.int64(1) << 62)
         self.rank = np.append(np.fromiter(found.values(), np.int32, len(found))[order], NONE)
+        # tokens that can join into one of a lower rank: merging all their places at once may miss that
+        self.early = np.zeros(len(self.token), bool)
+        for k, r in found.items():
+            for part in (k >> 20, k & (1 << 20) - 1):
+                if r < part:
+                    self.early[part] = True
 
     def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         want = a.astype(np.int64) << 20 | b
@@ -101,6 +108,9 @@ class MergeReplay:
             at = at[rank[at] == r]
             if not len(at):
                 continue
+            if self.early[r] and len(at) > 1:  # matters in words that have it twice
+                word = np.searchsorted(ends, at, side="right")
+                again.append(at[1:][word[1:] == word[:-1]])
             right = nxt[at]
             if len(at) > 1 and (at[1:] == right[:-1]).any():  # a run such as aaa: from the left
                 keep, last = [], -1
@@ -122,8 +132,6 @@ class MergeReplay:
                 continue
             new = self.pair(sym[left], sym[nxt[left]])
             rank[left] = new
-            if (low := new < r).any():
-                again.append(left[low])
             left, new = left[new != NONE], new[new != NONE]
             if not len(left):
                 continue
@@ -139,7 +147,7 @@ class MergeReplay:
         alive = sym >= 0
         ids = sym[alive]
         offsets = np.concatenate([[0], np.cumsum(alive)[ends - 1] if some.all() else np.concatenate([[0], np.cumsum(alive)])[ends]])
-        if again:
+        if sum(map(len, again)):
             ids, offsets = self._redo(words, ids, offsets, np.unique(np.searchsorted(ends, np.concatenate(again), side="right")))
         return ids, offsets
 
