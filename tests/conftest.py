@@ -24,3 +24,9 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def sf():
     return os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+@pytest.fixture(scope="session")
+def sf_mid():
+    """Large enough for tracks and squares of cells."""
+    return os.environ.get("TEST_SF_MID", "/root/testdata/sf0.01")
