@@ -84,7 +84,7 @@ def mix(docs: DataFrame, target_entropy: float | None = 0.95, repetition_limit:
     """(id_col, source, n_tokens, weight, epoch, block, position, sig): a row for each
     time that a document is used; sig is a hash of its id, source and text."""
     tokens = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
-    sig = draw(seed, F.col(id_col), F.col(source_col), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    sig = draw(seed, F.col(id_col), F.col(source_col), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
     rows = through_table(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), tokens.alias("n_tokens"), sig.alias("sig")), "mixing")
     totals = rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
     plan = weights(totals, target_entropy, repetition_limit, budget_tokens)
@@ -115,11 +115,49 @@ def mix(docs: DataFrame, target_entropy: float | None = 0.95, repetition_limit:
 
 def take(docs: DataFrame, used: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 5) -> DataFrame:
     """The rows of docs, as often as `used` (of mix with the same columns and seed) uses them."""
-    sig = draw(seed, F.col(id_col), F.col(source_col), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    sig = draw(seed, F.col(id_col), F.col(source_col), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
     times = used.select("sig", "epoch").distinct().groupBy("sig").agg(F.count("*").alias("_n"))
     return docs.withColumn("_sig", sig).join(times.withColumnRenamed("sig", "_sig").hint("merge"), "_sig").withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(docs.columns)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mix(docs).drop("sig")
+    return mix(docs).drop("sig").withColumns({"weight": F.round("weight", 9), "position": F.round("position", 9)})
+
+
+def _draw(seed: int, *parts: str) -> str:
+    text = " || '|' || ".join([f"'{seed}'", *(f"coalesce(CAST({p} AS VARCHAR), '\\N')" for p in parts)])
+    return f"CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT)"
+
+
+def _flat(a: str, entropy: float, limit: float) -> str:
+    total = f"list_sum(list_transform(q, lambda x: pow(x, {a})))"
+    ratio = f"list_transform(q, lambda x: pow(x, {a}) / x)"
+    return f"(-list_sum(list_transform(q, lambda x: pow(x, {a}) / {total} * ln(pow(x, {a}) / {total}))) > {entropy} * ln(n) OR list_max({ratio}) / list_min({ratio}) > {limit})"
+
+
+#: op7 with its production parameters: the same draws, weights and cuts.
+ORACLE = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id AS id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens,
+    {_draw(5, "doc_id", "source", "md5(coalesce(text, ''))")} AS sig FROM documents),
+t AS (SELECT source, sum(n_tokens) AS tokens FROM d GROUP BY source),
+q AS (SELECT list(tokens / CAST(total AS DOUBLE) ORDER BY source NULLS FIRST) AS q, count(*) AS n, max(total) AS total FROM t, (SELECT sum(tokens) AS total FROM t) WHERE tokens > 0),
+b AS (SELECT 0 AS i, CAST(0 AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS hi UNION ALL
+  SELECT i + 1, CASE WHEN f THEN mid ELSE lo END, CASE WHEN f THEN hi ELSE mid END
+  FROM (SELECT i, lo, hi, (lo + hi) / 2 AS mid, {_flat("((lo + hi) / 2)", 0.95, 4.0)} AS f FROM b, q WHERE i < 50)),
+a AS (SELECT CASE WHEN n = 0 THEN 1 WHEN NOT {_flat("0.0", 0.95, 4.0)} THEN 0 ELSE hi END AS alpha, total FROM b, q WHERE i = 50),
+w AS (SELECT source, tokens, pow(tokens / CAST(total AS DOUBLE), alpha) / sum(pow(tokens / CAST(total AS DOUBLE), alpha)) OVER () AS weight, total FROM t, a WHERE tokens > 0),
+g AS (SELECT source, tokens, weight, weight * min_budget AS target FROM w, (SELECT max(total) / min(weight / (tokens / CAST(total AS DOUBLE))) AS min_budget FROM w)),
+p0 AS (SELECT t.source, t.tokens, coalesce(g.weight, 0) AS weight, coalesce(g.target, 0) AS target, CASE WHEN t.tokens > 0 THEN greatest(g.target / t.tokens, 0) ELSE 1 END AS repeats FROM t LEFT JOIN g ON t.source IS NOT DISTINCT FROM g.source),
+p AS (SELECT *, CAST(floor(repeats + 1e-9) AS BIGINT) AS nfull, CASE WHEN repeats - floor(repeats + 1e-9) < 1e-9 THEN 0 ELSE greatest(target - floor(repeats + 1e-9) * tokens, 0) END AS rest, greatest(CAST(ceil(tokens / CAST(200000 AS DOUBLE)) AS BIGINT), 1) AS blocks FROM p0),
+r AS (SELECT d.*, weight, repeats, nfull, rest, sig % blocks AS block FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+bl AS (SELECT source, block, sum(n_tokens) AS size, any_value(nfull) AS nfull, any_value(rest) AS rest FROM r WHERE rest > 0 GROUP BY source, block),
+c AS (SELECT source, block, size, rest - coalesce(sum(size) OVER (PARTITION BY source ORDER BY {_draw(6, "source", "nfull", "block")}, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS budget FROM bl),
+l AS (SELECT r.*, c.size, c.budget, coalesce(sum(n_tokens) OVER (PARTITION BY r.source, r.block ORDER BY {_draw(7, "nfull", "sig")}, id, sig ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+  FROM r JOIN c ON r.source IS NOT DISTINCT FROM c.source AND r.block = c.block WHERE rest > 0 AND budget > 0),
+u AS (SELECT id, source, n_tokens, weight, repeats, nfull, sig, block, e AS epoch FROM r, range(0, 64) x(e) WHERE e < nfull
+  UNION ALL SELECT id, source, n_tokens, weight, repeats, nfull, sig, block, nfull FROM l WHERE size <= budget OR ahead < budget)
+SELECT id AS doc_id, source, n_tokens, round(weight, 9) AS weight, epoch, block,
+  round((epoch + ({_draw(8, "source", "epoch", "block")} % 1073741824 + {_draw(9, "epoch", "sig")} / CAST(1152921504606846976 AS DOUBLE)) / CAST(1073741824 AS DOUBLE) * CASE WHEN epoch < nfull THEN 1 ELSE repeats - nfull END) / greatest(repeats, 1e-12), 9) AS position
+FROM u"""

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_substring_dedup": substrings.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op7_source_mixing": mixing.ORACLE}

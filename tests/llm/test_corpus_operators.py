@@ -307,6 +307,18 @@ def test_mixing(spark, budget):
     assert mixing.mix(empty(spark)).count() == 0
 
 
+def test_mixing_against_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    cur = con.execute(mixing.ORACLE)
+    names = [x[0] for x in cur.description]
+    got = mixing.op7(spark, sf)
+    assert sorted(got.columns) == sorted(names)
+    assert Counter(cur.fetchall()) == rows(got, *names)
+
+
 # --- SimHash
 
 
