@@ -165,7 +165,7 @@ class Encoder:
     """Encodes documents; keeps the ids of units of text (what lies between two
     safe splits before a space) as long as there is room for `room` of them."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, room: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, room: int = 250_000):
         import regex
 
         self.replay, self.find, self.room = MergeReplay(ranks), regex.compile(pattern).findall, room

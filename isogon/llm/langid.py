@@ -198,7 +198,7 @@ def learn(labelled: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 class Scorer:
     """A model and the values of the words met so far."""
 
-    def __init__(self, model: Model, room: int = 300_000):
+    def __init__(self, model: Model, room: int = 150_000):
         import regex
 
         self.model, self.room, self.letter = model, room, regex.compile(r"\p{L}").search
@@ -250,7 +250,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             at = 0
             while at < len(texts):
                 end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end] or "") <= 8 << 20):
+                while end < len(texts) and (end == at or size + len(texts[end] or "") <= 4 << 20):
                     size += len(texts[end] or "")
                     end += 1
                 a, s = scorer.score(texts[at:end])
