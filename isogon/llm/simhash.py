@@ -128,11 +128,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(member.join(best, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that are not the least id of their component. Rows that
-    repeat the kept id count as one document: one of them stays. Rows whose id is
-    null can't be told apart and stay."""
-    found = near_duplicates(docs, id_col, text_col)
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """docs without those that are not the least id of their component, by
+    fingerprints of five-word shingles. Rows that repeat the kept id count as one
+    document: one of them stays. Rows whose id is null can't be told apart and stay."""
+    found = near_duplicates(docs, id_col, text_col, shingle)
     keep = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
     known = docs.where(F.col(id_col).isNotNull())
     return known.join(keep.hint("merge"), id_col, "left_semi").dropDuplicates([id_col]).unionAll(docs.where(F.col(id_col).isNull())).select(docs.columns)
