@@ -51,17 +51,24 @@ def _(spark, d):
     return view(spark, d, QP).select("id", geo.mamea_index(F.col("lon"), F.col("lat")).alias("index_ij"))
 
 
-NEAR = "(p.x - o.x) * (p.x - o.x) + (p.y - o.y) * (p.y - o.y)"
+#: all order points moved by an amount that depends on their value, so that some survey points are near none
+SKEWED = "x + CAST(v AS DOUBLE) / 1000000 - 0.25 AS x, y + 0.0625 AS y"
+PLACES = f", o AS (SELECT DISTINCT {SKEWED} FROM order_points), p AS (SELECT DISTINCT x, y FROM survey_points), hit AS (SELECT DISTINCT p.x, p.y FROM p JOIN o ON abs(p.x - o.x) <= 1 AND abs(p.y - o.y) <= 1 WHERE (p.x - o.x) * (p.x - o.x) + (p.y - o.y) * (p.y - o.y) <= {{r2}}) "
 
 
-@query("J2_within_radius", sql(SP, OP) + f"SELECT p.id, p.x, p.y FROM survey_points p WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT x, y FROM order_points WHERE id % 64 = 0) o WHERE {NEAR} <= 0.36)")
+def _skewed(spark, d):
+    return view(spark, d, OP).selectExpr(*SKEWED.split(", "))
+
+
+
+@query("J2_within_radius", sql(SP, OP) + PLACES.format(r2=0.01) + "SELECT id, x, y FROM survey_points JOIN hit USING (x, y)")
 def _(spark, d):
-    return joins.within(view(spark, d, SP).select("id", "x", "y"), view(spark, d, OP).where("id % 64 = 0"), 0.6)
+    return joins.within(view(spark, d, SP).select("id", "x", "y"), _skewed(spark, d), 0.1)
 
 
-@query("J3_check_point_match", sql(SP, OP) + f"SELECT count(*) AS n FROM survey_points p WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT x, y FROM order_points WHERE id % 32 = 1) o WHERE {NEAR} <= 0.16)")
+@query("J3_check_point_match", sql(SP, OP) + PLACES.format(r2=0.0225) + "SELECT count(*) AS n FROM survey_points JOIN hit USING (x, y)")
 def _(spark, d):
-    return joins.within(view(spark, d, SP), view(spark, d, OP).where("id % 32 = 1"), 0.4).agg(F.count("*").alias("n"))
+    return joins.within(view(spark, d, SP), _skewed(spark, d), 0.15).agg(F.count("*").alias("n"))
 
 
 KNN = sql(QP, AG) + """, g AS (SELECT DISTINCT index_ij AS gid, min(lon) AS x, min(lat) AS y, min(CAST(value AS DOUBLE)) AS v FROM anomaly_grid GROUP BY index_ij),
@@ -407,12 +414,18 @@ def _(spark, d):
     return rounded(complexity.features(grids.bin_mean(view(spark, d, SP), 2.0), 2).select("row", "col", "sigma", "average", "slope", "grad_sigma"), 3)
 
 
+@query("A20_track_misfit", f"SELECT line_id, round(CAST(sum((a - b) * (a - b)) AS DOUBLE) / count(*), 5) AS msd FROM {PAIR} GROUP BY line_id")
+def _(spark, d):
+    r = stats.rmse(_pair(spark, d), "a", "b", ["line_id"])
+    return r.select("line_id", F.round(F.col("rmse") * F.col("rmse"), 5).alias("msd"))
+
+
 # --- sorting and sets
 
 
-@query("T1_sorted_points", sql(SP) + "SELECT id, x, y FROM survey_points ORDER BY x, y, id LIMIT 100")
+@query("T1_sorted_points", sql(SP) + "SELECT id, x, y FROM survey_points ORDER BY x, y, id")
 def _(spark, d):
-    return view(spark, d, SP).select("id", "x", "y").orderBy("x", "y", "id").limit(100)
+    return view(spark, d, SP).select("id", "x", "y").orderBy("x", "y", "id")
 
 
 @query("T2_distinct_coordinates", sql(SP) + "SELECT DISTINCT x FROM survey_points ORDER BY x")
@@ -517,12 +530,19 @@ def _(spark, d):
     return s.select("id", F.round("s.x", 6).alias("px"), F.round("s.y", 6).alias("py"))
 
 
+# as drawn: the path is thinned first (F15)
 @query("Q21_path_json", "SELECT line_id, count(*) AS n FROM (SELECT user_id % 8 AS line_id FROM events WHERE event_id % 100 = 0) GROUP BY line_id")
 def _(spark, d):
     t = view(spark, d, ST).where("seq % 100 = 0").groupBy("line_id").agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("seq", F.col("v").cast("double").alias("v")))).alias("path"))).alias("j"))
     return t.select("line_id", F.size(F.from_json("j", "path array<struct<seq:long,v:double>>")["path"]).cast("long").alias("n"))
 
 
+@query("Q16_legendre", sql(SP) + "SELECT id, 1.0::DOUBLE AS p0, round(u, 9) AS p1, round((3 * u * u - 1) / 2, 9) AS p2, round((5 * u * u * u - 3 * u) / 2, 9) AS p3 FROM (SELECT id, x / 25 - 1 AS u FROM survey_points)")
+def _(spark, d):
+    p = view(spark, d, SP).select("id", (F.col("x") / 25 - 1).alias("u"))
+    return p.select("id", *[F.round(c, 9).cast("double").alias(f"p{i}") for i, c in enumerate(geo.legendre(F.col("u"), 3))])
+
+
 # --- main field; the coefficients of low degree are enough for a check
 
 #: fixed values: n, m, g, h, gdot, hdot of the 2020 main field to degree 2
@@ -650,7 +670,7 @@ def _(spark, d):
 
 @query("X3_check_lines")
 def _(spark, d):
-    lines = view(spark, d, SP).select((F.col("id") % 4).alias("line_id"), F.col("id").alias("seq"), "x", "y", "v").where("id % 50 = 0")
+    lines = view(spark, d, SP).select((F.col("id") % 4).alias("line_id"), F.col("id").alias("seq"), "x", "y", "v")
     return rounded(accuracy.check_lines(_grid(spark, d), lines, 20.0, 5.0, 21), 4)
 
 

@@ -23,7 +23,8 @@ def export_complexity(df: DataFrame, path: str) -> None:
 
 
 def table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Query results, comma-separated with CRLF ends and a header."""
+    """Query results, comma-separated with a header; lines end in a line feed, as
+    Spark's CSV writer takes one character."""
     df.write.mode(mode).csv(path, header=True, lineSep="\n")
 
 
