@@ -2,7 +2,8 @@
 
 language ID      texts without a language (null, or no letter) go
 line dedup       chunks of lines that were seen before are taken out of the texts
-SimHash          of each group of near-duplicates the least id stays
+SimHash          of each group of near-duplicates (five-word shingles, Jaccard similarity
+                 0.8 or more; candidates also by MinHash bands) the least id stays
 mixing           sources are repeated by temperature weights, at most twice; at the
                  least budget that uses every document, so that none goes
 byte-level BPE   encodes and decodes what is left: a row for each use of a document
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isogon.cluster import through_table
-from isogon.llm import bpe, langid, linededup, mixing, simhash
+from isogon.llm import bpe, langid, linededup, mixing, shingles
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +28,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near_duplicates(docs)
+    return shingles.drop_similar(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 
@@ -30,3 +32,31 @@ def test_mixing_keeps_every_document(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = corpus_pipeline.mixture(spark, docs, sf).groupBy("doc_id").agg(F.count("*").alias("n")).collect()
     assert {r.doc_id for r in got} == {r.doc_id for r in docs.collect()} and max(r.n for r in got) <= 2
+
+
+def test_simhash_stage_reaches_jaccard(spark):
+    """Edited copies at 0.8 or more go, also from a group too large for pairs; at less they stay."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    shingles = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    data = []
+    for _ in range(25):
+        base = [word() for _ in range(r.randrange(60, 300))]
+        data.append(base)
+        for _ in range(3):
+            copy = list(base)
+            for i in r.sample(range(len(copy)), max(1, len(copy) * r.randrange(1, 7) // 200)):
+                copy[i] = word()
+            data.append(copy)
+    base = [word() for _ in range(200)]
+    data += [[*base[:i], word(), *base[i + 1 :]] for i in range(100)]
+    sets = [shingles(t) for t in data]
+    root = list(range(len(data)))
+    for i in range(len(data)):
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate(data)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert got == set(root) and 25 < len(got) < 100
