@@ -466,3 +466,14 @@ def test_passages(spark):
     left = {r.doc_id: r.text for r in substrings.cut_out(table(spark, texts), spans).collect()}
     assert left[4] == texts[4][1] and left[17].split() == docs[17][:30] + docs[17][100:] and left[100] == ""
     assert substrings.passages(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("length,apart", [(60, 40), (100, 300)])
+def test_passages_with_an_unlike_middle(spark, length, apart):
+    r = random.Random(6)
+    words = lambda n: ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    head, foot = words(length), words(length)
+    docs = [(i, " ".join(words(30) + head + words(apart) + foot + words(30))) for i in range(3)]
+    found = substrings.passages(table(spark, docs)).collect()
+    at = 30 + length + apart
+    assert {(f.id, f.start, f.end, f.other_start, f.share) for f in found} == {(i, a, a + length, a, 1.0) for i in (1, 2) for a in (30, at)}
