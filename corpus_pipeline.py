@@ -1,7 +1,7 @@
 """From documents to token counts and digests, in five stages.
 
 language ID      texts without a language (null, or no letter) go
-line dedup       chunks of lines that were seen before are taken out of the texts
+line dedup       runs of two lines or more that were seen before are taken out of the texts
 SimHash          of each group of near-duplicates (five-word shingles, Jaccard similarity
                  0.8 or more; candidates also by MinHash bands) the least id stays
 mixing           sources are repeated by temperature weights, at most twice; at the
@@ -24,7 +24,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return linededup.dedup(docs).select(docs.columns)
+    return linededup.dedup(docs, runs=True).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,13 @@ occurrence (by id, then hash of id and text, then place) stays; an occurrence
 elsewhere is removed if its bytes are those of the first. A chunk that only shares
 the hash stays.
 
+Chunks alone miss short repeats that lie across a cut, chunks of one line and the ends
+of longer repeats. With `runs` every pair of adjacent lines is looked up as well, in the
+same two passes and again with its bytes: lines go that belong to a pair whose first
+occurrence is elsewhere (in one document, does not overlap it). So of every run of two
+lines or more that stands earlier as adjacent lines, all lines go. The first
+occurrence of a line always stays.
+
 The first pass sends hashes only. The second sends the bytes of chunks whose hash
 may repeat; it tells by a bit map of `2 ** bits` bits, a fixed size, whose false
 hits cost some traffic and are dropped by the join that follows.
@@ -58,9 +65,21 @@ def _long_chunks(data, window, divisor, least):
             yield i, h - (1 << 64) if h >> 63 else h, raw
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, divisor: int = 2, least: int = 2, bits: int = 23) -> DataFrame:
+def _pairs(data, *_):
+    """(number, hash, bytes) of the pairs of adjacent lines."""
+    import xxhash
+
+    lines = data.split(b"\n")
+    for i in range(len(lines) - 1):
+        raw = lines[i] + b"\n" + lines[i + 1]
+        h = xxhash.xxh64_intdigest(raw, 2)
+        yield i, h - (1 << 64) if h >> 63 else h, raw
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, divisor: int = 2, least: int = 2, bits: int = 23, units=_long_chunks, apart: int = 1) -> DataFrame:
     """(id, sig, numbers): for each document (by id and hash of id and text) that has
-    some, the numbers of its chunks to remove."""
+    some, the numbers of its chunks (or other units) to remove. In the document of the
+    first occurrence these are `apart` or more after it."""
     ship(docs.sparkSession)
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("sig"), F.col(text_col).cast("binary").alias("t"))
     kind = rows.schema["id"].dataType
@@ -69,7 +88,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
         for b in batches:
             where, no, hs, size = [], [], [], []
             for k, t in enumerate(b.column(2).to_pylist()):
-                for i, h, raw in _long_chunks(t, window, divisor, least):
+                for i, h, raw in units(t, window, divisor, least):
                     where.append(k)
                     no.append(i)
                     hs.append(h)
@@ -93,7 +112,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
         for b in batches:
             where, no, hs, raws = [], [], [], []
             for k, t in enumerate(b.column(2).to_pylist()):
-                for i, h, raw in _long_chunks(t, window, divisor, least):
+                for i, h, raw in units(t, window, divisor, least):
                     spot = h & mask
                     if seen[spot >> 3] >> (spot & 7) & 1:
                         where.append(k)
@@ -106,16 +125,22 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     again = rows.mapInArrow(bytes_of, T.StructType([*place, T.StructField("raw", T.BinaryType())])).withColumn("size", F.octet_length("raw"))
     found = through_table(again.join(known, ["h", "size"]), "line-chunks")
     mine = F.struct("id", "sig", "no") == F.col("first")
-    is_first = F.coalesce(mine, F.col("id").eqNullSafe(F.col("first.id")) & (F.col("sig") == F.col("first.sig")) & (F.col("no") == F.col("first.no")))
+    home = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("sig") == F.col("first.sig"))
+    is_first = F.coalesce(mine, home & (F.col("no") == F.col("first.no")))
+    overlaps = home & (F.col("no") < F.col("first.no") + apart)
     kept = found.where(is_first).select("h", "size", F.col("raw").alias("first_raw")).dropDuplicates(["h", "size"])
-    gone = found.where(~is_first).join(kept, ["h", "size"]).where("raw = first_raw")
+    gone = found.where(~is_first & ~overlaps).join(kept, ["h", "size"]).where("raw = first_raw")
     return gone.groupBy("id", "sig").agg(F.collect_set("no").alias("numbers"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, divisor: int = 2, least: int = 2) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, divisor: int = 2, least: int = 2, runs: bool = False) -> DataFrame:
     """docs with the repeats taken out of the text, and _chunks, _lines, _removed_chunks
-    and _removed_lines."""
-    removed = through_table(repeats(docs, id_col, text_col, window, divisor, least), "line-removed").select(F.col("id").alias("_id"), F.col("sig").alias("_sig"), F.col("numbers").alias("_numbers"))
+    (all of whose lines went) and _removed_lines."""
+    removed = repeats(docs, id_col, text_col, window, divisor, least).withColumn("pairs", F.array().cast("array<int>"))
+    if runs:
+        pairs = repeats(docs, id_col, text_col, units=_pairs, apart=2).select("id", "sig", F.array().cast("array<int>").alias("numbers"), F.col("numbers").alias("pairs"))
+        removed = removed.unionAll(pairs).groupBy("id", "sig").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("numbers", "pairs")))
+    removed = through_table(removed, "line-removed").select(F.col("id").alias("_id"), F.col("sig").alias("_sig"), F.struct("numbers", "pairs").alias("_gone"))
     marked = docs.withColumn("_s", F.xxhash64(id_col, text_col))
     joined = marked.join(removed.hint("merge"), (F.col("_s") == F.col("_sig")) & F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_s", "_sig", "_id")
     names = docs.columns
@@ -126,10 +151,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
             texts, counts = [], ([], [], [], [])
             for t, gone in zip(b.column(where).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
                 parts = chunks(t.encode(), window, divisor) if t is not None else []
-                out = set(gone or ())
-                keep = [p for i, p in enumerate(parts) if i not in out]
-                texts.append(t if not out else b"\n".join(x for p in keep for x in p).decode())
-                for c, v in zip(counts, (len(parts), sum(map(len, parts)), len(out), sum(len(parts[i]) for i in out)), strict=True):
+                ends = np.cumsum([0] + [len(p) for p in parts]).tolist()
+                out = {i for n in gone["numbers"] for i in range(ends[n], ends[n + 1])} if gone else set()
+                out.update(i + k for i in (gone["pairs"] if gone else ()) for k in (0, 1))
+                texts.append(t if not out else b"\n".join(x for i, x in enumerate(x for p in parts for x in p) if i not in out).decode())
+                whole = sum(all(i in out for i in range(ends[n], ends[n + 1])) for n in range(len(parts))) if out else 0
+                for c, v in zip(counts, (len(parts), ends[-1], whole, len(out)), strict=True):
                     c.append(v)
             cols = [pa.array(texts, pa.string()) if i == where else b.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*cols, *(pa.array(c, pa.int32()) for c in counts)], names=[*names, *ADDED])
@@ -143,4 +170,4 @@ ADDED = ["_chunks", "_lines", "_removed_chunks", "_removed_lines"]
 
 def op2(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup(docs).select("doc_id", "text", *(F.col(c).alias(f"n{c}") for c in ADDED))
+    return dedup(docs, runs=True).select("doc_id", "text", *(F.col(c).alias(f"n{c}") for c in ADDED))

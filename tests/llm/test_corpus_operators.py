@@ -477,3 +477,31 @@ def test_passages_with_an_unlike_middle(spark, length, apart):
     found = substrings.passages(table(spark, docs)).collect()
     at = 30 + length + apart
     assert {(f.id, f.start, f.end, f.other_start, f.share) for f in found} == {(i, a, a + length, a, 1.0) for i in (1, 2) for a in (30, at)}
+
+
+def test_line_runs_across_cuts(spark):
+    """Every run of two lines or more that stands earlier goes whole, wherever cuts fall."""
+    r = random.Random(8)
+    blocks = [[f"block {b} line {i}" for i in range(n)] for b, n in enumerate([2, 2, 2, 3, 3, 4, 5])]
+    data = []
+    for i in range(40):
+        text = [f"own {i} {k}" for k in range(3)]
+        for b in r.sample(range(len(blocks)), 3):
+            text += [*blocks[b], f"own {i} after {b}"]
+        data.append((i, "\n".join(text)))
+    data += [(100, "a\na\na\na\na"), (101, "x\nlone"), (102, "lone\ny"), (103, None), (104, data[3][1]), (None, data[4][1])]
+    seen, want = {}, Counter()
+    for i, t in sorted(data, key=lambda d: -1 if d[0] is None else d[0]):
+        if t is None:
+            want[i, t] += 1
+            continue
+        lines = t.split("\n")
+        gone = set()
+        for k, pair in enumerate(zip(lines, lines[1:], strict=False)):
+            doc, at = seen.setdefault(pair, (i, k))
+            if doc != i or k >= at + 2:
+                gone |= {k, k + 1}
+        want[i, "\n".join(x for k, x in enumerate(lines) if k not in gone)] += 1
+    got = linededup.dedup(table(spark, data), runs=True)
+    assert rows(got, "doc_id", "text") == want
+    assert {x.doc_id: x._removed_lines for x in got.collect()}[104] == len(data[3][1].split("\n"))
