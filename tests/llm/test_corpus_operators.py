@@ -505,3 +505,17 @@ def test_line_runs_across_cuts(spark):
     got = linededup.dedup(table(spark, data), runs=True)
     assert rows(got, "doc_id", "text") == want
     assert {x.doc_id: x._removed_lines for x in got.collect()}[104] == len(data[3][1].split("\n"))
+
+
+def test_passage_with_one_seed_left(spark):
+    """60 words of which seven differ: only in their run of 23 equal words a seed is sure, one."""
+    r = random.Random(9)
+    words = lambda n: ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    docs = []
+    for i in range(40):
+        shared = words(60)
+        other = [w if k % 6 or k in (24, 30, 36) else words(1)[0] for k, w in enumerate(shared)]
+        docs += [(2 * i, " ".join(words(40) + shared + words(40))), (2 * i + 1, " ".join(words(40) + other + words(40)))]
+    found = substrings.passages(table(spark, docs)).collect()
+    assert all(f.id == f.other_id + 1 and f.share >= 0.8 and f.end - f.start >= 50 for f in found)
+    assert {f.id for f in found} == set(range(1, 80, 2))
