@@ -20,6 +20,8 @@ from isogon.llm import bpe, langid, linededup, mixing, shingles
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.learn(docs, langid.pieces_path())
+    if not model.langs:  # no labels to learn from say nothing against a text
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     return langid.predict(docs, model).where(F.col("lang_pred") != "und").select(docs.columns)
 
 

@@ -60,3 +60,9 @@ def test_simhash_stage_reaches_jaccard(spark):
     docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate(data)], "doc_id long, text string, lang string, source string, n_chars long")
     got = {x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
     assert got == set(root) and 25 < len(got) < 100
+
+
+def test_language_without_labels(spark):
+    docs = spark.createDataFrame([(1, "the cat and the dog", None, "s", 19), (2, None, None, "s", 0), (3, "12 34 ###", None, "s", 9), (4, "été", None, "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.language(spark, docs, "")
+    assert got.columns == docs.columns and {r.doc_id for r in got.collect()} == {1, 4}
