@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -19,10 +20,13 @@ def ship(spark: SparkSession) -> None:
     """Make this package importable in every Python worker of the application.
 
     Also bounds the Arrow batches sent to Python, so that tables of very long
-    texts do not build batches of gigabytes."""
+    texts do not build batches of gigabytes. What the session bounds lower stays. The
+    bounds stay set, as the frames that need them run later."""
     app = spark.sparkContext.applicationId
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", "4096"), ("spark.sql.execution.arrow.maxBytesPerBatch", "16777216")):
-        spark.conf.set(key, most)
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 4096), ("spark.sql.execution.arrow.maxBytesPerBatch", 16777216)):
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
     if app in _SHIPPED:
         return
     here = os.path.dirname(os.path.abspath(__file__))
@@ -42,10 +46,13 @@ def ship(spark: SparkSession) -> None:
 
 def shared_root(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one of our own only
-    where the session names none (tests on one machine)."""
+    where the session names none and runs in one process (tests). On a cluster a
+    folder of the driver's would be another one on each executor: an error."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None)
     if root is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = getattr(sc, "_isogon_shared", None)
         if root is None:
             root = "file://" + tempfile.mkdtemp(prefix="isogon-shared-")
@@ -58,8 +65,24 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_root(spark)}/isogon/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path below this application's part of the shared folder."""
+    return f"{shared_root(spark)}/isogon/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove what this application has put in the shared folder through scratch().
+    Frames that read it must not be used afterwards."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/isogon/{sc.applicationId}")
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free(name: str, taken: list[str]) -> str:
+    """name, with underscores at its end until no column in taken has it."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
 
 
 def through_table(df: DataFrame, name: str) -> DataFrame:
