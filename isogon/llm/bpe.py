@@ -8,8 +8,8 @@ replayed once in a worker's life, as long as its cache has room.
 
 A rank file also lets two tokens join whose union has a lower rank than the merge
 just made; then the order inside the word matters, so that such words (rare) are
-done again one merge at a time, as the definition has it; which tokens can lead to
-that is known from the file.
+done again one merge at a time, as the definition has it, with the pairs in a heap:
+n log n in a word's length. Which tokens can lead to that is known from the file.
 
 Nulls are empty texts. Equal rows stay separate rows. Other columns are dropped."""
 
@@ -42,7 +42,6 @@ class MergeReplay:
     """Encodes batches of distinct words (bytes) by the ranks given."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
         self.token = [b""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
             self.token[r] = t
@@ -53,6 +52,7 @@ class MergeReplay:
                 a = ranks.get(t[:i])
                 if a is not None and (b := ranks.get(t[i:])) is not None:
                     found[a << 20 | b] = r
+        self.joins = found
         keys = np.fromiter(found, np.int64, len(found))
         order = np.argsort(keys)
         # the last key can't occur, so that every search lands inside
@@ -72,13 +72,25 @@ class MergeReplay:
 
     def one(self, word: bytes) -> list[int]:
         """By the definition: again and again the leftmost pair of least rank."""
-        parts = [word[i : i + 1] for i in range(len(word))]
-        while len(parts) > 1:
-            best, at = min((self.ranks.get(parts[i] + parts[i + 1], NONE), i) for i in range(len(parts) - 1))
-            if best == NONE:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+        sym = self.byte[np.frombuffer(word, np.uint8)].tolist()
+        n, joins = len(sym), self.joins
+        nxt, prv = [*range(1, n), -1], list(range(-1, n - 1))
+        heap = [(r, i) for i in range(n - 1) if (r := joins.get(sym[i] << 20 | sym[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = nxt[i]
+            if sym[i] < 0 or j < 0 or joins.get(sym[i] << 20 | sym[j]) != r:
+                continue  # one of the two has been merged since
+            sym[i], sym[j] = r, -1
+            nxt[i] = k = nxt[j]
+            if k >= 0:
+                prv[k] = i
+                if (q := joins.get(r << 20 | sym[k])) is not None:
+                    heapq.heappush(heap, (q, i))
+            if (h := prv[i]) >= 0 and (q := joins.get(sym[h] << 20 | r)) is not None:
+                heapq.heappush(heap, (q, h))
+        return [x for x in sym if x >= 0]
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, offsets of the words in them)."""
@@ -163,18 +175,19 @@ class MergeReplay:
 
 class Encoder:
     """Encodes documents; keeps the ids of units of text (what lies between two
-    safe splits before a space) as long as there is room for `room` of them."""
+    safe splits before a space) as long as there is room for `room` of them and for
+    `chars` characters."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, room: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, room: int = 250_000, chars: int = 8 << 20):
         import regex
 
-        self.replay, self.find, self.room = MergeReplay(ranks), regex.compile(pattern).findall, room
+        self.replay, self.find, self.room, self.chars = MergeReplay(ranks), regex.compile(pattern).findall, room, chars
         self.clear()
 
     def clear(self) -> None:
         self.head: dict[str, int] = {}  # units as they stand
         self.tail: dict[str, int] = {}  # units after a space
-        self.flat, self.start, self.text = np.zeros(0, np.int32), np.zeros(1, np.int64), []
+        self.flat, self.start, self.text, self.held = np.zeros(0, np.int32), np.zeros(1, np.int64), [], 0
 
     def units(self, text: str) -> tuple[list[str], list[str]]:
         if _RUN.search(text):
@@ -183,7 +196,7 @@ class Encoder:
         return ([first] if first else []), rest
 
     def learn(self, docs: list[tuple[list[str], list[str]]]) -> None:
-        if len(self.text) > self.room:
+        if len(self.text) > self.room or self.held > self.chars:
             self.clear()
         head = dict.fromkeys(u for h, _ in docs for u in h if u not in self.head)
         tail: dict[str, None] = {}
@@ -193,6 +206,7 @@ class Encoder:
         units = [*head, *(" " + u for u in tail)]
         if not units:
             return
+        self.held += sum(map(len, units))
         words: dict[str, int] = {}
         split = [[words.setdefault(w, len(words)) for w in self.find(u)] for u in units]
         ids, offsets = self.replay.encode([w.encode() for w in words])
