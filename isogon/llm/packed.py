@@ -10,9 +10,10 @@ their ids' bytes where it is the same; a null id comes first.
 Files are written under another name and moved when complete; what a file holds
 depends on its documents only, so that a task that runs again writes it anew.
 
-The tokenizer sees every whole text. What it does to a text it does to each part
-between spaces or line ends by itself (no rule of the vocabulary used here reaches
-over white space), so each distinct part goes through it once in a worker's life.
+Where the tokenizer's file shows that no rule of it reaches over white space (`Tokens`
+knows one such setup), the library gets each distinct word once in a worker's life, in
+place of each whole text; the ids are those of the whole texts. With any other setup
+it gets every whole text.
 
 Null texts are empty: only the end id. Equal rows stay separate rows."""
 
@@ -156,13 +157,13 @@ class Tokens:
     If the vocabulary marks word ends and cuts by the pattern above, plain texts are
     cut into words here; words new to this worker go to the tokenizer by hundreds in
     one text, whose ids the marks tell apart. Of other texts each new part between
-    spaces goes by itself."""
+    spaces goes by itself. If the vocabulary is of another kind, whole texts go."""
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, room: int = 400_000, chars: int = 8 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.room = Tokenizer.from_file(path), room
+        self.tokenizer, self.room, self.chars = Tokenizer.from_file(path), room, chars
         with open(path, encoding="utf-8") as f:
             setup = json.load(f)
         steps = [setup.get("pre_tokenizer") or {}, *((setup.get("pre_tokenizer") or {}).get("pretokenizers") or [])]
@@ -177,7 +178,7 @@ class Tokens:
         self.clear()
 
     def clear(self) -> None:
-        self.at, self.flat, self.start = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.at, self.flat, self.start, self.held = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64), 0
 
     def _learn(self, keys: list, flat: np.ndarray, ends: np.ndarray) -> None:
         self.at.update(zip(keys, range(len(self.at), len(self.at) + len(keys)), strict=True))
@@ -199,13 +200,17 @@ class Tokens:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, how many each has)."""
-        if len(self.at) > self.room:
+        if not self.by_words:
+            got = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, np.uint32), *got]), np.fromiter(map(len, got), np.int64, len(got))
+        if len(self.at) > self.room or self.held > self.chars:
             self.clear()
         # a word is a key; a part is a key in a tuple, as what it stands for is not cut yet
-        docs = [_CUT(t.lower()) if self.by_words and _PLAIN(t) and not any(x in t for x in self.special) else [*zip(t.replace("\n", " ").split(" "), strict=True)] for t in texts]
+        docs = [_CUT(t.lower()) if _PLAIN(t) and not any(x in t for x in self.special) else [*zip(t.replace("\n", " ").split(" "), strict=True)] for t in texts]
         new = set(chain.from_iterable(docs)) - self.at.keys()
         parts = [k for k in new if isinstance(k, tuple)] if any(d and isinstance(d[0], tuple) for d in docs) else []
         new = list(new.difference(parts))
+        self.held += sum(map(len, new)) + sum(len(p) for p, in parts)
         if new:
             self._words(new)
         self._parts(parts)
@@ -243,9 +248,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabulary: i
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     cuts = sorted(set(docs.select(F.col(id_col).cast("double").alias("x")).approxQuantile("x", [i / shards for i in range(1, shards)], 0.2 / shards))) if shards > 1 else []
-    # the shard is found by the cuts, at one array a row; null ids go to the first
-    shard = F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: F.col("id") > c)), F.lit(0)) if cuts else F.lit(0)
-    shard = F.when(F.col("id").isNull(), 0).otherwise(shard)
+    sent = spark.sparkContext.broadcast(np.array(cuts, float))  # a number a file
 
     def tokenize(batches):
         if tokenizer not in _TOKENS:
@@ -253,13 +256,14 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabulary: i
         tokens = _TOKENS[tokenizer]
         for b in batches:
             texts = b.column(1).to_pylist()
+            shard = np.searchsorted(sent.value, b.column(0).fill_null(-1 << 63).to_numpy(zero_copy_only=False).astype(float)).astype(np.int32)  # null ids go to the first
             for a, z in in_steps(texts):
                 ids, sizes = tokens.encode(texts[a:z])
                 ends = np.cumsum(sizes)
                 data = np.insert(ids, ends, end_id).astype(kind)
                 offsets = np.concatenate([[0], ends + np.arange(1, z - a + 1)]) * data.itemsize
                 packed = pa.Array.from_buffers(pa.binary(), z - a, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), packed], names=["id", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard[a:z]), b.column(0).slice(a, z - a), packed], names=["shard", "id", "ids"])
 
     def store(batches):
         writer, at = None, None
@@ -280,7 +284,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabulary: i
             finish()
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["shard", "path", "n_docs", "n_ids"])
 
-    ids = rows.mapInArrow(tokenize, "id long, ids binary").select(shard.cast("int").alias("shard"), "id", "ids")
+    ids = rows.mapInArrow(tokenize, "shard int, id long, ids binary")
     dealt = ids.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "ids")
     dealt.mapInArrow(store, "shard int, path string, n_docs long, n_ids long").write.parquet(f"{path}/files.parquet")
     files = spark.read.parquet(f"{path}/files.parquet")
