@@ -16,22 +16,27 @@ lines or more that stands earlier as adjacent lines, all lines go. The first
 occurrence of a line always stays.
 
 The first pass sends hashes only. The second sends the bytes of chunks whose hash
-may repeat; it tells by a bit map of `2 ** bits` bits, a fixed size, whose false
-hits cost some traffic and are dropped by the join that follows.
+may repeat; it tells by a bit map of 16 bits for each of these hashes, 2 ** 28 bits
+(32 MB) at most, whose false hits cost some traffic and are dropped by the join that
+follows. The occurrences of a common chunk are dealt to several tasks, each of which
+gets a copy of the first one's row: the first pass has counted them, and of chunks
+with over one 2,048th of all occurrences there are 2,048 at most.
 
 A null text stays null; a text that loses all chunks is empty. Rows equal in id and
 text are one document: what is first in one is first in all. Null ids sort first.
-Extra columns are kept, and so is the order of columns."""
+Extra columns are kept, and so is the order of columns; where docs has a column by the
+name of one of the added ones, the added one has underscores after its name."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from isogon.cluster import ship, through_table
+from isogon.cluster import free, ship, through_table
 
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15
@@ -76,10 +81,11 @@ def _pairs(data, *_):
         yield i, h - (1 << 64) if h >> 63 else h, raw
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, divisor: int = 2, least: int = 2, bits: int = 23, units=_long_chunks, apart: int = 1) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, divisor: int = 2, least: int = 2, units=_long_chunks, apart: int = 1, deal: int = 20_000) -> DataFrame:
     """(id, sig, numbers): for each document (by id and hash of id and text) that has
     some, the numbers of its chunks (or other units) to remove. In the document of the
-    first occurrence these are `apart` or more after it."""
+    first occurrence these are `apart` or more after it. A task gets about `deal`
+    occurrences of one chunk, or one 2,048th of all if that is more."""
     ship(docs.sparkSession)
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("sig"), F.col(text_col).cast("binary").alias("t"))
     kind = rows.schema["id"].dataType
@@ -98,19 +104,24 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
 
     place = [T.StructField("id", kind), T.StructField("sig", T.LongType()), T.StructField("no", T.IntegerType()), T.StructField("h", T.LongType())]
     first = rows.mapInArrow(hashed, T.StructType([*place, T.StructField("size", T.IntegerType())]))
-    known = through_table(first.groupBy("h", "size").agg(F.min(F.struct("id", "sig", "no")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "line-repeats")
+    known = through_table(first.groupBy("h", "size").agg(F.min(F.struct("id", "sig", "no")).alias("first"), F.count("*").alias("n")).where("n > 1"), "line-repeats")
+    total, keys = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    deal = max(deal, -(-total // 2048))
+    parts = {r["h"]: -(-r["n"] // deal) for r in known.where(F.col("n") > deal).groupBy("h").agg(F.max("n").alias("n")).collect()}  # total / deal <= 2,048 rows
+    bits = min(28, max(20, (16 * keys).bit_length()))
     spot = F.pmod(F.col("h"), F.lit(1 << bits)) + 1  # these bit maps count from 1
-    maps = known.select(F.bitmap_bucket_number(spot).alias("b"), F.bitmap_bit_position(spot).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("m")).collect()
+    maps = known.select(F.bitmap_bucket_number(spot).alias("b"), F.bitmap_bit_position(spot).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("m")).toLocalIterator()
     board = np.zeros(1 << bits >> 3, np.uint8)
     for r in maps:
         at = (r["b"] - 1) * 4096
         board[at : at + 4096] = np.frombuffer(bytes(r["m"]), np.uint8)[: len(board) - at]
-    sent = docs.sparkSession.sparkContext.broadcast(board)  # 2 ** bits / 8 bytes
+    sent = docs.sparkSession.sparkContext.broadcast((board, parts))  # 2 ** bits / 8 bytes, 2,048 numbers
 
     def bytes_of(batches):
-        seen, mask = sent.value, (1 << bits) - 1
+        (seen, dealt), mask = sent.value, (1 << bits) - 1
         for b in batches:
-            where, no, hs, raws = [], [], [], []
+            where, no, hs, raws, salts = [], [], [], [], []
+            sigs = b.column(1).to_pylist()
             for k, t in enumerate(b.column(2).to_pylist()):
                 for i, h, raw in units(t, window, divisor, least):
                     spot = h & mask
@@ -119,17 +130,21 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
                         no.append(i)
                         hs.append(h)
                         raws.append(raw)
+                        salts.append(((sigs[k] ^ i * BASE) & MASK) % dealt[h] if h in dealt else 0)
             at = pa.array(where, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(no, pa.int32()), pa.array(hs, pa.int64()), pa.array(raws, pa.binary())], names=["id", "sig", "no", "h", "raw"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(no, pa.int32()), pa.array(hs, pa.int64()), pa.array(raws, pa.binary()), pa.array(salts, pa.int32())], names=["id", "sig", "no", "h", "raw", "salt"])
 
-    again = rows.mapInArrow(bytes_of, T.StructType([*place, T.StructField("raw", T.BinaryType())])).withColumn("size", F.octet_length("raw"))
-    found = through_table(again.join(known, ["h", "size"]), "line-chunks")
+    again = rows.mapInArrow(bytes_of, T.StructType([*place, T.StructField("raw", T.BinaryType()), T.StructField("salt", T.IntegerType())])).withColumn("size", F.octet_length("raw"))
+    most = F.max("n").over(W.partitionBy("h")) if parts else F.col("n")  # sizes that share a hash share its parts
+    salted = known.withColumn("parts", F.when(most > deal, F.ceil(most / deal)).otherwise(1).cast("int"))
+    found = through_table(again.join(salted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("n"), ["h", "size", "salt"]), "line-chunks")
     mine = F.struct("id", "sig", "no") == F.col("first")
     home = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("sig") == F.col("first.sig"))
     is_first = F.coalesce(mine, home & (F.col("no") == F.col("first.no")))
     overlaps = home & (F.col("no") < F.col("first.no") + apart)
-    kept = found.where(is_first).select("h", "size", F.col("raw").alias("first_raw")).dropDuplicates(["h", "size"])
-    gone = found.where(~is_first & ~overlaps).join(kept, ["h", "size"]).where("raw = first_raw")
+    kept = found.where(is_first).select("h", "size", "parts", F.col("raw").alias("first_raw")).dropDuplicates(["h", "size"])
+    kept = kept.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    gone = found.where(~is_first & ~overlaps).join(kept, ["h", "size", "salt"]).where("raw = first_raw")
     return gone.groupBy("id", "sig").agg(F.collect_set("no").alias("numbers"))
 
 
@@ -140,10 +155,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     if runs:
         pairs = repeats(docs, id_col, text_col, units=_pairs, apart=2).select("id", "sig", F.array().cast("array<int>").alias("numbers"), F.col("numbers").alias("pairs"))
         removed = removed.unionAll(pairs).groupBy("id", "sig").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("numbers", "pairs")))
-    removed = through_table(removed, "line-removed").select(F.col("id").alias("_id"), F.col("sig").alias("_sig"), F.struct("numbers", "pairs").alias("_gone"))
-    marked = docs.withColumn("_s", F.xxhash64(id_col, text_col))
-    joined = marked.join(removed.hint("merge"), (F.col("_s") == F.col("_sig")) & F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_s", "_sig", "_id")
-    names = docs.columns
+    names, added = docs.columns, added_names(docs.columns)
+    own = [free(c, [*names, *added]) for c in ("_id", "_sig", "_gone", "_s")]
+    removed = through_table(removed, "line-removed").select(F.col("id").alias(own[0]), F.col("sig").alias(own[1]), F.struct("numbers", "pairs").alias(own[2]))
+    marked = docs.withColumn(own[3], F.xxhash64(id_col, text_col))
+    joined = marked.join(removed.hint("merge"), (F.col(own[3]) == F.col(own[1])) & F.col(id_col).eqNullSafe(F.col(own[0])), "left").drop(own[0], own[1], own[3])
     where = names.index(text_col)
 
     def rebuild(batches):
@@ -159,15 +175,20 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
                 for c, v in zip(counts, (len(parts), ends[-1], whole, len(out)), strict=True):
                     c.append(v)
             cols = [pa.array(texts, pa.string()) if i == where else b.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*cols, *(pa.array(c, pa.int32()) for c in counts)], names=[*names, *ADDED])
+            yield pa.RecordBatch.from_arrays([*cols, *(pa.array(c, pa.int32()) for c in counts)], names=[*names, *added])
 
-    schema = T.StructType([*(T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType) for f in docs.schema.fields), *(T.StructField(c, T.IntegerType()) for c in ADDED)])
+    schema = T.StructType([*(T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType) for f in docs.schema.fields), *(T.StructField(c, T.IntegerType()) for c in added)])
     return joined.mapInArrow(rebuild, schema)
 
 
 ADDED = ["_chunks", "_lines", "_removed_chunks", "_removed_lines"]
 
 
+def added_names(columns: list[str]) -> list[str]:
+    """The names of the columns that dedup() adds to these."""
+    return [free(c, columns) for c in ADDED]
+
+
 def op2(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return dedup(docs, runs=True).select("doc_id", "text", *(F.col(c).alias(f"n{c}") for c in ADDED))
