@@ -10,7 +10,10 @@ its shard, buckets in turn.
 
 A null text has no bytes. Null ids count as one id for the shard. Buckets are dealt
 by id and text, so that copies under many ids spread; rows equal in both share a
-bucket and are interchangeable. Extra columns are kept in the files."""
+bucket and are interchangeable. Extra columns are kept in the files; where docs has
+one of the names _shard, _bucket and _place, the added column has underscores after it
+(`added()` tells the names). Buckets grow beyond bucket_bytes where there would be more
+than `most` of them, so that the number of tasks stays bounded."""
 
 from __future__ import annotations
 
@@ -21,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from isogon.cluster import scratch, ship
+from isogon.cluster import free, scratch, ship
 
 
 def highest(key: Column, shards: int, seed: int) -> Column:
@@ -39,47 +42,56 @@ def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
     return np.array(order, np.int64)
 
 
-def write(docs: DataFrame, path: str, shards: int, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 16 << 20, seed: int = 11) -> DataFrame:
-    """Writes docs below path, partitioned by _shard, and returns them as read back,
-    with _shard, _bucket and _place (in the bucket)."""
+def added(columns: list[str]) -> tuple[str, str, str]:
+    """The names of the columns that write() adds: shard, bucket, place in the bucket."""
+    out: list[str] = []
+    for name in ("_shard", "_bucket", "_place"):
+        out.append(free(name, [*columns, *out]))
+    return tuple(out)
+
+
+def write(docs: DataFrame, path: str, shards: int, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 16 << 20, seed: int = 11, most: int = 200_000) -> DataFrame:
+    """Writes docs below path, partitioned by shard, and returns them as read back,
+    with the columns of added()."""
     spark = docs.sparkSession
     ship(spark)
     size = F.coalesce(F.octet_length(text_col), F.lit(0)) + 1
     total = docs.agg(F.sum(size.cast("long"))).first()[0] or 0
-    per = max(1, -(-total // (shards * bucket_bytes)))
+    per = max(1, min(-(-total // (shards * bucket_bytes)), most // shards))
+    at_shard, at_bucket, at_place = added(docs.columns)
     shard = highest(F.col(id_col), shards, seed)
     bucket = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed + 1)), F.lit(per)).cast("int")
-    rows = docs.withColumns({"_shard": shard, "_bucket": bucket})
-    dealt = rows.repartitionById(shards * per, F.col("_shard") * per + F.col("_bucket"))
-    at = dealt.columns
+    rows = docs.withColumns({at_shard: shard, at_bucket: bucket})
+    dealt = rows.repartitionById(shards * per, F.col(at_shard) * per + F.col(at_bucket))
 
     def shuffle(batches):
         table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
         if table is None or not table.num_rows:
             return
-        keys = table.select(["_shard", "_bucket"])
-        groups = keys.group_by(["_shard", "_bucket"]).aggregate([]).sort_by([("_shard", "ascending"), ("_bucket", "ascending")])
-        for s, b in zip(groups.column("_shard").to_pylist(), groups.column("_bucket").to_pylist(), strict=True):
+        keys = table.select([at_shard, at_bucket])
+        groups = keys.group_by([at_shard, at_bucket]).aggregate([]).sort_by([(at_shard, "ascending"), (at_bucket, "ascending")])
+        for s, b in zip(groups.column(at_shard).to_pylist(), groups.column(at_bucket).to_pylist(), strict=True):
             import pyarrow.compute as pc
 
-            mine = table.filter(pc.and_(pc.equal(table.column("_shard"), s), pc.equal(table.column("_bucket"), b))) if groups.num_rows > 1 else table
+            mine = table.filter(pc.and_(pc.equal(table.column(at_shard), s), pc.equal(table.column(at_bucket), b))) if groups.num_rows > 1 else table
             mine = mine.take(pc.sort_indices(mine.select([id_col, text_col]).rename_columns(["a", "b"]), [("a", "ascending"), ("b", "ascending")]))
             order = fisher_yates(mine.num_rows, np.random.default_rng([seed, s, b]))
-            mine = mine.take(pa.array(order)).append_column("_place", pa.array(np.arange(mine.num_rows, dtype=np.int64)))
+            mine = mine.take(pa.array(order)).append_column(at_place, pa.array(np.arange(mine.num_rows, dtype=np.int64)))
             yield from mine.to_batches(max_chunksize=2048)
 
-    schema = T.StructType([*dealt.schema.fields, T.StructField("_place", T.LongType())])
-    assert at == [f.name for f in schema.fields][:-1]
-    dealt.mapInArrow(shuffle, schema).write.partitionBy("_shard").parquet(path)
+    schema = T.StructType([*dealt.schema.fields, T.StructField(at_place, T.LongType())])
+    dealt.mapInArrow(shuffle, schema).write.partitionBy(at_shard).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
-def slots(written: DataFrame) -> DataFrame:
-    """written with slot: gapless from 0 in each _shard. The windows run over one row
-    for each bucket."""
-    sizes = written.groupBy("_shard", "_bucket").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy("_shard").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return written.join(sizes.select("_shard", "_bucket", before.alias("_before")), ["_shard", "_bucket"]).withColumn("slot", F.col("_before") + F.col("_place")).drop("_before")
+def slots(written: DataFrame, names: tuple[str, str, str] = ("_shard", "_bucket", "_place"), slot: str = "slot") -> DataFrame:
+    """written with slot: gapless from 0 in each shard. The windows run over one row
+    for each bucket. names: the columns of added()."""
+    shard, bucket, place = names
+    n = free("_before", written.columns)
+    sizes = written.groupBy(shard, bucket).agg(F.count("*").alias(n))
+    before = F.coalesce(F.sum(n).over(W.partitionBy(shard).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return written.join(sizes.select(shard, bucket, before.alias(n)), [shard, bucket]).withColumn(slot, F.col(n) + F.col(place)).drop(n)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
