@@ -8,8 +8,9 @@ Pieces of up to `longest` characters take part; a character that is no piece
 counts as a piece of least probability, so that no word is impossible.
 
 Fitting: expectation maximisation over words of a bounded sample of the labelled
-documents, `max_docs` (about) of each language, drawn by a hash of the id. All
-texts are scored whole.
+documents, `max_docs` (about) of each language, drawn by a hash of the id, without
+words of `most_chars` characters or more. All texts are scored whole; a word of over
+STRETCH characters has the product of its stretches' sums.
 
 Null texts and texts without a letter are `und` with score 0, as is every text if
 no language could be learned. Equal likelihoods go to the language that sorts
@@ -29,6 +30,7 @@ from pyspark.sql import types as T
 from isogon.cluster import ship
 
 START = "▁"
+STRETCH = 256
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SEED = np.uint64(0x51ED270B)
 
@@ -129,6 +131,13 @@ class Model:
 
     def words(self, words: list[str], step: int = 20_000) -> np.ndarray:
         out = np.zeros((len(words), len(self.langs)))
+        far = [i for i, w in enumerate(words) if len(w) > STRETCH]
+        if far:
+            parts = [(i, words[i][a : a + STRETCH]) for i in far for a in range(0, len(words[i]), STRETCH)]
+            np.add.at(out, [i for i, _ in parts], self.words([p for _, p in parts]))
+            near = [i for i, w in enumerate(words) if len(w) <= STRETCH]
+            out[near] = self.words([words[i] for i in near])
+            return out
         for n, at in by_length(words).items():
             for a in range(0, len(at), max(1, step * 10 // max(n, 10))):
                 part = at[a : a + max(1, step * 10 // max(n, 10))]
@@ -198,19 +207,21 @@ def learn(labelled: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 class Scorer:
     """A model and the values of the words met so far."""
 
-    def __init__(self, model: Model, room: int = 150_000):
+    def __init__(self, model: Model, room: int = 150_000, chars: int = 8 << 20):
         import regex
 
-        self.model, self.room, self.letter = model, room, regex.compile(r"\p{L}").search
+        self.model, self.room, self.chars, self.letter = model, room, chars, regex.compile(r"\p{L}").search
         self.at: dict[str, int] = {}
+        self.held = 0
         self.value = np.zeros((0, len(model.langs)))
 
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         docs = [split(t) if t and self.letter(t) and self.model.langs else [] for t in texts]
-        if len(self.at) > self.room:
-            self.at, self.value = {}, self.value[:0]
+        if len(self.at) > self.room or self.held > self.chars:
+            self.at, self.value, self.held = {}, self.value[:0], 0
         new = list(dict.fromkeys(w for d in docs for w in d if w not in self.at))
         if new:
+            self.held += sum(map(len, new))
             self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
             self.value = np.concatenate([self.value, self.model.words([START + w for w in new])])
         langs, scores = [], []
