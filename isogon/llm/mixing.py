@@ -16,8 +16,9 @@ rates.
 Tokens are words between ASCII white space. A null source is a source of its own.
 Null texts and texts without words have no tokens; a source without tokens is kept
 once. Equal rows stay separate rows and share a fate but for the last block, where
-equal hashes come in any order of equal rows. Sources are few (their table has one
-row each, which a single row may gather)."""
+equal hashes come in any order of equal rows. A source has at most MOST_BLOCKS blocks
+(they are larger then). The weights of all sources meet in one row: more than
+MOST_SOURCES of them are an error."""
 
 from __future__ import annotations
 
@@ -25,8 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from isogon.cluster import through_table
+from isogon.cluster import checkpointed, free, through_table
 
+MOST_SOURCES, MOST_BLOCKS = 100_000, 1_000_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -86,13 +88,15 @@ def mix(docs: DataFrame, target_entropy: float | None = 0.95, repetition_limit:
     tokens = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
     sig = draw(seed, F.col(id_col), F.col(source_col), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
     rows = through_table(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), tokens.alias("n_tokens"), sig.alias("sig")), "mixing")
-    totals = rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
+    totals = checkpointed(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens")))
+    if totals.count() > MOST_SOURCES:
+        raise ValueError(f"over {MOST_SOURCES} sources: join them into fewer")
     plan = weights(totals, target_entropy, repetition_limit, budget_tokens)
     # one row a source from here on; a step above exact whole numbers is an epoch of its own
     eps = 1e-9
     plan = plan.withColumn("full", F.floor(F.col("repeats") + eps)).withColumn("rest", F.greatest(F.col("target") - F.col("full") * F.col("tokens"), F.lit(0.0)))
     plan = plan.withColumn("rest", F.when(F.col("repeats") - F.col("full") < eps, 0.0).otherwise(F.coalesce("rest", F.lit(0.0))))
-    plan = through_table(plan.withColumn("blocks", F.greatest(F.ceil(F.col("tokens") / block_tokens), F.lit(1))), "mixing-plan")
+    plan = through_table(plan.withColumn("blocks", F.least(F.greatest(F.ceil(F.col("tokens") / block_tokens), F.lit(1)), F.lit(MOST_BLOCKS))), "mixing-plan")
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     sources = plan.select(F.col("source").alias("s"), "weight", "repeats", "full", "rest", "blocks")
     placed = rows.join(sources, same("source", "s")).drop("s").withColumn("block", F.col("sig") % F.col("blocks"))
@@ -116,8 +120,11 @@ def mix(docs: DataFrame, target_entropy: float | None = 0.95, repetition_limit:
 def take(docs: DataFrame, used: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 5) -> DataFrame:
     """The rows of docs, as often as `used` (of mix with the same columns and seed) uses them."""
     sig = draw(seed, F.col(id_col), F.col(source_col), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    times = used.select("sig", "epoch").distinct().groupBy("sig").agg(F.count("*").alias("_n"))
-    return docs.withColumn("_sig", sig).join(times.withColumnRenamed("sig", "_sig").hint("merge"), "_sig").withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(docs.columns)
+    times = used.select("sig", "epoch").distinct().groupBy("sig").agg(F.count("*").alias("n"))
+    key = free("_sig", docs.columns)
+    n = free("_n", [*docs.columns, key])
+    times = times.select(F.col("sig").alias(key), F.col("n").alias(n))
+    return docs.withColumn(key, sig).join(times.hint("merge"), key).withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(docs.columns)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
@@ -150,7 +157,7 @@ a AS (SELECT CASE WHEN n = 0 THEN 1 WHEN NOT {_flat("0.0", 0.95, 4.0)} THEN 0 EL
 w AS (SELECT source, tokens, pow(tokens / CAST(total AS DOUBLE), alpha) / sum(pow(tokens / CAST(total AS DOUBLE), alpha)) OVER () AS weight, total FROM t, a WHERE tokens > 0),
 g AS (SELECT source, tokens, weight, weight * min_budget AS target FROM w, (SELECT max(total) / min(weight / (tokens / CAST(total AS DOUBLE))) AS min_budget FROM w)),
 p0 AS (SELECT t.source, t.tokens, coalesce(g.weight, 0) AS weight, coalesce(g.target, 0) AS target, CASE WHEN t.tokens > 0 THEN greatest(g.target / t.tokens, 0) ELSE 1 END AS repeats FROM t LEFT JOIN g ON t.source IS NOT DISTINCT FROM g.source),
-p AS (SELECT *, CAST(floor(repeats + 1e-9) AS BIGINT) AS nfull, CASE WHEN repeats - floor(repeats + 1e-9) < 1e-9 THEN 0 ELSE greatest(target - floor(repeats + 1e-9) * tokens, 0) END AS rest, greatest(CAST(ceil(tokens / CAST(200000 AS DOUBLE)) AS BIGINT), 1) AS blocks FROM p0),
+p AS (SELECT *, CAST(floor(repeats + 1e-9) AS BIGINT) AS nfull, CASE WHEN repeats - floor(repeats + 1e-9) < 1e-9 THEN 0 ELSE greatest(target - floor(repeats + 1e-9) * tokens, 0) END AS rest, least(greatest(CAST(ceil(tokens / CAST(200000 AS DOUBLE)) AS BIGINT), 1), {MOST_BLOCKS}) AS blocks FROM p0),
 r AS (SELECT d.*, weight, repeats, nfull, rest, sig % blocks AS block FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
 bl AS (SELECT source, block, sum(n_tokens) AS size, any_value(nfull) AS nfull, any_value(rest) AS rest FROM r WHERE rest > 0 GROUP BY source, block),
 c AS (SELECT source, block, size, rest - coalesce(sum(size) OVER (PARTITION BY source ORDER BY {_draw(6, "source", "nfull", "block")}, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS budget FROM bl),
