@@ -1,4 +1,5 @@
-"""Connected components of an edge table, as a distributed star contraction."""
+"""Connected components of an edge table, as a distributed star contraction, and a join
+of many rows with a table that has one row a key."""
 
 from __future__ import annotations
 
@@ -13,6 +14,18 @@ def _sum(df: DataFrame):
     return row[0], row[1]
 
 
+def spread_join(rows: DataFrame, table: DataFrame, key: str, n: str, most: int = 1024) -> DataFrame:
+    """rows with the columns of table but n; table has one row for each value of key, and in
+    column n how many of rows have it. Values with over one `most`-th of all rows are
+    `most` at most: their rows of table are broadcast, so that no task gets them all."""
+    total = table.agg(F.sum(n)).first()[0] or 0
+    hot = table.where(F.col(n) * most > total).drop(n)
+    cold = table.where(F.col(n) * most <= total).drop(n)
+    common = rows.join(F.broadcast(hot), key)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold.hint("merge"), key)
+    return common.unionByName(others)
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """Rows (id, root) for every vertex that has an edge; root is the smallest id
     that can be reached. Alternates large-star and small-star steps. Each is a
