@@ -17,7 +17,7 @@ each compared with the members of every group so far until one is alike: a large
 group of near copies costs about one comparison a text, many unlike texts under one
 key the square. The sets of one key's texts must fit a worker's memory.
 
-Equal texts are one node. Nulls: a null id keeps its row."""
+Equal texts are one node. Null and empty texts have the empty set."""
 
 from __future__ import annotations
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isogon.cluster import ship, through_table
+from isogon.cluster import free, ship, through_table
 from isogon.llm import simhash
 from isogon.llm.components import connected_components
 from isogon.llm.substrings import _board, _hits
@@ -41,8 +41,8 @@ SHIFTS = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 class Shingles:
     """Sets of texts, with the hashes of the words met so far."""
 
-    def __init__(self, shingle: int = 5, room: int = 100_000):
-        self.shingle, self.room, self.words = shingle, room, {}
+    def __init__(self, shingle: int = 5, room: int = 100_000, chars: int = 8 << 20):
+        self.shingle, self.room, self.chars, self.words, self.held = shingle, room, chars, {}, 0
 
     def of(self, data: bytes | None) -> np.ndarray:
         """The hashes of the text's shingles, sorted, each once."""
@@ -51,12 +51,13 @@ class Shingles:
         words = (data or b"").lower().split()
         if not words:
             return np.zeros(0, np.uint64)
-        if len(self.words) > self.room:
-            self.words = {}
+        if len(self.words) > self.room or self.held > self.chars:
+            self.words, self.held = {}, 0
         known, h = self.words, xxhash.xxh64_intdigest
         for w in words:
             if w not in known:
                 known[w] = h(w)
+                self.held += len(w)
         hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         size = min(self.shingle, len(words))
         n = len(words) - size + 1
@@ -162,9 +163,10 @@ def links_of(rows: DataFrame, nodes: DataFrame, shingle: int, least: float, most
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, most: int = 32) -> DataFrame:
-    """docs without those that are not the least id of their component. Rows that
-    repeat the kept id count as one document: one of them stays. Rows whose id is
-    null can't be told apart and stay."""
+    """docs with one row for each component: that of the least id (a null id counts as
+    the greatest), of the rows with this id the one whose text is in the component, of
+    several texts under it the one with the least hash, and of rows equal in id and text
+    the one with the least hash of all its columns."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("sig"), F.col(text_col).cast("binary").alias("t"))
 
@@ -178,7 +180,11 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table = through_table(rows.mapInArrow(sketched, "id long, sig long, fp long, keys array<long>"), "shingles")
     nodes = table.select("sig", "fp", "keys").dropDuplicates(["sig"])
     roots = connected_components(links_of(rows, nodes, shingle, least, most)).withColumnsRenamed({"id": "sig"})
-    member = table.select("id", "sig").join(roots, "sig", "left").select("id", F.coalesce("root", "sig").alias("root"))
-    keep = member.groupBy("root").agg(F.min("id").alias(id_col)).where(F.col(id_col).isNotNull()).select(id_col).distinct()
-    known = docs.where(F.col(id_col).isNotNull())
-    return known.join(keep.hint("merge"), id_col, "left_semi").dropDuplicates([id_col]).unionAll(docs.where(F.col(id_col).isNull())).select(docs.columns)
+    first = table.groupBy("sig").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("f"))
+    best = first.join(roots, "sig", "left").groupBy(F.coalesce("root", "sig").alias("root")).agg(F.min(F.struct("f", "sig")).alias("b"))
+    names = docs.columns
+    s, i, k = (free(c, names) for c in ("_sig", "_id", "_keep"))
+    keep = best.select(F.col("b.f.id").alias(i), F.col("b.sig").alias(k))
+    marked = docs.withColumn(s, F.xxhash64(text_col))
+    kept = marked.join(keep.hint("merge"), (F.col(s) == F.col(k)) & F.col(id_col).eqNullSafe(F.col(i)), "left_semi")
+    return kept.groupBy(s, id_col).agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias(k)).select(f"{k}.*")
