@@ -21,14 +21,15 @@ TEXTS = [
     None, "", " \n\t ", "a", "one two", EN, EN, DE + "\nzweite zeile\ndritte zeile", LONG, LONG, EN + " more", "12 34 ###", "\x1c\x85 \xa0x", "aaaa aaaa aaaa",
     "l1\nl2\nl3\nl4\nl5\nl6", "p\nl1\nl2\nl3\nl4\nl5\nl6\nq", "ÀÉ ß straße 'S it's",
 ]
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, sig long, key string, fp string, score string, epoch string"
+CLASHING = "_s _sig _id _gone _spans _numbers _n _shard _bucket _place _before _keep _chunks _lines".split()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, sig long, key string, fp string, score string, epoch string, " + ", ".join(f"{c} int" for c in CLASHING)
 
 
 def table(spark, rows=None):
     """Documents with every kind of oddity: repeated and null ids, names that the
     operators use inside."""
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(None, EN), (None, None), (5, EN), (5, "other text of id five")] if rows is None else rows
-    data = [(i, t, ("de" if t and "der " in t else "en") if t and i != 3 else None, None if i == 4 else f"s{(i or 0) % 3 if (i or 0) % 5 else 0}", len(t or ""), 7, 8, "k", "f", "s", "e") for i, t in rows]
+    data = [(i, t, ("de" if t and "der " in t else "en") if t and i != 3 else None, None if i == 4 else f"s{(i or 0) % 3 if (i or 0) % 5 else 0}", len(t or ""), 7, 8, "k", "f", "s", "e", *range(len(CLASHING))) for i, t in rows]
     return spark.createDataFrame(data, SCHEMA)
 
 
@@ -77,8 +78,7 @@ def test_token_files(spark, vocabulary, name):
         want[r.doc_id, tuple(t.encode(r.text or "", add_special_tokens=False).ids + [2])] += 1
     got = packed.read(spark, path).orderBy("start").collect()
     assert manifest.count() > 1
-    if name.startswith("word"):  # the other one's rules reach over white space
-        assert Counter((r.doc_id, tuple(r.ids)) for r in got) == want
+    assert Counter((r.doc_id, tuple(r.ids)) for r in got) == want
     ids = [r.doc_id for r in got]
     assert ids == sorted(ids, key=lambda i: -1 if i is None else i)
     assert [r.start for r in got] == list(np.cumsum([0] + [len(r.ids) for r in got])[:-1])
@@ -135,7 +135,8 @@ def test_line_dedup(spark):
         want[r.doc_id, b"\n".join(keep).decode()] += 1
     got = linededup.dedup(docs)
     assert rows(got, "doc_id", "text") == want
-    assert got.columns[: len(docs.columns)] == docs.columns
+    assert got.columns == [*docs.columns, *linededup.added_names(docs.columns)]
+    assert {(r._s, r._gone, r._chunks) for r in got.collect()} == {tuple(map(CLASHING.index, ("_s", "_gone", "_chunks")))}
     assert linededup.dedup(empty(spark)).count() == 0
 
 
@@ -144,15 +145,17 @@ def test_line_dedup(spark):
 
 def test_sharding(spark):
     docs = table(spark)
-    out = sharding.slots(sharding.write(docs, scratch(spark, "t3"), 4, bucket_bytes=1 << 16)).collect()
-    assert Counter((r.doc_id, r.text) for r in out) == rows(docs, "doc_id", "text")
+    names = sharding.added(docs.columns)
+    assert names == ("_shard_", "_bucket_", "_place_")
+    out = sharding.slots(sharding.write(docs, scratch(spark, "t3"), 4, bucket_bytes=1 << 16), names).collect()
+    assert Counter((r.doc_id, r.text, r._shard, r._place) for r in out) == rows(docs, "doc_id", "text", "_shard", "_place")
     for s in range(4):
-        assert sorted(r.slot for r in out if r._shard == s) == list(range(sum(r._shard == s for r in out)))
-    again = sharding.slots(sharding.write(docs.repartition(5), scratch(spark, "t3"), 4, bucket_bytes=1 << 16))
-    assert Counter((r.doc_id, r.text, r._shard, r.slot) for r in out) == rows(again, "doc_id", "text", "_shard", "slot")
+        assert sorted(r.slot for r in out if r._shard_ == s) == list(range(sum(r._shard_ == s for r in out)))
+    again = sharding.slots(sharding.write(docs.repartition(5), scratch(spark, "t3"), 4, bucket_bytes=1 << 16), names)
+    assert Counter((r.doc_id, r.text, r._shard_, r.slot) for r in out) == rows(again, "doc_id", "text", "_shard_", "slot")
     grown = spark.range(2000).select(sharding.highest(F.col("id"), 8, 1).alias("a"), sharding.highest(F.col("id"), 9, 1).alias("b")).collect()
     assert all(r.b in (r.a, 8) for r in grown) and 100 < sum(r.b == 8 for r in grown) < 350
-    assert sharding.slots(sharding.write(empty(spark), scratch(spark, "t3"), 4)).count() == 0
+    assert sharding.slots(sharding.write(empty(spark), scratch(spark, "t3"), 4), names).count() == 0
 
 
 def test_fisher_yates_is_uniform():
@@ -200,6 +203,15 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.predict(table(spark), none).collect()} == {"und"}
 
 
+def test_a_very_long_word():
+    pieces = langid.Pieces(langid.vocabulary(langid.pieces_path()))
+    model = langid.fit({"de": {"hund": 3, "katze": 2}, "en": {"dog": 3, "cat": 2}}, pieces)
+    word = langid.START + "dogcat" * 20_000
+    got = model.words([word, langid.START + "dog"])
+    assert np.allclose(got[0], sum(model.words([word[a : a + langid.STRETCH]])[0] for a in range(0, len(word), langid.STRETCH)))
+    assert np.allclose(got[1], langid.forward(pieces.lattice([langid.START + "dog"]), model.prob)[0])
+
+
 def test_language_held_out_accuracy(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = langid.op4(spark, sf).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()
@@ -332,14 +344,38 @@ def test_simhash_is_the_definition():
         assert simhash.simhash(None if t is None else t.encode()) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-@pytest.mark.parametrize("most", [1, 32])
-def test_near_links(spark, most):
+def test_references_tell_groups_apart():
+    base, near, _ = simhash.references()
+    masks = [{(base ^ r).bit_length() and base ^ r for r in g} for g in near]
+    assert all(len(m) == 8 for m in masks) and sum(max(m, key=int.bit_count) for m in masks) == (1 << 64) - 1
+
+
+@pytest.mark.parametrize("n", [3, 400, 3000])
+def test_links_among(n):
+    r = random.Random(n)
+    base = r.getrandbits(64)
+    fps = list({base ^ sum(1 << b for b in r.sample(range(14), r.randrange(14))) for _ in range(n)})
+    refs = np.array(simhash.references()[2], np.uint64)
+    got = simhash.links_among(np.array(fps, np.uint64), refs)
+    assert len(got) < len(fps) and all((fps[i] ^ fps[j]).bit_count() <= 2 for i, j in got)
+    parent = list(range(len(fps)))
+    for i, j in got:
+        a, b = parent[i], parent[j]
+        parent = [a if x == b else x for x in parent]
+    bits = np.array(fps, np.uint64)
+    for i in range(0, len(fps), 7):
+        for j in np.flatnonzero(np.bitwise_count(bits ^ bits[i]) <= 2).tolist():
+            assert parent[i] == parent[j]
+
+
+def test_near_links(spark):
     r = random.Random(1)
     fps = [r.getrandbits(64) for _ in range(40)]
     fps += [f ^ 1 << r.randrange(64) ^ 1 << r.randrange(64) for f in fps for _ in range(3)]
     fps += [f ^ 1 << r.randrange(64) for f in fps[40:60]]
+    fps += [fps[0] ^ r.getrandbits(64) & 0x1111111111 for _ in range(200)]  # one large group
     want = components(fps, lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 2)
-    links = simhash.similar_links(spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long"), most)
+    links = simhash.similar_links(spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long"))
     pairs = {(r.src, r.dst) for r in links.collect()}
     at = {simhash._signed(f): i for i, f in enumerate(fps)}
     assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= 2 for a, b in pairs)
@@ -358,9 +394,6 @@ def test_near_duplicates(spark):
         if i is not None:
             least[r] = min(i, least.get(r, i))
     assert Counter((r.doc_id, r.component_id) for r in got) == Counter((i, least.get(r)) for (i, _), r in zip(data, roots, strict=True))
-    kept = simhash.drop_near_duplicates(docs)
-    assert kept.columns == docs.columns
-    assert {r.doc_id for r in kept.collect()} == set(least.values()) | {None}
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
@@ -396,6 +429,27 @@ def test_merge_replay_follows_the_definition_for_any_ranks():
             assert ids[offsets[i] : offsets[i + 1]].tolist() == replay.one(w)
 
 
+def test_one_word_follows_the_definition_and_is_fast():
+    import time
+
+    r = random.Random(5)
+    replay = bpe.MergeReplay(bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken")))
+    ranks = {t: i for i, t in enumerate(replay.token)}
+    for n in (0, 1, 2, 30, 200):
+        word = bytes(r.choice(b"abcdeinst") for _ in range(n))
+        parts = [word[i : i + 1] for i in range(n)]
+        while len(parts) > 1:
+            best, at = min((ranks.get(a + b, 1 << 30), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+            if best == 1 << 30:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        assert replay.one(word) == [ranks[p] for p in parts]
+    word = bytes(r.choice(b"abcdefghijklmnopqrstuvwxyz") for _ in range(1 << 20))
+    began = time.time()
+    ids, _ = replay.encode([word, b"other"])
+    assert time.time() - began < 60 and b"".join(replay.token[i] for i in ids.tolist()) == word + b"other"
+
+
 def test_bpe_round_trip(spark):
     import hashlib
 
@@ -479,6 +533,20 @@ def test_passages_with_an_unlike_middle(spark, length, apart):
     assert {(f.id, f.start, f.end, f.other_start, f.share) for f in found} == {(i, a, a + length, a, 1.0) for i in (1, 2) for a in (30, at)}
 
 
+def test_one_chunk_in_most_rows(spark, monkeypatch):
+    """A common chunk is dealt to several tasks; all but the first go."""
+    common = "\n".join(f"common {k}" for k in range(6))
+    data = [(i, f"own {i}\nmine {i}\n{common}\n" + "\n".join(f"after {i} {k}" for k in range(4))) for i in range(600)] + [(i, None) for i in range(600, 610)]
+    docs = table(spark, data)
+    plain = rows(linededup.dedup(docs, runs=True), "doc_id", "text")
+    real = linededup.repeats
+    monkeypatch.setattr(linededup, "repeats", lambda *a, **k: real(*a, **k, deal=50))
+    got = linededup.dedup(docs, runs=True)
+    assert rows(got, "doc_id", "text") == plain
+    want = Counter((i, t if t is None or i == 0 else t.replace(common + "\n", "")) for i, t in data)
+    assert plain == want
+
+
 def test_line_runs_across_cuts(spark):
     """Every run of two lines or more that stands earlier goes whole, wherever cuts fall."""
     r = random.Random(8)

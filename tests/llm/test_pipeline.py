@@ -66,3 +66,14 @@ def test_language_without_labels(spark):
     docs = spark.createDataFrame([(1, "the cat and the dog", None, "s", 19), (2, None, None, "s", 0), (3, "12 34 ###", None, "s", 9), (4, "été", None, "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.language(spark, docs, "")
     assert got.columns == docs.columns and {r.doc_id for r in got.collect()} == {1, 4}
+
+
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    """One row of each group stays: rows with one id and unlike texts are two groups, and a
+    null id doesn't keep a copy."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    data = [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (2, a + " x", "en", "s", 1), (None, a, "en", "s", 1), (None, "only here", "en", "s", 1), (1, a, "en", "t", 1)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == [(0, "only here"), (1, a), (1, b)]
