@@ -6,16 +6,22 @@ that block's share of the budget. Each block is range-joined by itself: referenc
 points (a bounded draw of the vectors) cut its space into cells, a vector's home is
 its nearest point's cell, and it visits every cell whose bisector with its home lies
 within the block's radius, so that each vector within the radius of a home vector
-visits that cell. What meets is compared in the block, then over all blocks and by
-the cosine in double precision. A link counts in the first block whose budget it
-keeps, in the home of the lesser key: once. Cells are cut into parts of bounded
-size. A task gives for each vector the number of links it found and the least key
-of those joined to it, not the links.
-
-Equal vectors are one class that is joined once, with its number. Vectors that are
-null, zero, of another length than the most, or that hold null or non-finite
-components, and rows without an id, link with nothing. Equal rows are equal vectors
-and link. Other columns are dropped."""
+visits that cell. Cells are in an order; a vector visits those before its home, and
+so a pair meets once a block. What meets is compared in the block, then over all blocks
+and by the cosine in double precision. A link counts in the first block whose budget it
+keeps.
+
+Cells next to each other form regions, as many as keep about REGION vectors each. A
+vector goes to a region once, for all blocks in which its home or a visit lies there, and
+cells inside a region cost no copies. Regions of over HOME_PART homes or VISIT_PART rows
+are cut into parts. A task gives for each vector the number of links it found and the
+least key of those joined to it, not the links.
+
+Equal vectors are one class (told by two 64-bit hashes and the length) that is joined
+once, with its number. Vectors of different lengths don't link; lengths between two
+powers of two are joined together, with zeros at the ends. Vectors that are null, empty,
+zero or that hold null or non-finite components, and rows without an id, link with
+nothing. Equal rows are equal vectors and link. Other columns are dropped."""
 
 from __future__ import annotations
 
@@ -25,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isogon.cluster import checkpointed, ship, through_table
-from isogon.llm.components import connected_components
+from isogon.llm.components import connected_components, spread_join
 
 SLACK = 1e-9
-HOME_PART, VISIT_PART = 4096, 16_384
+REGION, HOME_PART, VISIT_PART = 16_384, 32_768, 65_536
 
 
 def rotation(dim: int, seed: int) -> np.ndarray:
@@ -46,129 +52,148 @@ def rotated(v: np.ndarray, rot: np.ndarray) -> np.ndarray:
     return np.stack([(v * rot[:, k]).sum(1) for k in range(rot.shape[1])], 1)
 
 
+def in_regions(points: np.ndarray, regions: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the points, region of each in this order): halved again and again across
+    the widest axis, the largest part first."""
+    parts = [np.arange(len(points))]
+    while len(parts) < regions and max(map(len, parts)) > 1:
+        i = max(range(len(parts)), key=lambda k: len(parts[k]))
+        part = parts[i]
+        axis = np.ptp(points[part], axis=0).argmax()
+        part = part[np.argsort(points[part, axis], kind="stable")]
+        parts[i : i + 1] = [part[: len(part) // 2], part[len(part) // 2 :]]
+    return np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+
+
 class Cells:
     """The cells of each block."""
 
-    def __init__(self, points: np.ndarray, rot: np.ndarray, blocks: int, budget: float):
+    def __init__(self, points: np.ndarray, rot: np.ndarray, blocks: int, budget: float, regions: int):
         self.rot, self.dims = rot, [x[0] + np.arange(len(x)) for x in np.array_split(np.arange(rot.shape[0]), blocks)]
         self.share = [budget * len(d) / rot.shape[0] for d in self.dims]
-        self.points = [np.unique(rotated(points, rot)[:, d], axis=0) for d in self.dims]
+        self.points, self.region = [], []
+        for d in self.dims:
+            p = np.unique(rotated(points, rot)[:, d], axis=0)
+            order, region = in_regions(p, regions)
+            self.points.append(p[order])
+            self.region.append(region)
+        self.regions = 1 + max(int(r[-1]) for r in self.region)
         self.apart = [np.sqrt(np.maximum(((p[:, None] - p[None]) ** 2).sum(-1), 1e-300)) for p in self.points]
 
     def visits(self, x: np.ndarray, b: int) -> tuple[np.ndarray, np.ndarray]:
-        """(home cell, mask of the cells visited) of rotated vectors in block b."""
+        """(home cell, mask of it and the cells before it that are visited) of rotated
+        vectors in block b."""
         p, y = self.points[b], x[:, self.dims[b]]
         d = ((y[:, None] - p[None]) ** 2).sum(-1)
         home = d.argmin(1)
         over = (d - d[np.arange(len(y)), home][:, None]) / (2 * self.apart[b][home])
         seen = over <= np.sqrt(self.share[b]) + 1e-6
         seen[np.arange(len(y)), home] = True
-        return home, seen
+        return home, seen & (np.arange(len(p))[None] <= home[:, None])
+
+    def placed(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(mask of the regions with a home, mask of the regions with a home or a visit)."""
+        homes, goes = np.zeros((len(x), self.regions), bool), np.zeros((len(x), self.regions), bool)
+        for a in range(0, len(x), 512):
+            for b in range(len(self.dims)):
+                home, seen = self.visits(x[a : a + 512], b)
+                homes[np.arange(a, a + len(home)), self.region[b][home]] = True
+                first = np.concatenate([[0], np.flatnonzero(np.diff(self.region[b])) + 1])
+                goes[a : a + 512, : len(first)] |= np.logical_or.reduceat(seen, first, axis=1)
+        return homes, goes
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, blocks: int = 4, most_cells: int = 128, seed: int = 3) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, blocks: int = 4, most_cells: int = 1024, seed: int = 3) -> DataFrame:
     """(id_col, n_links, component_id, kept)."""
     spark = vectors.sparkSession
     ship(spark)
+    kind = vectors.schema[vec_col].dataType.simpleString()
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
-    common = rows.where(F.size("v") > 0).groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if common is None:
-        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    dim = common["n"]
-    good = F.col("id").isNotNull() & (F.size("v") == dim) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+    good = F.col("id").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     good = F.coalesce(good, F.lit(False))
-    classes = through_table(rows.where(good).groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("mult")).withColumn("key", F.monotonically_increasing_id()), "vector-classes")
-    n = classes.count()
-    want = int(min(most_cells, max(16, n**0.5 / 8)))
-    drawn = classes.select("v").orderBy(F.xxhash64("v")).limit(want).toArrow()
-    if not drawn.num_rows:
+    hashes = [F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), "v").alias("b"), F.size("v").alias("len")]
+    classes = through_table(rows.where(good).select("id", "v", *hashes).groupBy("a", "b", "len").agg(F.min("id").alias("least"), F.count("*").alias("mult"), F.first("v").alias("v")).withColumn("key", F.monotonically_increasing_id()), "vector-classes")
+    links = None
+    for lo, hi in _spans(classes):
+        part = _links(classes.where(F.col("len").between(lo, hi)), hi, kind, blocks, most_cells, 2 - 2 * threshold, threshold, seed)
+        links = part if links is None else links.unionAll(part)
+    if links is None:
         links = spark.createDataFrame([], "key long, n long, root long")
-    else:
-        points = unit(matrix(drawn.column("v").combine_chunks(), dim))
-        rot = rotation(dim, seed)
-        links = _links(classes, Cells(points, rot, min(blocks, dim), 2 - 2 * threshold), dim, threshold)
     links = checkpointed(links.groupBy("key", "root").agg(F.sum("n").alias("n")))
     counts = links.groupBy("key").agg(F.sum("n").alias("n"))
     roots = connected_components(links.where("key <> root"), "key", "root").withColumnsRenamed({"id": "key"})
-    member = classes.select("key", "least", "mult", "v").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")).join(counts, "key", "left")
-    member = through_table(member.select("v", "least", "root", (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")), "vector-members")
+    member = classes.drop("v").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")).join(counts, "key", "left")
+    member = checkpointed(member.select("a", "b", "len", "mult", "least", "root", (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")))
     best = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = member.join(best, "root").select("v", "n_links", "component_id")
-    linked = rows.where(good).join(named, "v").select("id", "n_links", "component_id")
+    named = member.join(best, "root").select(F.struct("a", "b", "len").alias("c"), "mult", "n_links", "component_id")
+    linked = spread_join(rows.where(good).select("id", F.struct(*hashes).alias("c")), named, "c", "mult").select("id", "n_links", "component_id")
     alone = rows.where(~good).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionAll(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _links(classes: DataFrame, cells: Cells, dim: int, threshold: float) -> DataFrame:
+def _spans(classes: DataFrame) -> list[tuple[int, int]]:
+    """(least, greatest) length of the vectors between two powers of two, where there are
+    two vectors to compare: a few dozen spans at most."""
+    power = F.length(F.bin(F.col("len") - 1))
+    return [(r.lo, r.hi) for r in classes.groupBy(power).agg(F.min("len").alias("lo"), F.max("len").alias("hi"), F.count("*").alias("n")).where("n > 1").orderBy("lo").collect()]
+
+
+def _links(classes: DataFrame, dim: int, kind: str, blocks: int, most_cells: int, budget: float, threshold: float, seed: int) -> DataFrame:
+    """(key, n, root) of the links among classes, whose vectors have dim components or fewer."""
     spark = classes.sparkSession
-    sent = spark.sparkContext.broadcast(cells)  # most_cells points and a rotation
-    blocks = len(cells.dims)
+    padded = F.concat("v", F.array_repeat(F.lit(0).cast(kind[6:-1]), F.lit(dim) - F.size("v")))
+    classes = classes.select("key", "mult", "len", F.when(F.size("v") == dim, F.col("v")).otherwise(padded).alias("v"))
+    n = classes.count()
+    drawn = classes.select("v").orderBy(F.xxhash64("v")).limit(int(min(most_cells, max(16, n**0.5)))).toArrow()
+    made = Cells(unit(matrix(drawn.column("v").combine_chunks(), dim)), rotation(dim, seed), min(blocks, dim), budget, -(-n // REGION))
+    sent = spark.sparkContext.broadcast(made)  # most_cells points and a rotation
+    regions = made.regions
 
     def count(batches):
         c = sent.value
-        home, seen = [np.zeros(len(p), np.int64) for p in c.points], [np.zeros(len(p), np.int64) for p in c.points]
+        home, goes = np.zeros(regions, np.int64), np.zeros(regions, np.int64)
         for batch in batches:
-            x = rotated(unit(matrix(batch.column(0), dim)), c.rot)
-            for a in range(0, len(x), 512):
-                for b in range(blocks):
-                    h, s = c.visits(x[a : a + 512], b)
-                    home[b] += np.bincount(h, minlength=len(home[b]))
-                    seen[b] += s.sum(0)
-        rows = [(b, i, int(home[b][i]), int(seen[b][i])) for b in range(blocks) for i in range(len(home[b])) if seen[b][i]]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=["b", "c", "h", "s"])
-
-    sizes = classes.select("v").mapInArrow(count, "b long, c long, h long, s long").groupBy("b", "c").agg(F.sum("h").alias("h"), F.sum("s").alias("s")).collect()
-    plan: dict[tuple[int, int], tuple[int, int, int]] = {}
-    groups = 0
-    for r in sorted(sizes):
-        if r.h:
-            parts = (-(-r.h // HOME_PART), -(-r.s // VISIT_PART))
-            plan[r.b, r.c] = (groups, *parts)
-            groups += parts[0] * parts[1]
+            h, g = c.placed(rotated(unit(matrix(batch.column(0), dim)), c.rot))
+            home += h.sum(0)
+            goes += g.sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(regions)), pa.array(home), pa.array(goes)], names=["r", "h", "s"])
+
+    plan, groups, region_of = {}, 0, []
+    for r in classes.select("v").mapInArrow(count, "r long, h long, s long").groupBy("r").agg(F.sum("h").alias("h"), F.sum("s").alias("s")).orderBy("r").collect():
+        parts = (max(1, -(-r.h // HOME_PART)), max(1, -(-r.s // VISIT_PART)))
+        plan[r.r] = (groups, *parts)
+        region_of += [r.r] * (parts[0] * parts[1])
+        groups += parts[0] * parts[1]
 
     def deal(batches):
         c = sent.value
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for a in range(0, len(keys), 512):
-                part = batch.slice(a, 512)
-                x, k = rotated(unit(matrix(part.column(2), dim)), c.rot), keys[a : a + 512]
-                at, group, is_home = [], [], []
-                for b in range(blocks):
-                    home, seen = c.visits(x, b)
-                    for i, cell in enumerate(home.tolist()):
-                        base, hp, vp = plan[b, cell]
-                        for j in range(vp):
-                            at.append(i)
-                            group.append(base + int(k[i] % hp) * vp + j)
-                            is_home.append(True)
-                    for i, cell in zip(*(z.tolist() for z in np.nonzero(seen)), strict=True):
-                        if (b, cell) in plan:
-                            base, hp, vp = plan[b, cell]
-                            for j in range(hp):
-                                at.append(i)
-                                group.append(base + j * vp + int(k[i] % vp))
-                                is_home.append(False)
-                for z in range(0, len(at), 8192):
-                    rows = part.take(pa.array(at[z : z + 8192], pa.int32()))
-                    yield pa.RecordBatch.from_arrays([pa.array(group[z : z + 8192], pa.int32()), pa.array(is_home[z : z + 8192]), *rows.columns], names=["g", "home", "key", "mult", "v"])
-
-    which = {base + k: b for (b, _), (base, hp, vp) in plan.items() for k in range(hp * vp)}
+            homes, goes = c.placed(rotated(unit(matrix(batch.column(3), dim)), c.rot))
+            at, group, role = [], [], []
+            for i, r in zip(*(z.tolist() for z in np.nonzero(goes)), strict=True):
+                base, hp, vp = plan[r]
+                p, q = int(keys[i] % hp), int(keys[i] // hp % vp)
+                for j in range(hp):
+                    for k in range(vp) if homes[i, r] and j == p else (q,):
+                        at.append(i)
+                        group.append(base + j * vp + k)
+                        role.append((1 if homes[i, r] and j == p else 0) | (2 if k == q else 0))
+            for z in range(0, len(at), 8192):
+                rows = batch.take(pa.array(at[z : z + 8192], pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(group[z : z + 8192], pa.int32()), pa.array(role[z : z + 8192], pa.int8()), *rows.columns], names=["g", "role", "key", "mult", "len", "v"])
 
     def compare(group: pa.Table) -> pa.Table:
         c = sent.value
-        b = which[group.column("g")[0].as_py()]
-        is_home = group.column("home").to_numpy()
-        key, mult = group.column("key").to_numpy(), group.column("mult").to_numpy()
+        region = region_of[group.column("g")[0].as_py()]
+        role, key, mult, size = (group.column(n).to_numpy() for n in ("role", "key", "mult", "len"))
         v = unit(matrix(group.column("v").combine_chunks(), dim))
         x = rotated(v, c.rot)
-        hs, vs = np.flatnonzero(is_home), np.flatnonzero(~is_home)
-        y = np.ascontiguousarray(x[:, c.dims[b]])
-        norm, found, parent = (y * y).sum(1), {}, {}
+        found, parent = {}, {}
 
         def root(i: int) -> int:
             while parent.setdefault(i, i) != i:
@@ -176,30 +201,44 @@ def _links(classes: DataFrame, cells: Cells, dim: int, threshold: float) -> Data
                 i = parent[i]
             return i
 
-        for a in range(0, len(hs), 512):
-            h = hs[a : a + 512]
-            for z in range(0, len(vs), 2048):
-                w = vs[z : z + 2048]
-                near = norm[h][:, None] + norm[w][None] - 2 * (y[h] @ y[w].T) <= c.share[b] + SLACK
-                near &= key[h][:, None] < key[w][None]
-                p, q = np.nonzero(near)
-                for s in range(0, len(p), 20_000):
-                    i, j = h[p[s : s + 20_000]], w[q[s : s + 20_000]]
-                    d = (x[i] - x[j]) ** 2
-                    inside = np.stack([d[:, dims].sum(1) <= share + SLACK / 2 for dims, share in zip(c.dims, c.share, strict=True)], 1)
-                    ok = ((v[i] * v[j]).sum(1) >= threshold) & inside[:, b] & ~inside[:, :b].any(1)
-                    for i1, j1 in zip(key[i[ok]].tolist(), key[j[ok]].tolist(), strict=True):
-                        r1, r2 = root(i1), root(j1)
-                        if r1 != r2:
-                            parent[max(r1, r2)] = min(r1, r2)
-                    for ks, ms in ((key[i[ok]], mult[j[ok]]), (key[j[ok]], mult[i[ok]])):
-                        ids, inv = np.unique(ks, return_inverse=True)
-                        for i1, m in zip(ids.tolist(), np.bincount(inv, ms, len(ids)).tolist(), strict=True):
-                            found[i1] = found.get(i1, 0) + int(m)
+        def joined(b: int, i: np.ndarray, j: np.ndarray) -> None:
+            d = (x[i] - x[j]) ** 2
+            inside = np.stack([d[:, dims].sum(1) <= share + SLACK / 2 for dims, share in zip(c.dims, c.share, strict=True)], 1)
+            ok = ((v[i] * v[j]).sum(1) >= threshold) & inside[:, b] & ~inside[:, :b].any(1) & (size[i] == size[j])
+            for i1, j1 in zip(key[i[ok]].tolist(), key[j[ok]].tolist(), strict=True):
+                r1, r2 = root(i1), root(j1)
+                if r1 != r2:
+                    parent[max(r1, r2)] = min(r1, r2)
+            for ks, ms in ((key[i[ok]], mult[j[ok]]), (key[j[ok]], mult[i[ok]])):
+                ids, inv = np.unique(ks, return_inverse=True)
+                for i1, m in zip(ids.tolist(), np.bincount(inv, ms, len(ids)).tolist(), strict=True):
+                    found[i1] = found.get(i1, 0) + int(m)
+
+        for b in range(len(c.dims)):
+            cells = np.flatnonzero(c.region[b] == region)
+            if not len(cells):
+                continue
+            y = np.ascontiguousarray(x[:, c.dims[b]])
+            norm = (y * y).sum(1)
+            home, seen = np.zeros(len(x), np.int64), np.zeros((len(x), len(cells)), bool)
+            for a in range(0, len(x), 512):
+                home[a : a + 512], s = c.visits(x[a : a + 512], b)
+                seen[a : a + 512] = s[:, cells]
+            for k, cell in enumerate(cells.tolist()):
+                hs, vs = np.flatnonzero((home == cell) & (role & 1 > 0)), np.flatnonzero(seen[:, k] & (role & 2 > 0))
+                for a in range(0, len(hs), 512):
+                    h = hs[a : a + 512]
+                    for z in range(0, len(vs), 2048):
+                        w = vs[z : z + 2048]
+                        near = norm[h][:, None] + norm[w][None] - 2 * (y[h] @ y[w].T) <= c.share[b] + SLACK
+                        near &= (home[w] > cell)[None] | (key[h][:, None] < key[w][None])
+                        p, q = np.nonzero(near)
+                        for s in range(0, len(p), 20_000):
+                            joined(b, h[p[s : s + 20_000]], w[q[s : s + 20_000]])
         ids = sorted(found)
         return pa.table({"key": pa.array(ids, pa.int64()), "n": pa.array([found[i] for i in ids], pa.int64()), "root": pa.array([root(i) for i in ids], pa.int64())})
 
-    return classes.select("key", "mult", "v").mapInArrow(deal, f"g int, home boolean, key long, mult long, v {classes.schema['v'].dataType.simpleString()}").groupBy("g").applyInArrow(compare, "key long, n long, root long")
+    return classes.mapInArrow(deal, f"g int, role byte, key long, mult long, len int, v {kind}").groupBy("g").applyInArrow(compare, "key long, n long, root long")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
