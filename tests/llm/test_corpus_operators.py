@@ -221,24 +221,47 @@ def test_language_held_out_accuracy(spark, sf):
 # --- embeddings
 
 
-def test_embeddings(spark):
+@pytest.mark.parametrize("region,part", [(16_384, 32_768), (20, 7)])
+def test_embeddings(spark, monkeypatch, region, part):
+    """Against all pairs: also in many regions cut into parts, and with vectors of several lengths."""
+    monkeypatch.setattr(embeddings, "REGION", region)
+    monkeypatch.setattr(embeddings, "HOME_PART", part)
+    monkeypatch.setattr(embeddings, "VISIT_PART", part * 2)
     rng = np.random.default_rng(3)
     base = rng.normal(size=(60, 12))
     vectors = [base[i % 60] + rng.normal(size=12) * 0.12 * (i >= 60) for i in range(180)] + [base[0] * 3, base[0], base[0]]
+    vectors += [v * 2 for x in base[:3, :11] for v in (x, np.append(x, 0.0))] + [base[0, :11], base[1, :5], base[1, :5] * 4, base[1, :1], -base[1, :1] * 2]
     data = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
-    odd = [(500, None), (501, [0.0] * 12), (502, [float("nan")] * 12), (503, [1.0]), (504, [None] * 12), (None, data[0][1]), (505, [float("inf")] + [1.0] * 11)]
+    odd = [(500, None), (501, [0.0] * 12), (502, [float("nan")] * 12), (503, [1.0, 2.0, 3.0]), (504, [None] * 12), (None, data[0][1]), (505, [float("inf")] + [1.0] * 11), (506, [])]
     got = {r.vec_id: r for r in embeddings.near_duplicates(spark.createDataFrame(data + odd, "vec_id long, embedding array<double>")).collect()}
-    v = np.array([x for _, x in data])
-    u = v / np.linalg.norm(v, axis=1)[:, None]
-    near = u @ u.T >= 0.95
-    want = components(range(len(data)), lambda i, j: near[i, j])
+
+    def linked(i, j):
+        a, b = np.array(data[i][1]), np.array(data[j][1])
+        return len(a) == len(b) and a @ b / np.linalg.norm(a) / np.linalg.norm(b) >= 0.95
+
+    want = components(range(len(data)), linked)
     for i in range(len(data)):
-        assert got[i].n_links == near[i].sum() - 1 and got[i].component_id == want[i] and got[i].kept == (want[i] == i)
+        links = sum(linked(i, j) for j in range(len(data)) if j != i)
+        assert (got[i].n_links, got[i].component_id, got[i].kept) == (links, want[i], want[i] == i)
     for i, _ in odd:
         assert got[i].n_links == 0 and got[i].component_id == i and got[i].kept
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("threshold", [0.95, 0.3])
+def test_embeddings_against_all_pairs(spark, sf_mid, threshold):
+    """The whole table; it has links at the lower threshold only."""
+    docs = spark.read.parquet(f"{sf_mid}/embeddings.parquet")
+    rows = docs.orderBy("vec_id").collect()
+    v = np.array([r.embedding for r in rows], float)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    near = v @ v.T >= threshold
+    got = (embeddings.op5(spark, sf_mid) if threshold == 0.95 else embeddings.near_duplicates(docs, threshold=threshold)).orderBy("vec_id").collect()
+    assert [r.n_links for r in got] == (near.sum(1) - 1).tolist() and (threshold == 0.95 or sum(r.n_links for r in got) > 0)
+    want = components([r.vec_id for r in rows], lambda i, j: near[i, j])
+    assert [r.component_id for r in got] == [rows[i].vec_id for i in want]
+
+
 # --- quality rules
 
 
@@ -587,3 +610,61 @@ def test_passage_with_one_seed_left(spark):
     found = substrings.passages(table(spark, docs)).collect()
     assert all(f.id == f.other_id + 1 and f.share >= 0.8 and f.end - f.start >= 50 for f in found)
     assert {f.id for f in found} == set(range(1, 80, 2))
+
+
+def edited(r, words, share, regular):
+    """words with a share of them replaced: every n-th, or at random."""
+    n = len(words)
+    at = range(round(1 / share) - 1, n, round(1 / share)) if regular else r.sample(range(n), int(share * n))
+    out = list(words)
+    for i in at:
+        out[i] = "".join(r.choice("abcdefghij") for _ in range(6))
+    return out
+
+
+@pytest.mark.parametrize("regular", [False, True])
+def test_recall_of_edited_passages(spark, regular):
+    """Passages of 120 words, 5 to 20 in 100 of them replaced, in 40 pairs of documents each:
+    at least nine in ten are found at each rate, and nothing between unlike documents."""
+    r = random.Random(11)
+    words = lambda n: ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    docs, rate = [], {}
+    for share in (0.05, 0.1, 1 / 8, 0.15, 1 / 6, 0.2):
+        for _ in range(40):
+            passage = words(120)
+            i = len(docs)
+            docs += [(i, " ".join(words(80) + passage + words(80))), (i + 1, " ".join(words(50) + edited(r, passage, share, regular) + words(90)))]
+            rate[i + 1] = share
+    found = {f.id: f for f in substrings.passages(table(spark, docs)).collect()}
+    assert all(f.id == f.other_id + 1 and f.end - f.start >= 50 and f.share >= 0.8 - 1e-9 for f in found.values())
+    hits = Counter(rate[i] for i in found)
+    assert all(hits[s] >= 36 for s in set(rate.values())), hits
+
+
+def test_longest_part():
+    r = random.Random(3)
+    for _ in range(300):
+        mark = [int(r.random() < 0.75) for _ in range(r.randrange(30))]
+        spans = [(z - a, -a) for a in range(len(mark)) for z in range(a + 1, len(mark) + 1) if sum(mark[a:z]) >= 0.8 * (z - a) - 1e-9]
+        a, z = substrings.longest_part(mark, 0.8)
+        assert z - a == max(spans, default=(0, 0))[0] and (z == a or sum(mark[a:z]) >= 0.8 * (z - a) - 1e-9)
+
+
+def test_a_passage_runs_on_beyond_the_margin(spark):
+    """With few words fetched at first, the whole passage is found all the same."""
+    r = random.Random(12)
+    words = lambda n: ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    shared = words(400)
+    docs = table(spark, [(0, " ".join(words(300) + shared + words(20))), (1, " ".join(words(10) + shared + words(500))), (2, " ".join(shared))])
+    got = {(f.id, f.other_id, f.start, f.end, f.other_start) for f in substrings.passages(docs, margin=1, rate=40).collect()}
+    assert got == {(1, 0, 10, 410, 300), (2, 0, 0, 400, 300)}
+
+
+def test_one_seed_in_most_rows(spark):
+    """A passage in every document, its seeds dealt to several tasks."""
+    r = random.Random(13)
+    words = lambda n: ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    shared = words(60)
+    docs = table(spark, [(i, " ".join(words(20) + shared + words(20))) for i in range(120)])
+    got = {(f.id, f.other_id, f.start, f.end) for f in substrings.passages(docs, deal=10).collect()}
+    assert got == {(i, 0, 20, 80) for i in range(1, 120)}
