@@ -144,11 +144,9 @@ def rotate(x: Column, y: Column, cx: Column, cy: Column, degrees: Column) -> Col
 
 
 def azimuth(dx: Column, dy: Column) -> Column:
-    """By quadrant, counted from the x axis; 0 on an axis."""
-    return (
-        F.when((dy > 0) & (dx > 0), F.atan(dy / dx)).when((dy > 0) & (dx < 0), math.pi - F.atan(dy / F.abs(dx)))
-        .when((dy < 0) & (dx < 0), math.pi + F.atan(dy / dx)).when((dy < 0) & (dx > 0), 2 * math.pi - F.atan(F.abs(dy) / dx)).otherwise(0.0)
-    )
+    """Angle from the x axis in [0, 2 pi); 0 on an axis."""
+    a = F.atan2(dy, dx)
+    return F.when((dx == 0) | (dy == 0), F.lit(0.0)).when(a < 0, a + 2 * math.pi).otherwise(a)
 
 
 def nearest_on_segment(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -169,3 +167,80 @@ def legendre(x: Column, n: int) -> list[Column]:
     for k in range(1, n):
         out.append(((2 * k + 1) * x * out[k] - k * out[k - 1]) / (k + 1))
     return out[: n + 1]
+
+
+def utm_zone(lat: Column, lon: Column) -> Column:
+    """Struct zone (1 to 60, with the exceptions at the North Sea and Svalbard), central
+    meridian in degrees, and hemisphere."""
+    east = F.pmod(lon + 180, F.lit(360.0)) - 180
+    zone = F.least(F.floor((east + 180) / 6) + 1, F.lit(60))
+    zone = F.when(lat.between(56, 63.999999) & (east >= 3) & (east < 12), 32).otherwise(zone)
+    for lo, hi, z in ((0, 9, 31), (9, 21, 33), (21, 33, 35), (33, 42, 37)):
+        zone = F.when((lat >= 72) & (east >= lo) & (east < hi), z).otherwise(zone)
+    zone = zone.cast("int")
+    return F.struct(zone.alias("zone"), (zone * 6.0 - 183.0).alias("central"), F.when(lat < 0, "S").otherwise("N").alias("hemisphere"))
+
+
+def convergence(lat: Column, lon: Column) -> Column:
+    """Angle in degrees from true to grid north of the transverse Mercator projection of
+    the place's zone, by the series in the longitude's offset."""
+    dl = F.radians(F.pmod(lon + 180, F.lit(360.0)) - 180 - utm_zone(lat, lon)["central"])
+    b = F.radians(lat)
+    s, c = F.sin(b), F.cos(b)
+    eta = (AXIS_A**2 - AXIS_B**2) / AXIS_B**2 * c * c
+    t2 = F.pow(F.tan(b), 2)
+    return F.degrees(dl * s + F.pow(dl, 3) / 3 * s * c * c * (1 + 3 * eta + 2 * eta * eta) + F.pow(dl, 5) / 15 * s * F.pow(c, 4) * (2 - t2))
+
+
+def to_spherical(lat: Column, lon: Column, height_km: Column) -> Column:
+    """Struct lat (geocentric), lon, r in km, of a geodetic place."""
+    n, e2 = _curvature(lat)
+    b = F.radians(lat)
+    rho, z = (n / 1000 + height_km) * F.cos(b), (n / 1000 * (1 - e2) + height_km) * F.sin(b)
+    r = F.sqrt(rho * rho + z * z)
+    return F.struct(F.degrees(F.asin(z / r)).alias("lat"), lon.alias("lon"), r.alias("r"))
+
+
+def from_dms(text: Column) -> Column:
+    """Degrees of "d,m,s", the sign of the first part for all; null where it is none."""
+    f = F.split(text, r"\s*,\s*")
+    d, m, s = (F.get(f, F.lit(i)).try_cast("double") for i in range(3))
+    ok = (F.size(f) == 3) & (m >= 0) & (m < 60) & (s >= 0) & (s < 60)
+    return F.when(ok, F.when(F.startswith(F.trim(text), F.lit("-")), -1.0).otherwise(1.0) * (F.abs(d) + m / 60 + s / 3600))
+
+
+def to_dms(degrees: Column) -> Column:
+    """Whole degrees, minutes and seconds, "d,m,s", seconds rounded, carried over at 60."""
+    total = F.round(F.abs(degrees) * 3600).cast("bigint")
+    sign = F.when((degrees < 0) & (total > 0), "-").otherwise("")
+    return F.concat(sign, F.concat_ws(",", F.floor(total / 3600).cast("string"), F.floor(total % 3600 / 60).cast("string"), (total % 60).cast("string")))
+
+
+def colour_index(v: Column, lo: Column, hi: Column, colours: int) -> Column:
+    """Place in a map of colours by linear scaling; the middle where all values are equal."""
+    return F.when(hi - lo < 0.0001, F.lit(colours // 2)).otherwise(_whole((v - lo) / (hi - lo) * (colours - 1)))
+
+
+def catmull_rom(p0: Column, p1: Column, p2: Column, p3: Column, t: Column) -> Column:
+    """The cubic through p1 (t = 0) and p2 (t = 1) whose slopes are half the differences of
+    the points around."""
+    m1, m2 = (p2 - p0) / 2, (p3 - p1) / 2
+    return p1 + t * (m1 + t * (3 * (p2 - p1) - 2 * m1 - m2 + t * (2 * (p1 - p2) + m1 + m2)))
+
+
+def z_score(v: Column, mean: Column, deviation: Column) -> Column:
+    return F.coalesce(F.try_divide(v - mean, deviation), F.lit(0.0))
+
+
+def in_subarea(x: Column, y: Column, cx: Column, cy: Column, size: float) -> Column:
+    """Whether a place lies in the square of a size about a centre, edges included."""
+    return (F.abs(x - cx) <= size / 2) & (F.abs(y - cy) <= size / 2)
+
+
+def valid_date(year: Column, month: Column, day: Column) -> Column:
+    first = F.make_date(year, F.when(month.between(1, 12), month).otherwise(1), F.lit(1))
+    return F.coalesce(month.between(1, 12) & day.between(1, F.day(F.last_day(first))), F.lit(False))
+
+
+def valid_step(begin: Column, end: Column, step: Column) -> Column:
+    return F.coalesce((step > 0) & (begin <= end) & (step <= end - begin), F.lit(False))

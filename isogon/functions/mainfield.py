@@ -5,10 +5,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isogon.cluster import ship
+from isogon.functions import geo
 
 #: Ellipsoid axes and the reference sphere, in km.
 MAJOR, MINOR, SPHERE = 6378.137, 6356.7523142, 6371.2
@@ -46,11 +47,54 @@ def read_cof(lines: list[str]) -> Model:
     return Model(epoch, rows)
 
 
-def read_epochs(lines: list[str]) -> list[Model]:
+def read_pair(field: list[str], change: list[str]) -> Model:
+    """A field file with a header (epoch first) and n m g h a line, and a file of the yearly
+    changes to a lower degree, as a rule."""
+    def numbers(lines: list[str]) -> dict[tuple[int, int], list[float]]:
+        rows = [line.split() for line in lines if line.strip()]
+        return {(int(f[0]), int(f[1])): [float(v) for v in f[2:4]] for f in rows if len(f) >= 4 and not (set(f[0]) == {"9"} and len(f[0]) > 3)}
+
+    moved = numbers(change)
+    return Model(float(field[0].split()[0]), [[*at, *gh, *moved.get(at, [0.0, 0.0])] for at, gh in numbers(field[1:]).items()])
+
+
+def read_shdf(lines: list[str]) -> list[Model]:
+    """Models of several epochs: % lines hold keys, a new model begins at the key SHDF, #
+    lines are notes, the others type,n,m,g,h,gdot,hdot with blanks for none. External
+    terms are passed over."""
+    out, epoch, rows = [], None, []
+
+    def close():
+        if rows:
+            out.append(Model(epoch, rows))
+
+    for line in lines:
+        line = line.strip()
+        if line.startswith("%"):
+            if line[1:].strip().startswith("SHDF"):
+                close()
+                epoch, rows = None, []
+            elif line[1:].startswith("Epoch:"):
+                epoch = float(line.split(":")[1])
+        elif line and not line.startswith("#"):
+            f = [v.strip() for v in line.split(",")]
+            if f[0] == "I":
+                rows.append([float(v or 0) for v in [*f[1:7], "", "", "", ""][:6]])
+    close()
+    return out
+
+
+RECORD = 80
+
+
+def read_epochs(lines: list[str], record: int | None = RECORD) -> list[Model]:
     """Several epochs in one file; a header line begins with three blanks. The change of
-    an epoch is that towards the next one, of the last its own."""
+    an epoch is that towards the next one, of the last its own. Records have
+    `record` characters without their line end (None: any); others are an error."""
     heads, blocks = [], []
-    for line in lines:
+    for i, line in enumerate(lines):
+        if record and line.strip() and len(line.rstrip("\r\n")) != record:
+            raise ValueError(f"record {i + 1} has {len(line)} characters, not {record}")
         if line.startswith("   "):
             heads.append(float(line.split()[1]))
             blocks.append([])
@@ -147,6 +191,78 @@ def main_field(points: DataFrame, models: list[Model], lat: str = "lat", lon: st
     return points.withColumn("field", field(lat, lon, height, year))
 
 
+#: fixed values: uncertainties of the elements in nT and degrees; declination by geo.horizontal_uncertainty
+UNCERTAINTY = {"f": 138.0, "h": 133.0, "x": 137.0, "y": 89.0, "z": 141.0, "incl": 0.20}
+#: fixed value: latitude from which grid north is that of the polar projection
+POLAR = 55.0
+
+
+def grid_variation(decl: Column, lat: Column, lon: Column) -> Column:
+    """Declination from grid north: of the polar projection beyond POLAR degrees, else of
+    the transverse Mercator projection of the place's zone."""
+    return F.when(lat >= POLAR, decl - lon).when(lat <= -POLAR, decl + lon).otherwise(decl - geo.convergence(lat, lon))
+
+
+#: the columns of a result as users see it, in order
+RESULT = ["lat", "lon", "height", "year", *(x for f in ("f", "h", "x", "y", "z", "decl", "incl") for x in (f, f"{f}dot"))]
+
+
+def result_table(points: DataFrame, models: list[Model], lat: str = "lat", lon: str = "lon", height: str = "height", year: str = "year", weak: float = 100.0) -> DataFrame:
+    """points' other columns, the 18 columns of RESULT, grid variation gv and gvdot, and the
+    uncertainties u_*. At a pole, and where the horizontal field is under `weak` nT,
+    declination, its change and what depends on them are null."""
+    out = main_field(points, models, lat, lon, height, year)
+    vague = (F.abs(F.col(lat)) >= 90.0 - 1e-3) | (F.col("field.h") < weak)
+    of = lambda c: F.when(~vague, F.col(f"field.{c}")) if c in ("decl", "decldot") else F.col(f"field.{c}")
+    rest = [c for c in points.columns if c not in (lat, lon, height, year)]
+    cols = [F.col(c).alias(n) for c, n in ((lat, "lat"), (lon, "lon"), (height, "height"), (year, "year"))] + [of(c).alias(c) for c in RESULT[4:]]
+    cols += [grid_variation(of("decl"), F.col(lat), F.col(lon)).alias("gv"), of("decldot").alias("gvdot")]
+    cols += [F.lit(v).alias(f"u_{c}") for c, v in UNCERTAINTY.items()] + [geo.horizontal_uncertainty(F.col("field.h")).alias("u_decl")]
+    return out.select(*rest, *cols)
+
+
+def with_crust(core: list[Model], crust: Model, split: int = 15) -> list[Model]:
+    """Yearly core models, each with the crustal terms of a degree over `split`, which don't
+    change."""
+    out = []
+    for m in core:
+        top = max(m.top, crust.top)
+        one = Model.__new__(Model)
+        one.epoch, one.top = m.epoch, top
+        one.g, one.h, one.gdot, one.hdot = (np.zeros((top + 1, top + 1)) for _ in range(4))
+        for name in ("g", "h", "gdot", "hdot"):
+            part = getattr(m, name)
+            n = min(split, m.top) + 1
+            getattr(one, name)[:n, :n] = part[:n, :n]
+        one.g[split + 1 : crust.top + 1, : crust.top + 1], one.h[split + 1 : crust.top + 1, : crust.top + 1] = crust.g[split + 1 :], crust.h[split + 1 :]
+        out.append(one)
+    return out
+
+
+def gradients(points: DataFrame, models: list[Model], step_km: float = 0.1, lat: str = "lat", lon: str = "lon", height: str = "height", year: str = "year") -> DataFrame:
+    """points with structs d_north, d_east and d_down: the change of north, east and down
+    components in nT a km along these directions, by central differences."""
+    ship(points.sparkSession)
+
+    @F.pandas_udf("nx double, ny double, nz double, ex double, ey double, ez double, dx double, dy double, dz double")
+    def slope(la: pd.Series, lo: pd.Series, he: pd.Series, ye: pd.Series) -> pd.DataFrame:
+        a, b, c, t = (s.to_numpy(float) for s in (la, lo, he, ye))
+        out = np.full((9, len(a)), np.nan)
+        turn = np.degrees(step_km / (SPHERE + c))
+        round_ = turn / np.maximum(np.cos(np.radians(a)), 1e-9)
+        zero = np.zeros_like(a)
+        for one in np.unique(t[~np.isnan(t)]):
+            at, m = t == one, choose(models, one)
+            for k, (da, db, dc) in enumerate(((turn, zero, zero), (zero, round_, zero), (zero, zero, zero - step_km))):
+                up = synthesize(m.g, m.h, (a + da)[at], (b + db)[at], (c + dc)[at])
+                back = synthesize(m.g, m.h, (a - da)[at], (b - db)[at], (c - dc)[at])
+                out[3 * k : 3 * k + 3, at] = (up - back) / (2 * step_km)
+        return pd.DataFrame(dict(zip(("nx", "ny", "nz", "ex", "ey", "ez", "dx", "dy", "dz"), out, strict=True)))
+
+    got = points.withColumn("_s", slope(lat, lon, height, year))
+    return got.withColumns({f"d_{n}": F.struct(*[F.col(f"_s.{n[0]}{c}").alias(c) for c in "xyz"]) for n in ("north", "east", "down")}).drop("_s")
+
+
 def to_epoch(points: DataFrame, models: list[Model], year0: float, year1: float, value: str = "t", **names) -> DataFrame:
     """Reduction of total-field values from one year to another: less the main field
     then, plus the main field now, in column `reduced`."""

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from isogon.cluster import through_table
 from isogon.functions.geo import line_spacing
-from isogon.operators.grids import bin_mean, box_sums, gradients
+from isogon.operators.grids import bin_mean, box_sums, gradients, grid_over
 from isogon.operators.stats import scatter
+from isogon.operators.surface import smooth_surface
 
 FEATURES = ["sigma", "average", "slope", "flatness", "grad_sigma", "roughness"]
 
@@ -46,7 +47,7 @@ def features(grid: DataFrame, radius: int) -> DataFrame:
     return g.where("k >= 3").select("row", "col", F.sqrt(var).alias("sigma"), (m + F.col("_c")).alias("average"), (F.col("gm") / F.col("k")).alias("slope"), F.coalesce(-F.try_divide(fourth, var * var), F.lit(0.0)).alias("flatness"), (spread("e") + spread("n") + spread("ne") + spread("se")).alias("grad_sigma"), rough.alias("roughness"))
 
 
-def components(row, compat: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def components(row, compat: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(mean, deviation, weights of the standardised features) from scatter(). compat:
     the covariance divides the products by n - 1 and not the means' product."""
     n, k = row["n"], len(FEATURES)
@@ -63,7 +64,7 @@ def components(row, compat: bool = True) -> tuple[np.ndarray, np.ndarray, np.nda
     return mean, np.sqrt(np.maximum(cov.diagonal(), 1e-300)), (vectors * np.where(sign == 0, 1, sign)) @ share
 
 
-def complexity(points: DataFrame, cell: float, jump: int = 15, air: bool = False, x: str = "x", y: str = "y", v: str = "v") -> DataFrame:
+def complexity(points: DataFrame, cell: float, jump: int = 15, air: bool = False, x: str = "x", y: str = "y", v: str = "v", compat: bool = False) -> DataFrame:
     """(row, col, FEATURES, complexity, spacing) of cells at least jump from the edge:
     features once, their scatter in the cluster, a 6 x 6 decomposition here, and the
     score as a column expression."""
@@ -74,7 +75,7 @@ def complexity(points: DataFrame, cell: float, jump: int = 15, air: bool = False
     row = scatter(f, FEATURES).first()
     if row["n"] < 2:
         return f.withColumns({"complexity": F.lit(None).cast("double"), "spacing": F.lit(None).cast("double")})
-    mean, dev, weight = components(row)
+    mean, dev, weight = components(row, compat)
     score = sum((F.lit(float(w)) * (F.col(c) - float(m)) / float(d) for c, m, d, w in zip(FEATURES, mean, dev, weight, strict=True)), F.lit(0.0))
     f = f.withColumn("complexity", score)
     return f.withColumn("spacing", line_spacing(F.col("complexity"), air))
@@ -83,3 +84,10 @@ def complexity(points: DataFrame, cell: float, jump: int = 15, air: bool = False
 def export(df: DataFrame) -> DataFrame:
     """The flag that exports carry: 1 for a spacing of 8 or more."""
     return df.withColumn("index", F.when(F.col("spacing") >= 8, 1).otherwise(0))
+
+
+def gridded_complexity(points: DataFrame, step: float, jump: int = 15, nodes: int = 200, air: bool = False, compat: bool = False) -> DataFrame:
+    """complexity() of points put on a regular grid of a step over their extent, its values by
+    the smooth surface through nodes x nodes inverse-distance means."""
+    grid = grid_over(points, step, step).select("x", "y")
+    return complexity(smooth_surface(points, grid, nodes).withColumnRenamed("fit", "v"), step, jump, air, compat=compat)

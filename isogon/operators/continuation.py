@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isogon.cluster import ship
+from isogon.operators.stats import difference_report
 
 METHODS = {"tikhonov": 1, "integral": 2, "landweber": 3, "iterated_tikhonov": 4}
 #: Fixed values of the downward filters.
 ROUNDS, SIGMA, EARTH_KM = 13, 0.95, 6371.0
+MOST_CELLS = 16_000_000
 
 
 def up_factor(k: np.ndarray, h: float) -> np.ndarray:
@@ -49,6 +51,8 @@ def continued(t: np.ndarray, dx: float, dy: float, h: float, method: str | None
 def regrid(x: np.ndarray, y: np.ndarray, v: np.ndarray, dx: float, dy: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bilinear from a (possibly holed) grid of points to steps dx, dy; holes are 0."""
     xs, ys = np.unique(x), np.unique(y)
+    if len(xs) * len(ys) > MOST_CELLS or (xs[-1] - xs[0]) / dx * ((ys[-1] - ys[0]) / dy) > MOST_CELLS:
+        raise ValueError(f"a grid of over {MOST_CELLS} cells: cut it into several")
     z = np.zeros((len(ys), len(xs)))
     z[np.searchsorted(ys, y), np.searchsorted(xs, x)] = v
     nx, ny = xs[0] + np.arange(int((xs[-1] - xs[0]) / dx + 1e-9) + 1) * dx, ys[0] + np.arange(int((ys[-1] - ys[0]) / dy + 1e-9) + 1) * dy
@@ -72,3 +76,13 @@ def continue_grids(df: DataFrame, h: float, dx: float, dy: float, method: str |
 
     rows = df.select(F.col(grid).cast("long").alias("g"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(v).cast("double").alias("v"))
     return rows.groupBy("g").applyInPandas(run, "g long, x double, y double, value double").withColumnRenamed("g", grid)
+
+
+def accuracy_report(df: DataFrame, h: float, dx: float, dy: float, method: str, compat: bool = False, **names) -> DataFrame:
+    """(part, max, min, mean, spread, n): a grid continued up by h and down again by a method
+    (b), against the grid itself (a), and their difference."""
+    keep = {k: v for k, v in names.items() if k != "v"}
+    own = continue_grids(df, 0.0, dx, dy, **names).withColumnRenamed("value", "a")
+    up = continue_grids(df, h, dx, dy, **names)
+    down = continue_grids(up, h, dx, dy, method, v="value", **keep).withColumnRenamed("value", "b")
+    return difference_report(own.join(down, [names.get("grid", "grid_id"), "x", "y"]), "a", "b", compat)

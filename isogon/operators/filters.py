@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from isogon.functions import geo
+
 
 def in_box(df: DataFrame, x0: float, x1: float, y0: float, y1: float, x: str = "x", y: str = "y") -> DataFrame:
     """Inclusive on all sides; reaches the scan."""
@@ -43,9 +45,18 @@ def on_lines(y: Column, n: int, tolerant: bool = False) -> Column:
 
 
 def random_sample(df: DataFrame, n: int, seed: int, key: str = "id") -> DataFrame:
-    """An exact count of one n-th of the rows, without replacement: a sort by hash
-    and a limit, which Spark does as a top-k."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(df.count() // n)
+    """An exact count of one n-th of the rows, without replacement: those of the least
+    hashes. The hashes' upper 16 bits are counted; all rows below the bits where the count
+    is reached are taken, and only rows with just these bits are sorted."""
+    h = F.xxhash64(F.col(key), F.lit(seed))
+    high = F.shiftright(h, 48)
+    counts = df.groupBy(high.alias("b")).agg(F.count("*").alias("n")).orderBy("b").collect()  # 65,536 rows at most
+    left = sum(r.n for r in counts) // n
+    for r in counts:
+        if r.n > left:
+            return df.where(high < r.b).unionAll(df.where(high == r.b).orderBy(h, key).limit(left))
+        left -= r.n
+    return df
 
 
 def every_nth(df: DataFrame, n: int, order: str, group: list[str]) -> DataFrame:
@@ -79,3 +90,8 @@ def valid_position(lat: Column, lon: Column, height: Column | None = None) -> Co
     if height is not None:
         ok = ok & height.between(-9999.9999, 9999.9999)
     return F.coalesce(ok, F.lit(False))
+
+
+def valid_entry(lat: Column, lon: Column, height: Column, begin: Column, end: Column, step: Column, year: Column, month: Column, day: Column) -> Column:
+    """Position, height, step and date of a query as entered, all valid."""
+    return valid_position(lat, lon, height) & geo.valid_step(begin, end, step) & geo.valid_date(year, month, day)

@@ -36,39 +36,45 @@ def within(points: DataFrame, others: DataFrame, radius: float, x: str = "x", y:
     return p.join(o, near, "left_semi").drop("_cx", "_cy")
 
 
-def nearest(queries: DataFrame, points: DataFrame, k: int, cell: float, q_id: str = "id", p_id: str = "id", x: str = "x", y: str = "y", rounds: int = 12) -> DataFrame:
+def nearest(queries: DataFrame, points: DataFrame, k: int, cell: float, q_id: str = "id", p_id: str = "id", x: str = "x", y: str = "y") -> DataFrame:
     """(q_id, p_id, d2, rank): the k nearest points, by distance and then id, exact. The
     nine cells around a query hold all points within a cell's width: a query whose
-    k-th distance is within it is done, the others go on with cells twice as wide. In
-    the last round (cells 2 ** rounds wide) what is found stands."""
+    k-th distance is within it is done, the others go on with cells twice as wide, until
+    one cell is as wide as all places together."""
     p = points.select(F.col(p_id).alias("p_id"), F.col(x).alias("px"), F.col(y).alias("py"))
     left, done = queries.select(F.col(q_id).alias("q_id"), F.col(x).alias("qx"), F.col(y).alias("qy")), None
     n = points.limit(k).count()
-    for i in range(rounds + 1):
-        size = cell * 2**i
+    wide = left.select("qx", "qy").unionAll(p.select("px", "py")).agg(F.greatest(F.max("qx") - F.min("qx"), F.max("qy") - F.min("qy"))).first()[0]
+    if not n or wide is None:
+        return left.crossJoin(p.limit(0)).select("q_id", "p_id", F.lit(0.0).alias("d2"), F.lit(0).alias("rank"))
+    size = cell
+    while True:
         cand = _cells(left, size, "qx", "qy", True).join(_cells(p, size, "px", "py", False), ["_cx", "_cy"])
         d2 = (F.col("qx") - F.col("px")) ** 2 + (F.col("qy") - F.col("py")) ** 2
         w = W.partitionBy("q_id").orderBy("d2", "p_id")
         found = cand.withColumn("d2", d2).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        last = size >= wide
         sure = found.where((F.col("rank") == n) & (F.col("d2") <= size * size)).select("q_id")
-        part = (found if i == rounds else found.join(sure, "q_id", "left_semi")).select("q_id", "p_id", "d2", "rank")
+        part = (found if last else found.join(sure, "q_id", "left_semi")).select("q_id", "p_id", "d2", "rank")
         done = part if done is None else done.unionAll(part)
-        if i == rounds:
-            break
+        if last:
+            return done
         left = checkpointed(left.join(sure, "q_id", "left_anti"))
         if left.isEmpty():
-            break
-    return done
+            return done
+        size *= 2
 
 
-def idw(queries: DataFrame, points: DataFrame, k: int, cell: float, power: int = 2, v: str = "v", **names) -> DataFrame:
-    """(q_id, value): inverse distance to the power, of the k nearest; an exact hit is
-    its own value."""
+def idw(queries: DataFrame, points: DataFrame, k: int, cell: float, power: int = 2, v: str = "v", radius: float | None = None, exact: float = 1e-6, **names) -> DataFrame:
+    """(q_id, value): inverse distance to the power, of the k nearest; a point nearer than
+    `exact` gives its own value. With a radius only points nearer than it count; where
+    there is none, the nearest point's value stands."""
     near = nearest(queries, points, k, cell, **names)
     vals = near.join(points.select(F.col(names.get("p_id", "id")).alias("p_id"), F.col(v).cast("double").alias("v")), "p_id")
-    weight = F.when(F.col("d2") >= 1e-12, 1 / F.pow(F.sqrt("d2"), power))
-    got = vals.groupBy("q_id").agg(F.min_by(F.when(F.col("d2") < 1e-12, F.col("v")), "rank").alias("hit"), F.sum(weight * F.col("v")).alias("s"), F.sum(weight).alias("w"))
-    return got.select("q_id", F.coalesce("hit", F.try_divide("s", "w")).alias("value"))
+    inside = F.col("d2") < radius * radius if radius is not None else F.lit(True)
+    weight = F.when((F.col("d2") >= exact * exact) & inside, 1 / F.pow(F.sqrt("d2"), power))
+    got = vals.groupBy("q_id").agg(F.min_by(F.when(F.col("d2") < exact * exact, F.col("v")), "rank").alias("hit"), F.sum(weight * F.col("v")).alias("s"), F.sum(weight).alias("w"), F.min_by("v", "rank").alias("first"))
+    return got.select("q_id", F.coalesce("hit", F.try_divide("s", "w"), "first").alias("value"))
 
 
 def influence(grid: DataFrame, points: DataFrame, window_x: float, window_y: float) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from isogon.cluster import checkpointed
+
 
 def mean(c: Column) -> Column:
     return F.sum(c).cast("double") / F.count(c)
@@ -22,7 +24,7 @@ def sigma(c: Column) -> Column:
     return F.sqrt(F.greatest(F.sum(c * c).cast("double") / F.count(c) - m * m, F.lit(0.0)))
 
 
-def summary(df: DataFrame, v: str = "v", compat: bool = True, by: list[str] | None = None) -> DataFrame:
+def summary(df: DataFrame, v: str = "v", compat: bool = False, by: list[str] | None = None) -> DataFrame:
     """max, min, mean, spread. compat: the spread is twice the root mean square, as the
     values' own sums enter it; else the population standard deviation."""
     c = F.col(v)
@@ -49,15 +51,25 @@ def weighted_rmse(per_line: DataFrame) -> DataFrame:
     return per_line.agg(F.sqrt(F.sum(F.col("rmse") * F.col("rmse") * F.col("n")) / F.sum("n")).alias("rmse"), F.sum("n").alias("n"))
 
 
+def _ranged(df: DataFrame, c: str) -> DataFrame:
+    """df dealt to tasks by ranges of c, with the range's number in _p, ascending."""
+    return checkpointed(df.repartitionByRange(F.col(c)).withColumn("_p", F.spark_partition_id()))
+
+
 def nearest_rank(df: DataFrame, fractions: list[float], v: str = "v", by: list[str] | None = None) -> DataFrame:
     """Percentiles that are values of the table: of n sorted values the one at
     floor(n p). By group; one whole table is sorted by counting its distinct values
-    first, so that no task gets all rows."""
+    first, in ranges, and the counts of earlier ranges are added, so that no task gets
+    all of them."""
     by = by or []
     counts = df.where(F.col(v).isNotNull()).groupBy(*by, v).agg(F.count("*").alias("k"))
-    upto = F.sum("k").over(W.partitionBy(*by).orderBy(v))
-    total = F.sum("k").over(W.partitionBy(*by))
-    ranked = counts.withColumn("_to", upto).withColumn("_n", total)
+    if by:
+        ranked = counts.withColumn("_to", F.sum("k").over(W.partitionBy(*by).orderBy(v))).withColumn("_n", F.sum("k").over(W.partitionBy(*by)))
+    else:
+        counts = _ranged(counts, v)
+        parts = counts.groupBy("_p").agg(F.sum("k").alias("_k"))  # a row for each range
+        parts = parts.select("_p", (F.sum("_k").over(W.orderBy("_p")) - F.col("_k")).alias("_base"), F.sum("_k").over(W.partitionBy()).alias("_n"))
+        ranked = counts.withColumn("_in", F.sum("k").over(W.partitionBy("_p").orderBy(v))).join(F.broadcast(parts), "_p").withColumn("_to", F.col("_base") + F.col("_in"))
     at = lambda p: F.least(F.floor(F.col("_n") * F.lit(p)), F.col("_n") - 1)
     picks = [F.max(F.when((F.col("_to") > at(p)) & (F.col("_to") - F.col("k") <= at(p)), F.col(v))).alias(f"p{round(p * 100)}") for p in fractions]
     return ranked.groupBy(*by).agg(*picks)
@@ -74,17 +86,23 @@ def robust_bounds(df: DataFrame, v: str = "v", limit: float = 1000.0, width: flo
     return out.select("median", "mad", F.coalesce(F.col("median") - width * F.col("mad"), F.lit(-fallback)).alias("low"), F.coalesce(F.col("median") + width * F.col("mad"), F.lit(fallback)).alias("high"))
 
 
+def gaps(df: DataFrame, c: str) -> DataFrame:
+    """(gap) between neighbouring distinct values: inside ranges of values, and from each
+    range to the next."""
+    d = _ranged(df.select(c).where(F.col(c).isNotNull()).distinct(), c)
+    inside = d.select((F.col(c) - F.lag(c).over(W.partitionBy("_p").orderBy(c))).alias("gap"))
+    ends = d.groupBy("_p").agg(F.min(c).alias("lo"), F.max(c).alias("hi"))  # a row for each range
+    between = ends.select((F.col("lo") - F.lag("hi").over(W.orderBy("_p"))).alias("gap"))
+    return inside.unionAll(between).where("gap is not null")
+
+
 def least_spacing(df: DataFrame, c: str) -> DataFrame:
     """The least positive distance of neighbouring distinct values."""
-    d = df.select(c).where(F.col(c).isNotNull()).distinct()
-    gap = d.select((F.col(c) - F.lag(c).over(W.orderBy(c))).alias("gap"))
-    return gap.agg(F.min("gap").alias("spacing"))
+    return gaps(df, c).agg(F.min("gap").alias("spacing"))
 
 
 def median_spacing(df: DataFrame, c: str, eps: float = 1e-9) -> DataFrame:
-    d = df.select(c).where(F.col(c).isNotNull()).distinct()
-    gap = d.select((F.col(c) - F.lag(c).over(W.orderBy(c))).alias("gap")).where(F.col("gap") > eps)
-    return nearest_rank(gap, [0.5], "gap").withColumnRenamed("p50", "spacing")
+    return nearest_rank(gaps(df, c).where(F.col("gap") > eps), [0.5], "gap").withColumnRenamed("p50", "spacing")
 
 
 def is_regular(df: DataFrame, x: str = "x", y: str = "y", tolerance: float = 0.1) -> DataFrame:
@@ -104,3 +122,9 @@ def scatter(df: DataFrame, cols: list[str]) -> DataFrame:
     out = [F.count("*").alias("n"), *[F.sum(c).alias(f"s_{c}") for c in cols]]
     out += [F.sum(F.col(a) * F.col(b)).alias(f"p_{a}_{b}") for i, a in enumerate(cols) for b in cols[i:]]
     return df.agg(*out)
+
+
+def difference_report(df: DataFrame, a: str, b: str, compat: bool = False) -> DataFrame:
+    """(part, max, min, mean, spread, n): summary() of a, of b and of a - b."""
+    parts = F.array(*[F.struct(F.lit(n).alias("part"), c.cast("double").alias("v")) for n, c in (("a", F.col(a)), ("b", F.col(b)), ("a - b", F.col(a) - F.col(b)))])
+    return summary(df.select(F.explode(parts).alias("p")).select("p.*"), "v", compat, ["part"])

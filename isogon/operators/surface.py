@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from isogon.cluster import ship
 from isogon.functions.geo import fusion_weight, legendre
-from isogon.operators.joins import influence
+from isogon.operators.joins import idw, influence
 
-MOST_KERNEL = 10_000
+MOST_KERNEL = 4_000
 
 
 def normaliser(df: DataFrame, *cols: str) -> dict[str, tuple[float, float]]:
@@ -27,6 +27,12 @@ def scaled(c: Column, span: tuple[float, float], symmetric: bool = False) -> Col
     return 2 * unit - 1 if symmetric else unit
 
 
+def unscaled(c: Column, span: tuple[float, float], symmetric: bool = False) -> Column:
+    """scaled() undone."""
+    lo, hi = span
+    return lo + ((c + 1) / 2 if symmetric else c) * ((hi - lo) or 1.0)
+
+
 class Polynomial:
     """Least squares over all monomials of total degree up to cutoff, in coordinates
     scaled to [0, 1]: product sums in the cluster, one small solve here."""
@@ -85,7 +91,11 @@ def thin_plate(d2: np.ndarray) -> np.ndarray:
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return ((a[:, None, :] - b[None, :, :]) ** 2).sum(-1)
+    """Squared, by products: no more than one number a pair at a time."""
+    centre = b.mean(0) if len(b) else 0.0
+    a, b = a - centre, b - centre
+    d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (a @ b.T)
+    return np.maximum(d, 0.0, out=d)
 
 
 def solve_multiquadric(p: np.ndarray, v: np.ndarray, q: np.ndarray, sigma2: float = 10.0, inverse: bool = False) -> np.ndarray:
@@ -221,6 +231,114 @@ def by_blocks(points: DataFrame, targets: DataFrame, size: float, halo: float, s
     return targets.join(fit, [F.col(x) == fit.x, F.col(y) == fit.y], "left").select(*[targets[c] for c in targets.columns], "fit") if (x, y) != ("x", "y") else targets.join(fit, ["x", "y"], "left")
 
 
+def block_model(blocks: DataFrame, nodes: DataFrame, solve=solve_multiquadric) -> DataFrame:
+    """(bi, bj, x, y, fit): each block's points (bi, bj, x, y, v) solved at its own nodes."""
+    ship(blocks.sparkSession)
+
+    def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"bi": [], "bj": [], "x": [], "y": [], "fit": []})
+        a = a.groupby(["x", "y"], as_index=False)["v"].mean()
+        return pd.DataFrame({"bi": b["bi"], "bj": b["bj"], "x": b["x"], "y": b["y"], "fit": solve(a[["x", "y"]].to_numpy(), a["v"].to_numpy(), b[["x", "y"]].to_numpy())})
+
+    p = blocks.select(F.col("bi").cast("int").alias("bi"), F.col("bj").cast("int").alias("bj"), *[F.col(c).cast("double").alias(c) for c in ("x", "y", "v")])
+    return p.groupBy("bi", "bj").cogroup(nodes.groupBy("bi", "bj")).applyInPandas(one, "bi int, bj int, x double, y double, fit double")
+
+
+def fuse_blocks(fit: DataFrame, grid: DataFrame, window: float = 3.0) -> DataFrame:
+    """Overlapping blocks as one surface: fuse() of their nodes, equal in accuracy, on grid
+    (gx, gy)."""
+    points = fit.select(F.lit(1.0).alias("m"), F.col("x").alias("l"), F.col("y").alias("b"), F.col("fit").alias("t"))
+    return fuse(grid, points, window, window)
+
+
+def block_accuracy(blocks: DataFrame, fit: DataFrame, step: float = 0.5) -> DataFrame:
+    """(bi, bj, rms, n) of each block's points against its nearest node, and a row of nulls
+    over all."""
+    near = lambda c: F.floor(F.col(c) / step + 0.5)
+    f = fit.select("bi", "bj", near("x").alias("kx"), near("y").alias("ky"), "fit")
+    e = f.groupBy("bi", "bj").agg(F.min("kx").alias("x0"), F.max("kx").alias("x1"), F.min("ky").alias("y0"), F.max("ky").alias("y1"))
+    keep = lambda c, k: F.greatest(F.least(near(c), F.col(f"{k}1")), F.col(f"{k}0"))
+    p = blocks.join(F.broadcast(e), ["bi", "bj"]).withColumns({"kx": keep("x", "x"), "ky": keep("y", "y")})  # a row for each block
+    d = p.join(f, ["bi", "bj", "kx", "ky"]).select("bi", "bj", (F.col("fit") - F.col("v").cast("double")).alias("d"))
+    got = d.rollup("bi", "bj").agg(F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rms"), F.count("*").alias("n"), F.grouping_id().alias("g"))
+    return got.where("g IN (0, 3)").drop("g")
+
+
+# bicubic spline
+
+MOST_NODES = 500
+
+
+def spline_slopes(y: np.ndarray, h: float) -> np.ndarray:
+    """Slopes at even nodes (along the last axis) of the cubic spline whose first and last
+    pieces are parabolas."""
+    n = y.shape[-1]
+    if n < 3:
+        return np.repeat(np.diff(y, axis=-1) / h, n, axis=-1)[..., :n] if n == 2 else np.zeros_like(y)
+    a = np.zeros((n, n))
+    i = np.arange(1, n - 1)
+    a[i, i - 1], a[i, i], a[i, i + 1] = 1, 4, 1
+    a[0, 0] = a[0, 1] = a[-1, -1] = a[-1, -2] = 1
+    rhs = np.empty_like(y, dtype=float)
+    rhs[..., 1:-1] = 3 * (y[..., 2:] - y[..., :-2]) / h
+    rhs[..., 0], rhs[..., -1] = 2 * (y[..., 1] - y[..., 0]) / h, 2 * (y[..., -1] - y[..., -2]) / h
+    return np.linalg.solve(a, rhs.reshape(-1, n).T).T.reshape(y.shape)
+
+
+class Bicubic:
+    """The spline through a dense grid z[row, col] at x0 + col hx, y0 + row hy."""
+
+    def __init__(self, z: np.ndarray, x0: float, y0: float, hx: float, hy: float):
+        self.z, self.x0, self.y0, self.hx, self.hy = z, x0, y0, hx, hy
+        self.dx, self.dy = spline_slopes(z, hx), spline_slopes(z.T, hy).T
+        self.dxy = spline_slopes(self.dy, hx)
+
+    def __call__(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        rows, cols = self.z.shape
+        u, w = (x - self.x0) / self.hx, (y - self.y0) / self.hy
+        j, i = np.clip(np.floor(u).astype(int), 0, cols - 2), np.clip(np.floor(w).astype(int), 0, rows - 2)
+        u, w = u - j, w - i
+
+        def basis(t):
+            return ((1 + 2 * t) * (1 - t) ** 2, t * t * (3 - 2 * t)), (t * (1 - t) ** 2, t * t * (t - 1))
+
+        (vx, sx), (vy, sy) = basis(u), basis(w)
+        out = np.zeros(len(x))
+        for a in (0, 1):
+            for b in (0, 1):
+                at = (i + a, j + b)
+                out += vy[a] * (vx[b] * self.z[at] + self.hx * sx[b] * self.dx[at]) + self.hy * sy[a] * (vx[b] * self.dy[at] + self.hx * sx[b] * self.dxy[at])
+        return out
+
+
+def smooth_surface(points: DataFrame, targets: DataFrame, nodes: int = 200, k: int = 32, x: str = "x", y: str = "y", v: str = "v") -> DataFrame:
+    """targets with fit: inverse-distance means of the k nearest points on nodes x nodes places
+    over the points' extent, and the bicubic spline through them. The nodes' values, at
+    most MOST_NODES squared, are gathered and sent to all tasks."""
+    if not 2 <= nodes <= MOST_NODES:
+        raise ValueError(f"from 2 to {MOST_NODES} nodes")
+    spark = points.sparkSession
+    ship(spark)
+    e = points.agg(F.min(x).cast("double"), F.max(x).cast("double"), F.min(y).cast("double"), F.max(y).cast("double"), F.count("*")).first()
+    if not e[4]:
+        return targets.withColumn("fit", F.lit(None).cast("double"))
+    hx, hy = (e[1] - e[0]) / (nodes - 1) or 1.0, (e[3] - e[2]) / (nodes - 1) or 1.0
+    at = spark.range(nodes * nodes).select("id", (F.lit(e[0]) + F.col("id") % nodes * hx).alias("x"), (F.lit(e[2]) + F.floor(F.col("id") / nodes) * hy).alias("y"))
+    p = points.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(v).cast("double").alias("v")).where("v is not null").groupBy("x", "y").agg(F.avg("v").alias("v")).withColumn("id", F.struct("x", "y"))
+    cell = max(((e[1] - e[0]) * (e[3] - e[2]) * k / e[4]) ** 0.5, hx, hy) / 2
+    z = np.full(nodes * nodes, np.nan)
+    got = idw(at, p, k, cell).toPandas()
+    z[got["q_id"].to_numpy()] = got["value"].to_numpy()
+    sent = spark.sparkContext.broadcast(Bicubic(z.reshape(nodes, nodes), e[0], e[2], hx, hy))
+
+    @F.pandas_udf("double")
+    def fit(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(sent.value(a.to_numpy(float), b.to_numpy(float)))
+
+    return targets.withColumn("fit", fit(F.col(x).cast("double"), F.col(y).cast("double")))
+
+
 def fuse(grid: DataFrame, points: DataFrame, window_x: float, window_y: float) -> DataFrame:
     """(gx, gy, t, n): grid nodes with the mean of the points (l, b, t, source error m)
     around them, weighted by distance and by 1 / m squared."""

@@ -154,9 +154,12 @@ def _(spark, d):
     return view(spark, d, SP).withColumn("y", F.col("y") - 20).where(filters.on_lines(F.col("y"), 30, True)).select("id", "y")
 
 
-@query("F6_random_sample", sql(SP) + "SELECT count(*) // 7 AS n FROM survey_points")
+@query("F6_random_sample", sql(SP) + "SELECT count(*) // 7 AS n, count(*) // 7 AS ids, CAST(0 AS BIGINT) AS strange FROM survey_points")
 def _(spark, d):
-    return filters.random_sample(view(spark, d, SP), 7, 1).agg(F.count("*").alias("n"))
+    p = view(spark, d, SP).select("id")
+    got = filters.random_sample(p, 7, 1)
+    known = got.join(p.withColumn("known", F.lit(1)), "id", "left")
+    return known.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count(F.when(F.col("known").isNull(), 1)).alias("strange"))
 
 
 @query("F7_every_fifth", sql(ST) + "SELECT line_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY seq) - 1 AS n FROM survey_track) WHERE n % 5 = 0")
@@ -188,8 +191,7 @@ def _(spark, d):
 
 @query("F11_polygon_cells", sql(OP) + f"SELECT CAST(floor(x) AS BIGINT) AS c, CAST(floor(y) AS BIGINT) AS r, CAST(sum(v) AS DOUBLE) AS total, count(*) AS n FROM order_points WHERE x BETWEEN 5 AND 40 AND y BETWEEN 5 AND 34 AND (({CROSS}) % 2 = 1 OR {EDGE}) GROUP BY 1, 2")
 def _(spark, d):
-    p = filters.in_box(view(spark, d, OP), 5, 40, 5, 34).where(filters.in_polygon(F.col("x"), F.col("y"), RING))
-    return p.groupBy(F.floor("x").alias("c"), F.floor("y").alias("r")).agg(F.sum("v").cast("double").alias("total"), F.count("*").alias("n"))
+    return grids.polygon_cells(view(spark, d, OP), RING, 1.0)
 
 
 @query("F12_antimeridian", "WITH p AS (SELECT s_nationkey AS ring, s_suppkey AS seq, CAST((s_suppkey * 37) % 360 - 180 AS DOUBLE) AS lon FROM supplier), e AS (SELECT *, abs(lon - lag(lon) OVER (PARTITION BY ring ORDER BY seq)) AS st FROM p) SELECT ring, seq, CASE WHEN max(coalesce(st > 180, false)) OVER (PARTITION BY ring) AND lon < 0 THEN lon + 360 ELSE lon END AS lon FROM e")
@@ -204,6 +206,14 @@ def _(spark, d):
     return o.select(F.col("o_orderkey").alias("id"), filters.valid_position(F.col("o_custkey") % 200 - 100, F.col("o_orderkey") % 400 - 200).alias("ok"))
 
 
+@query("F13_valid_entry", "SELECT o_orderkey AS id, (o_custkey % 200 - 100) BETWEEN -90 AND 90 AND (o_orderkey % 400 - 200) BETWEEN -180 AND 180 AND (o_custkey % 30 - 10) * 1000 BETWEEN -9999.9999 AND 9999.9999 AND o_orderkey % 7 > 0 AND o_orderkey % 7 <= o_custkey % 11 AND o_orderkey % 14 BETWEEN 1 AND 12 AND o_custkey % 33 BETWEEN 1 AND CASE WHEN o_orderkey % 14 = 2 THEN CASE WHEN (1996 + o_orderkey % 5) % 4 = 0 THEN 29 ELSE 28 END WHEN o_orderkey % 14 IN (4, 6, 9, 11) THEN 30 ELSE 31 END AS ok FROM orders")
+def _(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    ok = filters.valid_entry(c % 200 - 100, k % 400 - 200, (c % 30 - 10) * 1000, F.lit(0), c % 11, k % 7, (k % 5 + 1996).cast("int"), (k % 14).cast("int"), (c % 33).cast("int"))
+    return o.select(k.alias("id"), ok.alias("ok"))
+
+
 @query("F15_thinning", sql(ST) + "SELECT line_id, seq FROM survey_track WHERE seq % 100 = 0")
 def _(spark, d):
     return view(spark, d, ST).where("seq % 100 = 0").select("line_id", "seq")
@@ -211,6 +221,8 @@ def _(spark, d):
 
 # --- grid and lattice generators
 
+BINS = sql(SP) + ", cells AS (SELECT CAST(trunc((y - y0) / 2) AS INT) AS row, CAST(trunc((x - x0) / 2) AS INT) AS col, CAST(sum(v) AS DOUBLE) / count(v) AS mean, count(v) AS n FROM survey_points, (SELECT min(x) AS x0, min(y) AS y0 FROM survey_points) GROUP BY 1, 2) "
+
 
 @query("G1_grid_over_extent", sql(SP) + "SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, x0 + c * 2.5 AS x, y0 + r * 2 AS y FROM (SELECT min(x) AS x0, min(y) AS y0, CAST(trunc((max(x) - min(x)) / 2.5) AS INT) AS nx, CAST(trunc((max(y) - min(y)) / 2) AS INT) AS ny FROM survey_points) e, range(0, 1000) a(r), range(0, 1000) b(c) WHERE r <= ny AND c <= nx")
 def _(spark, d):
@@ -227,12 +239,61 @@ def _(spark, d):
     return grids.lattice(spark, lat=(17.0, 27.0, 0.25), lon=(110.0, 120.0, 0.5))
 
 
-@query("G6_overlap_blocks", sql(SP) + "SELECT CAST(bi AS INT) AS bi, CAST(bj AS INT) AS bj, count(*) AS n FROM survey_points, range(0, 2) a(bi), range(0, 2) b(bj) WHERE x BETWEEN bi * 25 - 2 AND bi * 25 + 27 AND y BETWEEN bj * 20 - 2 AND bj * 20 + 22 GROUP BY 1, 2")
+@query("G2_rounded_grid", sql(OP) + ", e AS (SELECT min(floor((x + 0.04) * 10 + 0.5) / 10) AS x0, max(floor((x + 0.04) * 10 + 0.5) / 10) AS x1, min(floor(y * 10 + 0.5) / 10) AS y0, max(floor(y * 10 + 0.5) / 10) AS y1 FROM order_points) SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, round(x0 + c * 1.5, 6) AS x, round(y0 + r * 1.5, 6) AS y FROM e, range(0, 200) a(r), range(0, 200) b(c) WHERE c <= floor((x1 - x0) / 1.5 + 1e-9) AND r <= floor((y1 - y0) / 1.5 + 1e-9)")
+def _(spark, d):
+    return rounded(grids.rounded_grid(view(spark, d, OP).withColumn("x", F.col("x") + 0.04), 1.5))
+
+
+def _axis_sql(name, lo, hi, step, centred):
+    down, up = ((lo + hi) / 2 - step, (lo + hi) / 2 + step) if centred else (step, step)
+    return f"{name}d AS (SELECT CAST({down} AS DOUBLE) AS v, 0 AS n UNION ALL SELECT v - {step}, n + 1 FROM {name}d WHERE v > {lo}), {name}u AS (SELECT CAST({up} AS DOUBLE) AS v, 0 AS n UNION ALL SELECT v + {step}, n + 1 FROM {name}u WHERE v < {hi}), {name} AS (SELECT (SELECT min(v) FROM {name}d) AS v0, (SELECT max(n) FROM {name}d) + (SELECT max(n) FROM {name}u) + 3 AS n)"
+
+
+def _fusion_sql(centred):
+    return f"WITH RECURSIVE {_axis_sql('b', 3.0, 17.0, 1.5, centred)}, {_axis_sql('l', 10.0, 21.0, 2.0, centred)} SELECT CAST(i AS INT) AS row, CAST(j AS INT) AS col, b.v0 + i * 1.5 AS b, l.v0 + j * 2.0 AS l FROM b, l, range(0, 100) x(i), range(0, 100) y(j) WHERE i < b.n AND j < l.n"
+
+
+@query("G3_centred_grid", _fusion_sql(True))
+def _(spark, d):
+    return grids.fusion_grid(spark, (3.0, 17.0), (10.0, 21.0), 1.5, 2.0)
+
+
+@query("G3_origin_grid", _fusion_sql(False))
+def _(spark, d):
+    return grids.fusion_grid(spark, (3.0, 17.0), (10.0, 21.0), 1.5, 2.0, centred=False)
+
+
+BOUNDS = grids.block_bounds(20, 25, 2, 3, 4, 3)
+#: the same blocks written out: rows 0 to 11 and 8 to 19; columns 0 to 9, 7 to 16 and 14 to 24
+BOUNDS_SQL = "(VALUES " + ", ".join(f"({i}, {j}, {r0}, {r1}, {c0}, {c1})" for i, (r0, r1) in enumerate([(0, 11), (8, 19)]) for j, (c0, c1) in enumerate([(0, 9), (7, 16), (14, 24)])) + ") t(bi, bj, r0, r1, c0, c1)"
+
+
+@query("G6_overlap_blocks", BINS + f"SELECT bi, bj, count(*) AS n, CAST(sum(col) AS BIGINT) AS cols FROM cells JOIN {BOUNDS_SQL} ON row BETWEEN r0 AND r1 AND col BETWEEN c0 AND c1 GROUP BY bi, bj")
 def _(spark, d):
-    steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    p = view(spark, d, SP).withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps)).withColumns({"bi": (F.floor(F.col("x") / 25) + F.col("i")).cast("int"), "bj": (F.floor(F.col("y") / 20) + F.col("j")).cast("int")})
-    p = p.where("bi BETWEEN 0 AND 1 AND bj BETWEEN 0 AND 1 AND x BETWEEN bi * 25 - 2 AND bi * 25 + 27 AND y BETWEEN bj * 20 - 2 AND bj * 20 + 22")
-    return p.groupBy("bi", "bj").agg(F.count("*").alias("n"))
+    return grids.overlap_blocks(grids.bin_mean(view(spark, d, SP), 2.0), BOUNDS).groupBy("bi", "bj").agg(F.count("*").alias("n"), F.sum("col").alias("cols"))
+
+
+@query("G7_block_nodes", f"SELECT bi, bj, c0 * 2 + x * 0.5 AS x, r0 * 2 + y * 0.5 AS y FROM {BOUNDS_SQL}, range(0, 100) a(x), range(0, 100) b(y) WHERE x <= (c1 - c0) * 4 AND y <= (r1 - r0) * 4")
+def _(spark, d):
+    return grids.block_nodes(grids.overlap_blocks(_dense(spark, 20, 25), BOUNDS))
+
+
+def _dense(spark, rows, cols):
+    """Nodes two apart, with a value that bends."""
+    g = spark.range(rows).select(F.col("id").cast("int").alias("row")).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
+    return g.select("row", "col", (F.col("col") * 2.0).alias("x"), (F.col("row") * 2.0).alias("y"), (F.col("row") * F.col("col") % 7 + F.col("row") * 0.5).alias("v"))
+
+
+@query("H1_block_of_points", "SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, CAST(coalesce(v, 0) AS DOUBLE) AS v FROM range(0, 40) a(r), range(0, 50) b(c) LEFT JOIN (SELECT event_id - (SELECT min(event_id) FROM events) AS i, CAST(value AS DECIMAL(18,4)) AS v FROM events) ON i = r * 50 + c")
+def _(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.expr("CAST(value AS DECIMAL(18,4))").alias("v"))
+    start = e.agg(F.min("event_id")).first()[0]
+    return grids.to_block(e.withColumn("id", F.col("event_id") - start), 40, 50)
+
+
+@query("H10_in_subarea", sql(SP) + "SELECT id, x BETWEEN 21 AND 29 AND y BETWEEN 16 AND 24 AS inside FROM survey_points")
+def _(spark, d):
+    return view(spark, d, SP).select("id", geo.in_subarea(F.col("x"), F.col("y"), F.lit(25.0), F.lit(20.0), 8.0).alias("inside"))
 
 
 @query("S12_nearest_cell", sql(SP) + "SELECT CAST(round((y - y0) / 1.5) AS INT) AS row, CAST(round((x - x0) / 1.5) AS INT) AS col, CAST(arg_max(v, id) AS DOUBLE) AS value FROM survey_points, (SELECT min(x) AS x0, min(y) AS y0 FROM survey_points) GROUP BY 1, 2")
@@ -259,12 +320,17 @@ def _summary(df):
 
 @query("A3_summary", sql(SP) + "SELECT CAST(max(v) AS DOUBLE) AS max, CAST(min(v) AS DOUBLE) AS min, round(CAST(sum(v) AS DOUBLE) / count(v), 6) AS mean, round(2 * sqrt(CAST(sum(v * v) AS DOUBLE) / count(v)), 6) AS spread, count(v) AS n FROM survey_points")
 def _(spark, d):
-    return _summary(stats.summary(view(spark, d, SP)))
+    return _summary(stats.summary(view(spark, d, SP), compat=True))
 
 
 @query("A4_population_sigma", sql(ST) + "SELECT line_id, CAST(max(v) AS DOUBLE) AS max, CAST(min(v) AS DOUBLE) AS min, round(CAST(sum(v) AS DOUBLE) / count(v), 6) AS mean, round(sqrt(CAST(sum(v * v) AS DOUBLE) / count(v) - (CAST(sum(v) AS DOUBLE) / count(v)) * (CAST(sum(v) AS DOUBLE) / count(v))), 6) AS spread, count(v) AS n FROM survey_track GROUP BY line_id")
 def _(spark, d):
-    return _summary(stats.summary(view(spark, d, ST), compat=False, by=["line_id"]))
+    return _summary(stats.summary(view(spark, d, ST), by=["line_id"]))
+
+
+@query("H2_difference_report", "WITH p AS (SELECT CAST(value AS DECIMAL(18,4)) AS a, CAST(event_id % 100 AS DECIMAL(18,4)) AS b FROM events), q AS (SELECT 'a' AS part, CAST(a AS DOUBLE) AS v FROM p UNION ALL SELECT 'b', CAST(b AS DOUBLE) FROM p UNION ALL SELECT 'a - b', CAST(a - b AS DOUBLE) FROM p) SELECT part, max(v) AS max, min(v) AS min, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS spread, count(v) AS n FROM q GROUP BY part")
+def _(spark, d):
+    return _summary(stats.difference_report(_pair(spark, d), "a", "b"))
 
 
 PAIR = "(SELECT user_id % 8 AS line_id, CAST(value AS DECIMAL(18,4)) AS a, CAST(event_id % 100 AS DECIMAL(18,4)) AS b FROM events)"
@@ -284,8 +350,6 @@ def _(spark, d):
     return rounded(stats.weighted_rmse(stats.rmse(_pair(spark, d), "a", "b", ["line_id"])))
 
 
-BINS = sql(SP) + ", cells AS (SELECT CAST(trunc((y - y0) / 2) AS INT) AS row, CAST(trunc((x - x0) / 2) AS INT) AS col, CAST(sum(v) AS DOUBLE) / count(v) AS mean, count(v) AS n FROM survey_points, (SELECT min(x) AS x0, min(y) AS y0 FROM survey_points) GROUP BY 1, 2) "
-
 
 @query("A7_bin_mean", BINS + "SELECT row, col, round(mean, 6) AS mean, n FROM cells")
 def _(spark, d):
@@ -298,9 +362,18 @@ def _(spark, d):
     return p.groupBy("r", "c").agg(F.round(stats.mean(F.col("v")), 6).alias("mean"))
 
 
-@query("A9_block_sigma", sql(SP) + "SELECT CAST(floor(x / 10) AS BIGINT) AS bx, CAST(floor(y / 10) AS BIGINT) AS bz, round(sqrt(CAST(sum(v * v) AS DOUBLE) / count(v) - (CAST(sum(v) AS DOUBLE) / count(v)) * (CAST(sum(v) AS DOUBLE) / count(v))), 5) AS sigma FROM survey_points GROUP BY 1, 2")
+@query("A9_block_sigma", sql(SP) + "SELECT bi, bj, round(sqrt(greatest(CAST(sum(v * v) AS DOUBLE) / count(v) - (CAST(sum(v) AS DOUBLE) / count(v)) * (CAST(sum(v) AS DOUBLE) / count(v)), 0)), 4) AS sigma, count(v) AS n FROM survey_points, range(-1, 10) a(bi), range(-1, 10) b(bj) WHERE x >= bi * 8 AND x < bi * 8 + 10 AND y >= bj * 8 AND y < bj * 8 + 10 GROUP BY bi, bj")
 def _(spark, d):
-    return view(spark, d, SP).groupBy(F.floor(F.col("x") / 10).alias("bx"), F.floor(F.col("y") / 10).alias("bz")).agg(F.round(stats.sigma(F.col("v")), 5).alias("sigma"))
+    return rounded(grids.block_sigma(view(spark, d, SP), 10.0, 8.0), 4)
+
+
+@query("A22_plane_slopes", "SELECT 2.5 AS slope_x, -1.25 AS slope_y, count(*) AS n FROM range(0, 400)")
+def _(spark, d):
+    x, y = np.meshgrid(np.arange(20.0), np.arange(20.0))
+    m = navigation.Map(x.ravel(), y.ravel(), (2.5 * x - 1.25 * y + 3).ravel(), 1.0)
+    got = [m.plane(a, b) for a, b in zip(x.ravel(), y.ravel(), strict=True)]
+    rows = spark.createDataFrame([(round(float(g[1]), 9), round(float(g[2]), 9)) for g in got], "slope_x double, slope_y double")
+    return rows.groupBy("slope_x", "slope_y").agg(F.count("*").alias("n")).select(F.col("slope_x").cast("decimal(2,1)").alias("slope_x"), F.col("slope_y").cast("decimal(3,2)").alias("slope_y"), "n")
 
 
 @query("A10_block_rms", sql(SP) + "SELECT CAST(floor(x / 25) AS BIGINT) AS bi, CAST(floor(y / 20) AS BIGINT) AS bj, round(sqrt(CAST(sum(v * v) AS DOUBLE) / count(*)), 6) AS rms, count(*) AS n FROM survey_points GROUP BY GROUPING SETS ((1, 2), ())")
@@ -377,6 +450,12 @@ def _(spark, d):
     return windows.moving_average(view(spark, d, ST), 21).select("line_id", "seq", F.round("smooth", 8).alias("smooth"))
 
 
+@query("W2_average_by_size", "WITH t AS (SELECT user_id % 8 AS line_id, event_id AS seq, CAST(value AS DECIMAL(18,4)) AS v FROM events WHERE event_id % (2 + user_id % 8) = 0), n AS (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY seq) AS i, count(*) OVER (PARTITION BY line_id) AS k FROM t), w AS (SELECT *, CASE WHEN k > 60 THEN 60 ELSE greatest(k // 4, 1) END AS size FROM n) SELECT a.line_id, a.seq, max(a.size) AS \"window\", round(CAST(sum(b.v) AS DOUBLE) / count(b.v), 8) AS smooth FROM w a JOIN w b ON a.line_id = b.line_id AND abs(a.i - b.i) <= a.size // 2 GROUP BY a.line_id, a.seq")
+def _(spark, d):
+    t = view(spark, d, ST).where("seq % (2 + line_id) = 0")
+    return windows.moving_average_by_size(t, 60).select("line_id", "seq", "window", F.round("smooth", 8).alias("smooth"))
+
+
 @query("W3_trend_offset", f"SELECT line_id, round(lo - 5 + k * CAST(0.01 AS DOUBLE), 6) AS \"offset\", round(sqrt(greatest(q - 2 * (lo - 5 + k * CAST(0.01 AS DOUBLE)) * m + (lo - 5 + k * CAST(0.01 AS DOUBLE)) * (lo - 5 + k * CAST(0.01 AS DOUBLE)), 0)), 6) AS rmse, n FROM (SELECT *, floor((m - (lo - 5)) / CAST(0.01 AS DOUBLE) + 0.5) AS k FROM (SELECT line_id, CAST(min(b - a) AS DOUBLE) AS lo, CAST(sum(b - a) AS DOUBLE) / count(*) AS m, CAST(sum((b - a) * (b - a)) AS DOUBLE) / count(*) AS q, count(*) AS n FROM {PAIR} GROUP BY line_id))")
 def _(spark, d):
     return rounded(windows.trend_offset(_pair(spark, d), "a", "b", ["line_id"]))
@@ -396,12 +475,40 @@ def _(spark, d):
     return rounded(grids.gradients(grids.bin_mean(view(spark, d, SP), 2.0)).drop("mean"), 5)
 
 
-@query("W5_gradient_spread", GRAD + ", d AS (SELECT a.row, a.col, stddev_pop(b.e) AS sd FROM gr a JOIN gr b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 WHERE b.e IS NOT NULL AND a.e IS NOT NULL GROUP BY a.row, a.col) SELECT row, col, round(sd, 4) AS spread FROM d")
+@query("W5_gradient_spread", GRAD + ", d AS (SELECT a.row, a.col, stddev_pop(b.e) + stddev_pop(b.n) + stddev_pop((b.n + b.e) / sqrt(2)) + stddev_pop((b.n - b.e) / sqrt(2)) AS sd FROM gr a JOIN gr b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 WHERE b.e IS NOT NULL AND a.e IS NOT NULL GROUP BY a.row, a.col) SELECT row, col, round(sd, 3) AS spread FROM d")
 def _(spark, d):
-    g = grids.gradients(grids.bin_mean(view(spark, d, SP), 2.0)).where("e IS NOT NULL")
-    offsets = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in (-1, 0, 1) for c in (-1, 0, 1)])
-    s = g.withColumn("o", F.explode(offsets)).select((F.col("row") + F.col("o.r")).alias("row"), (F.col("col") + F.col("o.c")).alias("col"), "e", ((F.col("o.r") == 0) & (F.col("o.c") == 0)).alias("own"))
-    return s.groupBy("row", "col").agg(F.stddev_pop("e").alias("spread"), F.max("own").alias("own")).where("own").select("row", "col", F.round("spread", 4).alias("spread"))
+    return rounded(grids.gradient_spread(grids.gradients(grids.bin_mean(view(spark, d, SP), 2.0))), 3)
+
+
+HOLED = BINS + ", h AS (SELECT * FROM cells WHERE (row * 7 + col * 3) % 11 > 4 AND NOT (row BETWEEN 4 AND 6 AND col BETWEEN 4 AND 6)) "
+_FIND = ", ".join(f"sum(CASE WHEN d <= {k} THEN v END) AS s{k}, count(CASE WHEN d <= {k} THEN v END) AS n{k}" for k in range(1, 6))
+_PICK = "CASE " + " ".join(f"WHEN {' + '.join(f'n{i}' for i in range(1, k + 1))} >= {4 if k < 5 else 1} THEN ({' + '.join(f'coalesce(s{i}, 0)' for i in range(1, k + 1))}) / ({' + '.join(f'n{i}' for i in range(1, k + 1))})" for k in range(1, 6)) + " END"
+
+
+def _holed(spark, d):
+    return grids.bin_mean(view(spark, d, SP), 2.0).where("(row * 7 + col * 3) % 11 > 4 AND NOT (row BETWEEN 4 AND 6 AND col BETWEEN 4 AND 6)")
+
+
+@query("W8_fill_near", HOLED + f", e AS (SELECT r.r AS row, c.c AS col FROM (SELECT DISTINCT unnest(range(min(row), max(row) + 1)) AS r FROM h) r, (SELECT DISTINCT unnest(range(min(col), max(col) + 1)) AS c FROM h) c), o AS (SELECT * FROM e ANTI JOIN h USING (row, col)), f AS (SELECT o.row, o.col, {_FIND} FROM o JOIN (SELECT row AS r, col AS c, mean AS v FROM h) ON abs(r - row) <= 5 AND abs(c - col) <= 5 CROSS JOIN LATERAL (SELECT greatest(abs(r - row), abs(c - col)) AS d) GROUP BY o.row, o.col) SELECT CAST(row AS INT) AS row, CAST(col AS INT) AS col, round(mean, 5) AS mean FROM h UNION ALL SELECT CAST(row AS INT), CAST(col AS INT), round({_PICK}, 5) FROM f")
+def _(spark, d):
+    return rounded(grids.fill_near(_holed(spark, d)), 5)
+
+
+_ROUND = ", {b} AS (SELECT * FROM {a} UNION ALL SELECT o.row, o.col, avg(x.mean) FROM (SELECT * FROM e ANTI JOIN {a} USING (row, col)) o JOIN {a} x ON abs(o.row - x.row) <= 1 AND abs(o.col - x.col) <= 1 GROUP BY o.row, o.col)"
+FILLED = HOLED + ", e AS (SELECT r.r AS row, c.c AS col FROM (SELECT DISTINCT unnest(range(min(row), max(row) + 1)) AS r FROM h) r, (SELECT DISTINCT unnest(range(min(col), max(col) + 1)) AS c FROM h) c), f0 AS (SELECT row, col, mean FROM h)" + "".join(_ROUND.format(a=f"f{i}", b=f"f{i + 1}") for i in range(6))
+
+
+@query("W7_fill_holes", FILLED + " SELECT CAST(row AS INT) AS row, CAST(col AS INT) AS col, round(mean, 5) AS mean FROM f6")
+def _(spark, d):
+    return rounded(grids.fill_holes(_holed(spark, d)), 5)
+
+
+@query("W7_simple_gradients", FILLED + """, g AS (SELECT a.row, a.col, a.mean, max(CASE WHEN b.row = a.row AND b.col = a.col - 1 THEN b.mean END) AS l, max(CASE WHEN b.row = a.row AND b.col = a.col + 1 THEN b.mean END) AS r, max(CASE WHEN b.col = a.col AND b.row = a.row - 1 THEN b.mean END) AS u, max(CASE WHEN b.col = a.col AND b.row = a.row + 1 THEN b.mean END) AS dn, max(CASE WHEN b.row = a.row - 1 AND b.col = a.col + 1 THEN b.mean END) AS ur, max(CASE WHEN b.row = a.row + 1 AND b.col = a.col + 1 THEN b.mean END) AS dr FROM f6 a JOIN f6 b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 GROUP BY a.row, a.col, a.mean),
+k AS (SELECT row, col, CASE WHEN l IS NOT NULL AND r IS NOT NULL THEN (r - l) / 4 WHEN l IS NOT NULL THEN (mean - l) / 2 WHEN r IS NOT NULL THEN (r - mean) / 2 ELSE 0 END AS e, CASE WHEN u IS NOT NULL AND dn IS NOT NULL THEN (dn - u) / 4 WHEN u IS NOT NULL THEN (mean - u) / 2 WHEN dn IS NOT NULL THEN (dn - mean) / 2 ELSE 0 END AS n, coalesce((ur - mean) / (2 * sqrt(2)), 0) AS ne, coalesce((dr - mean) / (2 * sqrt(2)), 0) AS se FROM g)
+SELECT CAST(row AS INT) AS row, CAST(col AS INT) AS col, round(e, 4) AS e, round(n, 4) AS n, round(ne, 4) AS ne, round(se, 4) AS se, round(list_aggregate([abs(e), abs(n), abs(ne), abs(se)], 'stddev_pop'), 3) AS spread FROM k""")
+def _(spark, d):
+    g = grids.simple_gradients(grids.fill_holes(_holed(spark, d)), 2.0)
+    return rounded(g.drop("mean", "spread"), 4).join(g.select("row", "col", F.round("spread", 3).alias("spread")), ["row", "col"])
 
 
 FEAT = GRAD + """, z AS (SELECT row, col, mean, coalesce(e, 0) AS e, coalesce(n, 0) AS n FROM gr)
@@ -483,10 +590,62 @@ def _(spark, d):
     return b.select("id", F.round("b.lat", 9).alias("lat"), F.round("b.lon", 9).alias("lon"), F.round("b.height", 4).alias("height"))
 
 
-@query("Q6_gauss_kruger")
+#: the projection by another series: the meridian's arc in powers of the third flattening
+_N = (geo.AXIS_A - geo.AXIS_B) / (geo.AXIS_A + geo.AXIS_B)
+_ARC = f"{geo.AXIS_A / (1 + _N)!r} * ({1 + _N**2 / 4 + _N**4 / 64!r} * b - {1.5 * (_N - _N**3 / 8)!r} * sin(2 * b) + {15 / 16 * (_N**2 - _N**4 / 4)!r} * sin(4 * b) - {35 / 48 * _N**3!r} * sin(6 * b) + {315 / 512 * _N**4!r} * sin(8 * b))"
+
+
+def kruger_sql(table, keep):
+    """keep, north and east of table's lat and lon."""
+    e2 = f"{(geo.AXIS_A**2 - geo.AXIS_B**2) / geo.AXIS_B**2!r}"
+    return f"(SELECT {keep}, arc + nn * t * (a2 / 2 + (5 - t * t + 9 * eta) * a2 * a2 / 24 + (61 - 58 * t * t + t * t * t * t) * a2 * a2 * a2 / 720) AS north, nn * a * (1 + (1 - t * t + eta) * a2 / 6 + (5 - 18 * t * t + t * t * t * t + 14 * eta - 58 * eta * t * t) * a2 * a2 / 120) + 500000 AS east FROM (SELECT *, tan(b) AS t, {e2} * cos(b) * cos(b) AS eta, {geo.AXIS_A**2 / geo.AXIS_B!r} / sqrt(1 + {e2} * cos(b) * cos(b)) AS nn, dl * cos(b) AS a, dl * cos(b) * dl * cos(b) AS a2, CAST({_ARC} AS DOUBLE) AS arc FROM (SELECT *, radians(lat) AS b, radians(lon - (floor(lon / 6) * 6 + 3)) AS dl FROM {table})))"
+
+
+@query("Q6_gauss_kruger", sql(QP) + "SELECT id, round(north, 2) AS x, round(east, 2) AS y FROM " + kruger_sql("query_points", "id"))
 def _(spark, d):
     g = view(spark, d, QP).select("id", geo.gauss_kruger(F.col("lat"), F.col("lon")).alias("g"))
-    return g.select("id", F.round("g.x", 4).alias("x"), F.round("g.y", 4).alias("y"))
+    return g.select("id", F.round("g.x", 2).alias("x"), F.round("g.y", 2).alias("y"))
+
+
+@query("Q5_plane_cartesian", sql(QP) + f"SELECT id, round(6378137.0 / sqrt(1 - {E2} * sin(radians(lat)) * sin(radians(lat))) * cos(radians(lat)) * cos(radians(lon)), 4) AS x, round(6378137.0 / sqrt(1 - {E2} * sin(radians(lat)) * sin(radians(lat))) * cos(radians(lat)) * sin(radians(lon)), 4) AS y FROM query_points")
+def _(spark, d):
+    c = view(spark, d, QP).select("id", geo.to_cartesian(F.col("lat"), F.col("lon")).alias("c"))
+    return c.select("id", F.round("c.x", 4).alias("x"), F.round("c.y", 4).alias("y"))
+
+
+@query("Q8_date_of_decimal_year", "SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS d FROM orders")
+def _(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    return o.select(F.col("o_orderkey").alias("id"), geo.from_decimal_year(geo.decimal_year(F.col("o_orderdate"))).alias("d"))
+
+
+@query("Q15_catmull_rom", sql(SP) + "SELECT id, round(p1 + 0.5 * t * (p2 - p0 + t * (2 * p0 - 5 * p1 + 4 * p2 - p3 + t * (3 * (p1 - p2) + p3 - p0))), 9) AS v FROM (SELECT id, x AS p0, y AS p1, x + y AS p2, x - y AS p3, x / 50 AS t FROM survey_points)")
+def _(spark, d):
+    x, y = F.col("x"), F.col("y")
+    return view(spark, d, SP).select("id", F.round(geo.catmull_rom(x, y, x + y, x - y, x / 50), 9).alias("v"))
+
+
+@query("Q17_z_score", sql(SP) + "SELECT id, round((x - m) / s, 9) AS z, round(lo + (x - lo) / (hi - lo) * (hi - lo), 9) AS back FROM survey_points, (SELECT avg(x) AS m, stddev_pop(x) AS s, min(x) AS lo, max(x) AS hi FROM survey_points)")
+def _(spark, d):
+    p = view(spark, d, SP)
+    m, s = p.agg(F.avg("x"), F.stddev_pop("x")).first()
+    span = surface.normaliser(p, "x")["x"]
+    return p.select("id", F.round(geo.z_score(F.col("x"), F.lit(m), F.lit(s)), 9).alias("z"), F.round(surface.unscaled(surface.scaled(F.col("x"), span), span), 9).alias("back"))
+
+
+@query("Q18_colour_index", sql(SP) + "SELECT id, CAST(trunc((x - lo) / (hi - lo) * 63) AS INT) AS colour, CAST(32 AS INT) AS flat FROM survey_points, (SELECT min(x) AS lo, max(x) AS hi FROM survey_points)")
+def _(spark, d):
+    p = view(spark, d, SP)
+    lo, hi = (F.lit(v) for v in surface.normaliser(p, "x")["x"])
+    return p.select("id", geo.colour_index(F.col("x"), lo, hi, 64).alias("colour"), geo.colour_index(F.col("x"), lo, lo, 64).alias("flat"))
+
+
+@query("Q22_geodesy", sql(QP) + f"""SELECT id, CASE WHEN s < 0 AND t > 0 THEN '-' ELSE '' END || CAST(t // 3600 AS BIGINT) || ',' || CAST(t % 3600 // 60 AS BIGINT) || ',' || CAST(t % 60 AS BIGINT) AS dms, round(CASE WHEN s < 0 THEN -1 ELSE 1 END * t / CAST(3600 AS DOUBLE), 9) AS deg, round(degrees(asin(z / sqrt(p * p + z * z))), 9) AS geocentric, round(sqrt(p * p + z * z), 6) AS r, CAST(floor((lon + 180) / 6) + 1 AS INT) AS zone
+FROM (SELECT id, lat, lon, lat - 17.5 AS s, CAST(round(abs(lat - 17.5) * 3600) AS BIGINT) AS t, (n + 1) * cos(radians(lat)) AS p, (n * (1 - {E2}) + 1) * sin(radians(lat)) AS z FROM (SELECT *, 6378.137 / sqrt(1 - {E2} * sin(radians(lat)) * sin(radians(lat))) AS n FROM query_points))""")
+def _(spark, d):
+    lat, lon = F.col("lat"), F.col("lon")
+    p = view(spark, d, QP).withColumns({"dms": geo.to_dms(lat - 17.5), "s": geo.to_spherical(lat, lon, F.lit(1.0))})
+    return p.select("id", "dms", F.round(geo.from_dms(F.col("dms")), 9).alias("deg"), F.round("s.lat", 9).alias("geocentric"), F.round("s.r", 6).alias("r"), geo.utm_zone(lat, lon)["zone"].alias("zone"))
 
 
 @query("Q8_decimal_year", "SELECT o_orderkey AS id, round(extract(year FROM o_orderdate) + dayofyear(o_orderdate) / CAST(dayofyear(make_date(CAST(extract(year FROM o_orderdate) AS INT), 12, 31)) AS DOUBLE), 9) AS y FROM orders")
@@ -531,10 +690,11 @@ def _(spark, d):
 
 
 # as drawn: the path is thinned first (F15)
-@query("Q21_path_json", "SELECT line_id, count(*) AS n FROM (SELECT user_id % 8 AS line_id FROM events WHERE event_id % 100 = 0) GROUP BY line_id")
+@query("Q21_path_json", "SELECT user_id % 8 AS line_id, event_id AS seq, CAST(CAST(value AS DECIMAL(18,4)) AS DOUBLE) AS v FROM events WHERE event_id % 100 = 0")
 def _(spark, d):
-    t = view(spark, d, ST).where("seq % 100 = 0").groupBy("line_id").agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("seq", F.col("v").cast("double").alias("v")))).alias("path"))).alias("j"))
-    return t.select("line_id", F.size(F.from_json("j", "path array<struct<seq:long,v:double>>")["path"]).cast("long").alias("n"))
+    j = windows.path_json(view(spark, d, ST).where("seq % 100 = 0").withColumn("v", F.col("v").cast("double")))
+    path = F.from_json("path", "path array<struct<seq:long,v:double>>")["path"]
+    return j.select("line_id", F.explode(path).alias("p")).select("line_id", "p.seq", "p.v")
 
 
 @query("Q16_legendre", sql(SP) + "SELECT id, 1.0::DOUBLE AS p0, round(u, 9) AS p1, round((3 * u * u - 1) / 2, 9) AS p2, round((5 * u * u * u - 3 * u) / 2, 9) AS p3 FROM (SELECT id, x / 25 - 1 AS u FROM survey_points)")

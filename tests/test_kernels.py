@@ -89,7 +89,7 @@ def test_models():
     assert m.at(2022.0).g[1, 0] == pytest.approx(-29404.5 + 13.4)
     text = ["  2020.0  TEST  1/1/2020"] + [" ".join(map(str, r)) for r in LOW_DEGREE] + ["9" * 40]
     assert np.allclose(mainfield.read_cof(text).g, m.g)
-    two = mainfield.read_epochs(["   A 2000.0 1 0", "1 0 10 0 0 0", "1 1 2 3 0 0", "   B 2010.0 1 0", "1 0 30 0 1 0", "1 1 2 3 0 0"])
+    two = mainfield.read_epochs(["   A 2000.0 1 0", "1 0 10 0 0 0", "1 1 2 3 0 0", "   B 2010.0 1 0", "1 0 30 0 1 0", "1 1 2 3 0 0"], record=None)
     assert mainfield.choose(two, 2005.0).g[1, 0] == pytest.approx(20) and mainfield.choose(two, 2012.0).g[1, 0] == pytest.approx(32)
     p, d = mainfield.schmidt(8, np.array([0.7]))
     q, _ = mainfield.schmidt(8, np.array([0.7 + 1e-6]))
@@ -122,8 +122,44 @@ def test_filters_along_a_track():
     assert len(s) == 14 and np.abs(np.array([m.value(*p) for p in s[-5:]]) - v[-5:]).mean() < np.abs(np.array([m.value(*p) for p in zip(x + 0.6, y - 0.4, strict=True)]) - v).mean()
 
 
-def test_window_sizes():
-    assert windows.window_size(5000) == 1120 and windows.window_size(100) == 25 and windows.window_size(8) == 5
+def test_window_sizes(spark):
+    from pyspark.sql import functions as F
+
+    got = spark.createDataFrame([(n,) for n in (5000, 1120, 100, 8, 2)], "n long").select(windows.window_size(F.col("n")).alias("w")).collect()
+    assert [r.w for r in got] == [1120, 280, 25, 2, 1]
+
+
+def test_average_by_size_is_the_frame(spark):
+    rows = [(line, i, float((i * 37) % 101)) for line, n in ((1, 3000), (2, 50), (3, 1)) for i in range(n)]
+    got = windows.moving_average_by_size(spark.createDataFrame(rows, "line_id int, seq int, v double"), 200).collect()
+    v = {(a, b): c for a, b, c in rows}
+    for r in got:
+        h = r.window // 2
+        part = [v[r.line_id, k] for k in range(r.seq - h, r.seq + h + 1) if (r.line_id, k) in v]
+        assert abs(r.smooth - sum(part) / len(part)) < 1e-9
+    assert {r.line_id: r.window for r in got} == {1: 200, 2: 12, 3: 1}
+
+
+def test_bicubic_spline_is_the_tensor_product():
+    """Cubic pieces with parabolic ends, met at the nodes and exact for a paraboloid."""
+    rng = np.random.default_rng(1)
+    z = rng.normal(size=(9, 12))
+    f = surface.Bicubic(z, 1.0, -2.0, 0.5, 0.25)
+    i, j = np.mgrid[:9, :12]
+    assert np.allclose(f(1 + j.ravel() * 0.5, -2 + i.ravel() * 0.25), z.ravel())
+    x, y = np.meshgrid(1 + np.arange(12) * 0.5, -2 + np.arange(9) * 0.25)
+    g = surface.Bicubic(2 * x * x - x * y + 3 * y * y + 1, 1.0, -2.0, 0.5, 0.25)
+    a, b = rng.uniform(1, 6.5, 50), rng.uniform(-2, 0, 50)
+    assert np.allclose(g(a, b), 2 * a * a - a * b + 3 * b * b + 1)
+    e = 1e-5  # slopes go on across a node
+    assert np.allclose((f(np.array([3 + e]), np.array([-1.1])) - f(np.array([3.0]), np.array([-1.1]))) / e, (f(np.array([3.0]), np.array([-1.1])) - f(np.array([3 - e]), np.array([-1.1]))) / e, atol=1e-3)
+
+
+def test_map_holes_are_filled():
+    x, y = np.meshgrid(np.arange(6.0), np.arange(5.0))
+    keep = ~((x == 2) & (y == 2))
+    m = navigation.Map(x[keep], y[keep], (x + 10 * y)[keep], 1.0)
+    assert abs(m.z[2, 2] - 22) < 1e-9
 
 
 def test_gauss_kruger_on_the_meridian(spark):
