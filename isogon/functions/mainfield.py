@@ -191,6 +191,11 @@ def main_field(points: DataFrame, models: list[Model], lat: str = "lat", lon: st
     return points.withColumn("field", field(lat, lon, height, year))
 
 
+def single_point(spark, lat: float, lon: float, height: float, year: float) -> DataFrame:
+    """One place as a table for main_field()."""
+    return spark.createDataFrame([(float(lat), float(lon), float(height), float(year))], "lat double, lon double, height double, year double")
+
+
 #: fixed values: uncertainties of the elements in nT and degrees; declination by geo.horizontal_uncertainty
 UNCERTAINTY = {"f": 138.0, "h": 133.0, "x": 137.0, "y": 89.0, "z": 141.0, "incl": 0.20}
 #: fixed value: latitude from which grid north is that of the polar projection

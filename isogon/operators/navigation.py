@@ -42,7 +42,7 @@ def tercom(base: DataFrame, track: DataFrame, radius: float = 9.0, cell: float =
     fine = F.array(*[F.lit(k * refine) for k in range(-round(reach / refine), round(reach / refine) + 1)])
     at = first.select("track_id", F.col("x").alias("fx"), F.col("y").alias("fy"))
     for _ in range(passes):
-        around = best.join(at, "track_id").select("track_id", (F.col("fx") + F.col("dx")).alias("cx"), (F.col("fy") + F.col("dy")).alias("cy"), (F.col("angle") + F.explode(fine)).alias("angle"))
+        around = best.join(at, "track_id").select("track_id", (F.col("fx") + F.col("dx")).alias("cx"), (F.col("fy") + F.col("dy")).alias("cy"), F.explode(F.transform(fine, lambda a: a + F.col("angle"))).alias("angle"))
         new = _best(base, track, first, around, radius, cell, neighbours).select("track_id", F.col("angle").alias("_a"), F.col("msd").alias("_m"))
         both = checkpointed(best.join(new, "track_id").withColumn("_b", F.col("_m") < F.col("msd")))
         best = both.select("track_id", "dx", "dy", F.when(F.col("_b"), F.col("_a")).otherwise(F.col("angle")).alias("angle"), F.least("_m", "msd").alias("msd"))
@@ -163,18 +163,18 @@ def match_tracks(base: DataFrame, track: DataFrame, step: float, method: str) ->
     ship(track.sparkSession)
     margin, tile = 20 * step, 64 * step
     rows = track.select(F.col("track_id").cast("long").alias("track_id"), F.col("seq").cast("long").alias("seq"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("v").cast("double").alias("v"))
-    box = rows.groupBy("track_id").agg((F.min("x") - margin).alias("x0"), (F.max("x") + margin).alias("x1"), (F.min("y") - margin).alias("y0"), (F.max("y") + margin).alias("y1"))
+    box = rows.groupBy(F.col("track_id").alias("track_id")).agg((F.min("x") - margin).alias("x0"), (F.max("x") + margin).alias("x1"), (F.min("y") - margin).alias("y0"), (F.max("y") + margin).alias("y1"))
     for k in "xy":
         box = box.withColumn(f"t{k}", F.explode(F.sequence(F.floor(F.col(f"{k}0") / tile), F.floor(F.col(f"{k}1") / tile))))
     cells = base.groupBy((F.round(F.col("x") / step) * step).alias("x"), (F.round(F.col("y") / step) * step).alias("y")).agg(F.avg("v").cast("double").alias("v"))
     cells = cells.withColumns({f"t{k}": F.floor(F.col(k) / tile) for k in "xy"})
-    near = cells.join(box, ["tx", "ty"]).where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))).select("track_id", "x", "y", "v")
+    near = cells.join(box, ["tx", "ty"]).where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))).select(F.col("track_id").alias("map_of"), F.col("x").alias("mx"), F.col("y").alias("my"), F.col("v").alias("mv"))
 
     def run(g: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("seq")
         if not len(g) or not len(m):
             return g[["track_id", "seq", "x", "y"]].iloc[:0]
-        grid = Map(m["x"].to_numpy(), m["y"].to_numpy(), m["v"].to_numpy(), step)
+        grid = Map(m["mx"].to_numpy(), m["my"].to_numpy(), m["mv"].to_numpy(), step)
         x, y, v = g["x"].to_numpy(float), g["y"].to_numpy(float), g["v"].to_numpy(float)
         if method == "sitan":
             got, g = sitan_track(grid, x, y, v), g.iloc[1:]
@@ -182,7 +182,7 @@ def match_tracks(base: DataFrame, track: DataFrame, step: float, method: str) ->
             got = iccp_track(grid, x, y, v)
         return pd.DataFrame({"track_id": g["track_id"], "seq": g["seq"], "x": got[:, 0], "y": got[:, 1]})
 
-    return rows.groupBy("track_id").cogroup(near.groupBy("track_id")).applyInPandas(run, "track_id long, seq long, x double, y double")
+    return rows.groupBy("track_id").cogroup(near.groupBy("map_of")).applyInPandas(run, "track_id long, seq long, x double, y double")
 
 
 def shifted(track: DataFrame, found: DataFrame) -> DataFrame:

@@ -231,6 +231,18 @@ def by_blocks(points: DataFrame, targets: DataFrame, size: float, halo: float, s
     return targets.join(fit, [F.col(x) == fit.x, F.col(y) == fit.y], "left").select(*[targets[c] for c in targets.columns], "fit") if (x, y) != ("x", "y") else targets.join(fit, ["x", "y"], "left")
 
 
+def fill_by_surface(grid: DataFrame, block: int = 50, halo: int = 10) -> DataFrame:
+    """(row, col, mean, filled): every cell of the grid's extent, those without a row by the
+    local surface through the others around, block by block."""
+    e = grid.agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1")).where("r0 is not null")
+    cells = e.withColumn("row", F.explode(F.sequence("r0", "r1"))).withColumn("col", F.explode(F.sequence("c0", "c1"))).select("row", "col")
+    holes = cells.join(grid.select("row", "col"), ["row", "col"], "left_anti").select(F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"))
+    points = grid.select(F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"), F.col("mean").cast("double").alias("v"))
+    fit = by_blocks(points, holes, float(block), float(halo), solve_local)
+    filled = fit.select(F.col("y").cast("int").alias("row"), F.col("x").cast("int").alias("col"), F.col("fit").alias("mean"), F.lit(True).alias("filled"))
+    return grid.select("row", "col", F.col("mean").cast("double").alias("mean"), F.lit(False).alias("filled")).unionByName(filled)
+
+
 def block_model(blocks: DataFrame, nodes: DataFrame, solve=solve_multiquadric) -> DataFrame:
     """(bi, bj, x, y, fit): each block's points (bi, bj, x, y, v) solved at its own nodes."""
     ship(blocks.sparkSession)
