@@ -72,9 +72,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 def clear(spark: SparkSession) -> None:
     """Remove what this application has put in the shared folder through scratch().
     Frames that read it must not be used afterwards."""
-    sc = spark.sparkContext
-    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/isogon/{sc.applicationId}")
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_root(spark)}/isogon/{spark.sparkContext.applicationId}")
 
 
 def free(name: str, taken: list[str]) -> str:
@@ -90,7 +88,21 @@ def through_table(df: DataFrame, name: str) -> DataFrame:
     there and a lost executor costs no recomputation."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._isogon_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of through_table() that nothing will read any more."""
+    for df in tables:
+        _delete(df.sparkSession, df._isogon_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
