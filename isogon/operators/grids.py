@@ -72,15 +72,17 @@ def box_sums(grid: DataFrame, radius: int, *cols: str) -> DataFrame:
 
 
 def contours(grid: DataFrame, levels: list[float], v: str = "mean") -> DataFrame:
-    """Segments of marching squares, (level, row, col, edge_a, edge_b, ...): the square
-    from (row, col) to the next row and column, edges 0 bottom, 1 right, 2 top, 3 left,
-    crossing places by linear interpolation. Corners come by shifting, not by a self-join."""
+    """Polylines of marching squares, (level, row, col, points): in the square from (row, col)
+    to the next row and column the places where its edges cross the level, in the order of
+    the first row, the next column, the next row, the first column: two, or four at a
+    saddle, by linear interpolation. A corner at the level counts as below. Corners come by
+    shifting, not by a self-join."""
     corners = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in (0, 1) for c in (0, 1)])
     sent = grid.select("row", "col", F.col(v).cast("double").alias("v"), F.explode(corners).alias("o"))
     sq = sent.groupBy((F.col("row") - F.col("o.r")).alias("row"), (F.col("col") - F.col("o.c")).alias("col")).agg(*[F.max(F.when((F.col("o.r") == r) & (F.col("o.c") == c), F.col("v"))).alias(f"c{r}{c}") for r in (0, 1) for c in (0, 1)])
     sq = sq.where("c00 is not null and c01 is not null and c10 is not null and c11 is not null")
     sq = sq.withColumn("level", F.explode(F.array(*[F.lit(float(x)) for x in levels])))
-    at = lambda a, b: F.when((F.col(a) < F.col("level")) != (F.col(b) < F.col("level")), (F.col("level") - F.col(a)) / (F.col(b) - F.col(a)))
+    at = lambda a, b: F.when((F.col(a) <= F.col("level")) != (F.col(b) <= F.col("level")), (F.col("level") - F.col(a)) / (F.col(b) - F.col(a)))
     edges = {"bottom": at("c00", "c01"), "right": at("c01", "c11"), "top": at("c10", "c11"), "left": at("c00", "c10")}
     sq = sq.withColumns(edges)
     points = F.array_compact(F.array(

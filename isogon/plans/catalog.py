@@ -839,16 +839,24 @@ def _grid(spark, d, size=5.0):
     return g.select((F.col("col") * size).alias("x"), (F.col("row") * size).alias("y"), F.col("mean").alias("v"))
 
 
-@query("N3_multiquadric_blocks")
+NODES_5 = BINS.replace("/ 2)", "/ 5)") + "SELECT col * CAST(5 AS DOUBLE) AS x, row * CAST(5 AS DOUBLE) AS y, "
+
+
+@query("N3_multiquadric_blocks", NODES_5 + "round(mean, 4) AS v, true AS near FROM cells")
 def _(spark, d):
+    """The surface goes through its nodes."""
     g = _grid(spark, d)
-    return rounded(surface.by_blocks(g, g.select("x", "y"), 20.0, 5.0, surface.solve_multiquadric), 4)
+    fit = surface.by_blocks(g, g, 20.0, 5.0, surface.solve_multiquadric)
+    return fit.select("x", "y", F.round("v", 4).alias("v"), (F.abs(F.col("fit") - F.col("v")) < 0.01).alias("near"))
 
 
-@query("N5_tension_spline")
+@query("N5_tension_spline", NODES_5.replace("AS x,", "+ 1.25 AS x,").replace("AS y,", "- 0.75 AS y,") + "true AS near FROM cells")
 def _(spark, d):
-    g = _grid(spark, d)
-    return rounded(surface.by_blocks(g, g.select("x", "y"), 20.0, 5.0, surface.solve_tension), 4)
+    """A plane over the table's nodes is kept between them."""
+    g = _grid(spark, d).withColumn("v", F.col("x") * 2 - F.col("y") * 3 + 7)
+    q = g.select((F.col("x") + 1.25).alias("x"), (F.col("y") - 0.75).alias("y"))
+    fit = surface.by_blocks(g, q, 20.0, 5.0, surface.solve_tension)
+    return fit.select("x", "y", (F.abs(F.col("fit") - (F.col("x") * 2 - F.col("y") * 3 + 7)) < 1e-4).alias("near"))
 
 
 @query("N6_local_thin_plate", "SELECT round(x, 6) AS x, round(y, 6) AS y, true AS near FROM (SELECT a.i * CAST(1.7 AS DOUBLE) + 0.3 AS x, b.i * CAST(1.3 AS DOUBLE) + 0.2 AS y FROM range(0, 28) a(i), range(0, 29) b(i))")
@@ -883,14 +891,24 @@ def _(spark, d):
     return rounded(surface.smooth_surface(g, q, nodes=6), 3)
 
 
-@query("N12_continuation")
+FLAT = BINS.replace("/ 2)", "/ 5)") + ", k AS (SELECT max(row) AS r, max(col) AS c FROM cells) SELECT CAST(1 AS BIGINT) AS grid_id, j * CAST(5 AS DOUBLE) AS x, i * CAST(5 AS DOUBLE) AS y, true AS near FROM k, range(0, 100) a(i), range(0, 100) b(j) WHERE i <= r AND j <= c"
+
+
+def _level(spark, d, method):
+    """A field that is the same everywhere is so at every height."""
+    g = _grid(spark, d).select(F.lit(1).alias("grid_id"), "x", "y", F.lit(100.0).alias("v"))
+    out = continuation.continue_grids(g, 1.0, 5.0, 5.0, method)
+    return out.select("grid_id", "x", "y", (F.abs(F.col("value") - 100) < 1e-6).alias("near"))
+
+
+@query("N12_continuation", FLAT)
 def _(spark, d):
-    return rounded(continuation.continue_grids(_grid(spark, d).withColumn("grid_id", F.lit(1)), 1.0, 5.0, 5.0), 4)
+    return _level(spark, d, None)
 
 
-@query("N12_downward")
+@query("N12_downward", FLAT)
 def _(spark, d):
-    return rounded(continuation.continue_grids(_grid(spark, d).withColumn("grid_id", F.lit(1)), 1.0, 5.0, 5.0, "landweber"), 4)
+    return _level(spark, d, "landweber")
 
 
 @query("N12e_accuracy_report", "SELECT part, CAST(500 AS BIGINT) AS n FROM (VALUES ('a'), ('b'), ('a - b')) t(part)")
@@ -922,10 +940,12 @@ def _(spark, d):
     return got.select("gx", "gy", (F.abs(F.col("t") - (F.col("gx") * 2 - F.col("gy") + 10)) < 0.2).alias("near"))
 
 
-@query("N15_support_vectors")
+@query("N15_support_vectors", NODES_5 + "true AS near FROM cells")
 def _(spark, d):
-    g = _grid(spark, d)
-    return rounded(surface.by_blocks(g, g.select("x", "y"), 25.0, 5.0, lambda p, v, q: surface.fit_lssvm(p / 5, v, 2.0, 100.0)(q / 5)), 4)
+    """Equal values everywhere need no support: the bias alone stands."""
+    g = _grid(spark, d).withColumn("v", F.lit(4.5))
+    fit = surface.by_blocks(g, g.select("x", "y"), 25.0, 5.0, lambda p, v, q: surface.fit_lssvm(p / 5, v, 2.0, 100.0)(q / 5))
+    return fit.select("x", "y", (F.abs(F.col("fit") - 4.5) < 1e-8).alias("near"))
 
 
 @query("N16_particle_swarm")
@@ -934,15 +954,24 @@ def _(spark, d):
     return spark.createDataFrame([(s, c, e)], "sigma double, c double, error double")
 
 
-@query("N17_compressive_sensing")
+@query("N17_compressive_sensing", NODES_5 + "CAST(row * 5 // 20 AS BIGINT) AS tile, true AS near FROM cells")
 def _(spark, d):
+    """Two cosines over each tile's points are rebuilt from four in five of them."""
     g = _grid(spark, d).withColumn("tile", (F.col("y") / 20).cast("int"))
-    return rounded(surface.reconstruct_tiles(g, "tile", 0.6, 10), 4)
+    i, n = F.row_number().over(W.partitionBy("tile").orderBy("x", "y")) - 1, F.count("*").over(W.partitionBy("tile"))
+    g = g.withColumn("v", 5 + 3 * F.cos(np.pi * (2 * i + 1) / n))
+    got = surface.reconstruct_tiles(g, "tile", 0.8, 2).join(g.withColumnRenamed("v", "own").select("x", "y", "own"), ["x", "y"])
+    return got.select("x", "y", "tile", (F.abs(F.col("value") - F.col("own")) < 1e-6).alias("near"))
+
 
+_CORNERS = ", s AS (SELECT a.row, a.col, a.mean AS z1, b.mean AS z2, e.mean AS z3, c.mean AS z4, CAST(51000 AS DOUBLE) AS l FROM cells a JOIN cells b ON b.row = a.row AND b.col = a.col + 1 JOIN cells c ON c.row = a.row + 1 AND c.col = a.col JOIN cells e ON e.row = a.row + 1 AND e.col = a.col + 1)"
+_EDGES = " UNION ALL ".join(f"SELECT row, col, {k} AS e, {x} AS x, {y} AS y FROM s WHERE ({p} <= l) <> ({q} <= l)" for k, (p, q, x, y) in enumerate([("z1", "z2", "col + (l - z1) / (z2 - z1)", "CAST(row AS DOUBLE)"), ("z2", "z3", "col + CAST(1 AS DOUBLE)", "row + (l - z2) / (z3 - z2)"), ("z4", "z3", "col + (l - z4) / (z3 - z4)", "row + CAST(1 AS DOUBLE)"), ("z1", "z4", "CAST(col AS DOUBLE)", "row + (l - z1) / (z4 - z1)")]))
 
-@query("N19_contours", BINS + ", sq AS (SELECT a.row, a.col FROM cells a JOIN cells b ON b.row = a.row AND b.col = a.col + 1 JOIN cells c ON c.row = a.row + 1 AND c.col = a.col JOIN cells e ON e.row = a.row + 1 AND e.col = a.col + 1 WHERE NOT (a.mean < 51000 AND b.mean < 51000 AND c.mean < 51000 AND e.mean < 51000) AND NOT (a.mean >= 51000 AND b.mean >= 51000 AND c.mean >= 51000 AND e.mean >= 51000)) SELECT row, col FROM sq")
+
+@query("N19_contours", BINS + _CORNERS + f" SELECT row, col, CAST(row_number() OVER (PARTITION BY row, col ORDER BY e) - 1 AS INT) AS k, round(x, 6) AS x, round(y, 6) AS y FROM ({_EDGES})")
 def _(spark, d):
-    return grids.contours(grids.bin_mean(view(spark, d, SP), 2.0), [51000.0]).select("row", "col")
+    c = grids.contours(grids.bin_mean(view(spark, d, SP), 2.0), [51000.0])
+    return c.select("row", "col", F.posexplode("points").alias("k", "p")).select("row", "col", "k", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
 
 
 # --- complexity, accuracy, navigation
@@ -953,10 +982,15 @@ def _(spark, d):
     return rounded(complexity.complexity(view(spark, d, SP), 2.0, 2).select("row", "col", "complexity", "spacing"), 4)
 
 
-@query("X3_check_lines")
+@query("X3_check_lines", sql(SP) + "SELECT id % 4 AS line_id, true AS offset_near, true AS rmse_near, count(*) AS n FROM survey_points GROUP BY 1")
 def _(spark, d):
-    lines = view(spark, d, SP).select((F.col("id") % 4).alias("line_id"), F.col("id").alias("seq"), "x", "y", "v")
-    return rounded(accuracy.check_lines(_grid(spark, d), lines, 20.0, 5.0, 21), 4)
+    """All survey points as four lines over a plane, each line off it by its own amount."""
+    plane = F.col("x") * 2 - F.col("y") * 3 + 7
+    base = _dense(spark, 21, 26).withColumn("v", plane)
+    line = (F.col("id") % 4).alias("line_id")
+    lines = view(spark, d, SP).select(line, F.col("id").alias("seq"), "x", "y", (plane + F.col("id") % 4 * 3).alias("v"))
+    got = accuracy.check_lines(base, lines, 20.0, 12.0)
+    return got.select("line_id", (F.abs(F.col("offset") - F.col("line_id") * 3) < 0.02).alias("offset_near"), (F.col("rmse") < 0.02).alias("rmse_near"), "n")
 
 
 def _line(spark, d):
@@ -1018,16 +1052,33 @@ def _(spark, d):
     return navigation.tercom(base, path, 3.0, 2.0, angles=[-5.0, 0.0, 5.0], refine=2.5).select("track_id", "dx", "dy", F.round("angle", 6).alias("angle"))
 
 
-@query("V3_kalman_match")
+BOWL = "(x - 20) * (x - 20) / 5 + (y - 15) * (y - 15) / 4"
+
+
+def _bowl(spark, d, field):
+    """The map's cells as a made-up field; each of its rows a track that says where it is with an error."""
+    cells = _grid(spark, d, 1.0).select("x", "y", F.expr(field).cast("double").alias("v"))
+    truth = cells.select(F.col("y").cast("long").alias("track_id"), F.col("x").cast("long").alias("seq"), "x", "y", "v")
+    return cells, truth, truth.withColumns({"x": F.col("x") + 0.6, "y": F.col("y") - 0.4})
+
+
+def _nearer(spark, d, method, field=BOWL):
+    cells, truth, told = _bowl(spark, d, field)
+    got = navigation.track_rms(navigation.match_tracks(cells, told, 1.0, method), truth)
+    return got.select("track_id", (F.col("rms") < 0.52**0.5).alias("nearer"), "n")
+
+
+@query("V3_kalman_match", MAP_ROWS + "true AS nearer, count(*) - 1 AS n FROM cells GROUP BY row HAVING count(*) > 1")
 def _(spark, d):
-    base, path = _tracks(spark, d)
-    return rounded(navigation.match_tracks(base, path, 1.0, "sitan"), 4)
+    return _nearer(spark, d, "sitan")
 
 
-@query("V4_contour_match")
+@query("V4_contour_match", BINS.replace("/ 2)", "/ 1)") + "SELECT count(DISTINCT row) AS tracks, count(*) AS n, true AS most_nearer FROM cells")
 def _(spark, d):
-    base, path = _tracks(spark, d)
-    return rounded(navigation.match_tracks(base, path, 1.0, "iccp"), 4)
+    """Over a map of ridges; contours that run beside each other may mislead a few tracks."""
+    ridges = "10 * sin(x / 3 + y / 7) + 8 * cos(y / 4 - x / 9) + x * 0.3 + y * 0.2"
+    got = _nearer(spark, d, "iccp", ridges)
+    return got.agg(F.count("*").alias("tracks"), F.sum("n").alias("n"), (F.avg(F.col("nearer").cast("double")) >= 0.8).alias("most_nearer"))
 
 
 @query("V5_match_against_truth", BINS.replace("/ 2)", "/ 1)") + ", t AS (SELECT CAST(row AS BIGINT) AS track_id, count(*) AS n FROM cells GROUP BY row) SELECT method, track_id, CASE method WHEN 'raw' THEN round(sqrt(5), 6) WHEN 'tercom' THEN 0 END AS rms, method <> 'raw' AS near, n FROM t, (VALUES ('raw'), ('tercom'), ('iccp')) m(method)")
@@ -1040,10 +1091,13 @@ def _(spark, d):
     return r.select("method", "track_id", F.when(F.col("method") != "iccp", F.round("rms", 6)).alias("rms"), (F.col("rms") < 1).alias("near"), "n")
 
 
-@query("V6_autonav")
+@query("V6_autonav", BINS.replace("/ 2)", "/ 1)") + ", t AS (SELECT CAST(row AS BIGINT) AS track_id, count(*) AS n FROM cells GROUP BY row) SELECT method, track_id, CASE WHEN method = 'sitan' THEN n - 1 ELSE n END AS n, CASE WHEN method = 'tercom' THEN CAST(0 AS DOUBLE) END AS rms FROM t, (VALUES ('tercom'), ('sitan'), ('iccp'), ('iccp_raw')) m(method)")
 def _(spark, d):
     base, path = _tracks(spark, d)
-    return rounded(navigation.autonav(base, path, 1.0, 4.0), 4)
+    truth = path.select("track_id", "seq", (F.col("x") - 2).alias("tx"), (F.col("y") + 1).alias("ty"))
+    got = navigation.autonav(base, path, 1.0, 4.0).join(truth, ["track_id", "seq"])
+    off = F.sqrt(F.avg((F.col("x") - F.col("tx")) ** 2 + (F.col("y") - F.col("ty")) ** 2))
+    return got.groupBy("method", "track_id").agg(F.count("*").alias("n"), off.alias("rms")).withColumn("rms", F.when(F.col("method") == "tercom", F.round("rms", 6)))
 
 
 # --- readers and writers: tables written as text and read back

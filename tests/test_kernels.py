@@ -167,3 +167,55 @@ def test_gauss_kruger_on_the_meridian(spark):
 
     r = spark.range(1).select(geo.gauss_kruger(F.lit(0.0), F.lit(117.0)).alias("a"), geo.gauss_kruger(F.lit(45.0), F.lit(117.0)).alias("b")).first()
     assert abs(r.a.x) < 1e-6 and abs(r.a.y - 500000) < 1e-6 and abs(r.b.x - 4984944.378) < 0.01
+
+
+def test_continuation_report(spark):
+    rng = np.random.default_rng(4)
+    z = rng.normal(size=(9, 11)) * 5 + 100
+    rows = [(1, j * 2.0, i * 1.0, float(z[i, j])) for i in range(9) for j in range(11)]
+    got = {r.part: r for r in continuation.accuracy_report(spark.createDataFrame(rows, "grid_id int, x double, y double, v double"), 0.4, 2.0, 1.0, "tikhonov").collect()}
+    down = continuation.continued(continuation.continued(z, 2.0, 1.0, 0.4), 2.0, 1.0, 0.4, "tikhonov")
+    for part, want in (("a", z), ("b", down), ("a - b", z - down)):
+        r = got[part]
+        assert np.allclose([r.max, r.min, r.mean, r.spread], [want.max(), want.min(), want.mean(), want.std()]) and r.n == 99
+
+
+def test_grid_variation_and_weak_fields(spark):
+    """Beyond 55 degrees the polar grid counts; at a pole nothing has a declination."""
+    from pyspark.sql import functions as F
+
+    p = spark.createDataFrame([(1, 60.0, 20.0), (2, -60.0, 20.0), (3, 30.0, 117.0), (4, 90.0, 10.0)], "id int, lat double, lon double").withColumns({"height": F.lit(0.0), "year": F.lit(2020.0)})
+    got = {r.id: r for r in mainfield.result_table(p, [mainfield.Model(2020.0, LOW_DEGREE)]).collect()}
+    assert abs(got[1].gv - (got[1].decl - 20)) < 1e-9 and abs(got[2].gv - (got[2].decl + 20)) < 1e-9
+    assert abs(got[3].gv - got[3].decl) < 1e-9  # on a central meridian
+    assert got[4].decl is None and got[4].gv is None and got[4].f > 0
+    c = spark.range(1).select(geo.convergence(F.lit(45.0), F.lit(119.0)).alias("a"), geo.utm_zone(F.lit(60.0), F.lit(4.0)).alias("b"), geo.utm_zone(F.lit(75.0), F.lit(10.0)).alias("c"), geo.utm_zone(F.lit(-5.0), F.lit(180.0)).alias("d")).first()
+    assert abs(c.a - 1.4144) < 1e-3 and (c.b.zone, c.c.zone, c.d.zone, c.d.hemisphere) == (32, 33, 1, "S")
+
+
+def test_dms_and_subareas(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([("-0,30,0",), ("10,59,60",), ("12,34,56",), ("x",), (None,)], "t string").select(geo.from_dms(F.col("t")).alias("d")).collect()
+    assert [r.d for r in rows] == [-0.5, None, 12 + 34 / 60 + 56 / 3600, None, None]
+    r = spark.range(1).select(geo.to_dms(F.lit(-0.99999)).alias("a"), geo.to_dms(F.lit(0.0)).alias("b")).first()
+    assert (r.a, r.b) == ("-1,0,0", "0,0,0")
+
+
+def test_far_queries_find_their_nearest(spark):
+    from isogon.operators import joins
+
+    q = spark.createDataFrame([(1, 0.0, 0.0), (2, 1e6, -1e6)], "id int, x double, y double")
+    p = spark.createDataFrame([(i, float(i), 0.0) for i in range(5)], "id int, x double, y double")
+    got = {(r.q_id, r["rank"]): r.p_id for r in joins.nearest(q, p, 2, 0.01).collect()}
+    assert got == {(1, 1): 0, (1, 2): 1, (2, 1): 4, (2, 2): 3}
+    assert joins.nearest(q, p.limit(0), 2, 0.01).count() == 0 and joins.nearest(q.limit(0), p, 2, 0.01).count() == 0
+
+
+def test_random_sample_is_exact(spark):
+    from isogon.operators import filters
+
+    df = spark.range(1000)
+    for n in (1, 3, 7, 1000, 1001):
+        got = [r.id for r in filters.random_sample(df, n, 5).collect()]
+        assert len(got) == len(set(got)) == 1000 // n
