@@ -158,6 +158,47 @@ def test_sharding(spark):
     assert sharding.slots(sharding.write(empty(spark), scratch(spark, "t3"), 4), names).count() == 0
 
 
+def test_sharding_is_the_definition(spark):
+    """Shard, bucket and place of every row by plain Python: chained XXH64 of id, shard and
+    seed, and a shuffle that swaps from the end."""
+    import struct
+
+    import xxhash
+
+    def chained(*parts):
+        h = 42
+        for x in parts:
+            if x is not None:
+                data = x if isinstance(x, bytes) else struct.pack(*x)
+                h = xxhash.xxh64_intdigest(data, h)
+        return h - (1 << 64) if h >> 63 else h
+
+    data = [(i, t) for i, t in enumerate(TEXTS)] + [(None, EN), (None, None), (5, EN), (5, EN)] + [(100 + i, f"text {i} " * 40) for i in range(200)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    shards, seed, most = 3, 11, 8 << 10
+    total = sum(len((t or "").encode()) + 1 for _, t in data)
+    per = -(-total // (shards * most))
+    buckets = {}
+    for i, t in data:
+        key = None if i is None else ("<q", i)
+        s = max((chained(key, ("<i", k), ("<i", seed)), k) for k in range(shards))[1]
+        b = chained(key, None if t is None else t.encode(), ("<i", seed + 1)) % per
+        buckets.setdefault((s, b), []).append((i, t))
+    want, slot = [], dict.fromkeys(range(shards), 0)
+    for s, b in sorted(buckets):
+        rows_ = sorted(buckets[s, b], key=lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or ""))  # nulls last
+        draws = np.random.default_rng([seed, s, b]).random(len(rows_))
+        order = list(range(len(rows_)))
+        for k in range(len(rows_) - 1, 0, -1):
+            j = int(draws[k] * (k + 1))
+            order[k], order[j] = order[j], order[k]
+        for k in order:
+            want.append((*rows_[k], s, slot[s]))
+            slot[s] += 1
+    got = sharding.slots(sharding.write(docs, scratch(spark, "t3b"), shards, bucket_bytes=most))
+    assert rows(got, "doc_id", "text", "_shard", "slot") == Counter(want)
+
+
 def test_fisher_yates_is_uniform():
     rng = np.random.default_rng(1)
     counts = Counter(tuple(sharding.fisher_yates(3, rng)) for _ in range(6000))
@@ -203,6 +244,56 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.predict(table(spark), none).collect()} == {"und"}
 
 
+def splits(word, longest):
+    if not word:
+        yield []
+        return
+    for k in range(1, min(longest, len(word)) + 1):
+        for rest in splits(word[k:], longest):
+            yield [word[:k], *rest]
+
+
+def test_expected_counts_by_all_segmentations():
+    pieces = langid.Pieces(["a", "b", "ab", "ba", "aba", "▁", "▁a"], 3)
+    p = np.random.default_rng(2).random(len(pieces.pieces) + 2)
+    p[pieces.none] = 0
+    at = lambda x: pieces.pieces.index(x) if x in pieces.pieces else pieces.odd if len(x) == 1 else None
+    for words in (["▁abab", "▁xbab"], ["▁aba"]):
+        want, weight = np.zeros(len(p)), np.arange(1, len(words) + 1) * 2.0
+        for w, n in zip(words, weight, strict=True):
+            ways = [[at(x) for x in s] for s in splits(w, 3)]
+            ways = [(s, np.prod(p[s])) for s in ways if None not in s]
+            total = sum(x for _, x in ways)
+            for s, x in ways:
+                np.add.at(want, s, n * x / total)
+        got = langid.expected(pieces.lattice(words), p, weight)
+        assert np.allclose(np.delete(got, pieces.none), np.delete(want, pieces.none))
+
+
+def test_predictions_by_all_segmentations(spark):
+    """The language and score of every text, from the sums over all ways to cut its words."""
+    pieces = langid.Pieces(["a", "b", "c", "ab", "bc", "abc", "▁", "▁a", "▁c"], 3)
+    model = langid.fit({"x": {"ab": 5, "abc": 2, "b": 1}, "y": {"cb": 4, "c": 3, "bca": 2}}, pieces)
+    texts = ["ab ab abc", "c bca", "abc cb c", "B C", "ab\nxyz", "12", "", None, "bcbcbcb a"]
+    at = lambda x: pieces.pieces.index(x) if x in pieces.pieces else pieces.odd if len(x) == 1 else None
+
+    def score(text):
+        words = ["▁" + w for w in (text or "").lower().split()] if re.search("[a-z]", (text or "").lower()) else []
+        if not words:
+            return "und", 0.0
+        logs = np.zeros(2)
+        for w in words:
+            ways = [[at(x) for x in s] for s in splits(w, 3)]
+            logs += np.log(sum(np.prod(model.prob[s], axis=0) for s in ways if None not in s))
+        p = np.exp(logs - logs.max())
+        return "xy"[p.argmax()], p.max() / p.sum()
+
+    got = langid.predict(spark.createDataFrame([(t,) for t in texts], "text string"), model).collect()
+    for r in got:
+        lang, value = score(r.text)
+        assert r.lang_pred == lang and abs(r.score - value) < 1e-9
+
+
 def test_a_very_long_word():
     pieces = langid.Pieces(langid.vocabulary(langid.pieces_path()))
     model = langid.fit({"de": {"hund": 3, "katze": 2}, "en": {"dog": 3, "cat": 2}}, pieces)
@@ -307,6 +398,27 @@ def test_quality(spark):
     assert quality.judged(empty(spark), labels.where("false")).count() == 0
 
 
+def test_verdicts_by_the_rules(spark, sf_mid, monkeypatch):
+    """kept of every document of a table: base rules, then the learned list, in plain Python."""
+    found = []
+    real = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda *a, **k: found.append(real(*a, **k)) or found[-1])
+    got = {r.doc_id: r for r in quality.op6(spark, sf_mid).collect()}
+    docs = spark.read.parquet(f"{sf_mid}/documents.parquet").select("doc_id", "text").collect()
+    rules, bad = found[0].rules, 0
+    assert rules and len(got) == len(docs)
+    for d in docs:
+        m = dict(zip(quality.COUNTS, quality.measure((d.text or "").encode()), strict=True))
+        assert [m[c] for c in quality.COUNTS[:5]] == list(brute_statistics(d.text))
+        failed = m["n_words"] < 10 or 100 * m["n_repeat_words"] > 20 * m["n_words"]
+        x = {n: float(m[a]) if b is None else (m[a] / m[b] if m[b] else 0.0) for n, (a, b) in quality.FEATURES.items()}
+        verdict = any(all((x[t.name] > t.at) == t.above for t in rule) for rule in rules)
+        bad += verdict and not failed
+        r = got[d.doc_id]
+        assert (r.base_failed, r.kept) == (failed, not failed and not verdict)
+    assert bad > 0
+
+
 # --- mixing
 
 
