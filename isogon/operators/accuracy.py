@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isogon.cluster import checkpointed
 from isogon.operators.filters import every_nth, finite, in_box
 from isogon.operators.joins import within
-from isogon.operators.stats import rmse, weighted_rmse
+from isogon.operators.stats import least_spacing, rmse, weighted_rmse
 from isogon.operators.surface import by_blocks, solve_local
 from isogon.operators.windows import moving_average, moving_average_by_size, trend_offset
 
@@ -36,6 +38,36 @@ def check_lines(background: DataFrame, lines: DataFrame, block: float = 5.0, hal
     return trend_offset(both, "t_fit", "t_v", ["line_id"])
 
 
+#: fixed value: metres in a degree
+DEGREE = 111_319.0
+
+
+def sparse_check_lines(classed: DataFrame, lines: DataFrame, block: float = 5.0, halo: float = 2.0, every: int = 5, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """(rmse, n, lines) over lines (line_id, seq, x, y, v) in degrees, weighted by points: each
+    line's every fifth point, in the box if one is given and no further from a point of
+    class 1 than two of these points' least distance in longitude, against the surface
+    through the points of class 1. rmse is NOTHING where no point is left."""
+    spark = lines.sparkSession
+    inside = classed.where(F.col("index") == 1)
+    e = inside.agg(F.min("y"), F.max("y"), F.count("*")).first()
+    none = spark.createDataFrame([(NOTHING, 0, 0)], "rmse double, n long, lines long")
+    if not e[2]:
+        return none
+    turn = math.cos(math.radians((e[0] + e[1]) / 2))
+    step = least_spacing(inside, "x").first()[0]
+    if step is None:
+        return none
+    metres = lambda df: df.withColumns({"_mx": F.col("x") * DEGREE * turn, "_my": F.col("y") * DEGREE})
+    chosen = every_nth(lines, every, "seq", ["line_id"])
+    if box:
+        chosen = in_box(chosen, *box)
+    chosen = within(metres(chosen), metres(inside), step * DEGREE * turn * 2, "_mx", "_my").drop("_mx", "_my")
+    per = checkpointed(check_lines(inside.select("x", "y", "v"), chosen, block, halo))
+    if per.isEmpty():
+        return none
+    return weighted_rmse(per).select("rmse", "n").join(F.broadcast(per.agg(F.count("*").alias("lines"))))
+
+
 NOTHING, NO_SPACING, TOO_FEW = -1.0, -2.0, -3.0
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from isogon.cluster import through_table
 from isogon.functions.geo import line_spacing
-from isogon.operators.grids import bin_mean, box_sums, gradients, grid_over
+from isogon.operators.grids import bin_mean, box_sums, framed_sum, gradients, grid_over
 from isogon.operators.stats import scatter
 from isogon.operators.surface import smooth_surface
 
@@ -34,10 +34,8 @@ def features(grid: DataFrame, radius: int) -> DataFrame:
     g = g.select("row", "col", "_c", *[v.alias(k) for k, v in parts.items()], F.coalesce((F.col("v") - F.col("_r")) ** 2, F.lit(0.0)).alias("dx"), F.col("_r").isNotNull().cast("double").alias("nx"), F.coalesce((F.col("v") - F.col("_b")) ** 2, F.lit(0.0)).alias("dy"), F.col("_b").isNotNull().cast("double").alias("ny"))
     g = box_sums(g, radius, *parts)
     # differences between neighbours inside the square: one step less along their direction
-    along_x, down_x = W.partitionBy("row").orderBy("col").rangeBetween(-radius, radius - 1), W.partitionBy("col").orderBy("row").rangeBetween(-radius, radius)
-    along_y, down_y = W.partitionBy("row").orderBy("col").rangeBetween(-radius, radius), W.partitionBy("col").orderBy("row").rangeBetween(-radius, radius - 1)
-    g = g.withColumns({c: F.sum(c).over(along_x) for c in ("dx", "nx")} | {c: F.sum(c).over(along_y) for c in ("dy", "ny")})
-    g = g.withColumns({c: F.sum(c).over(down_x) for c in ("dx", "nx")} | {c: F.sum(c).over(down_y) for c in ("dy", "ny")})
+    g = g.withColumns({c: framed_sum(c, "row", "col", -radius, radius - 1) for c in ("dx", "nx")} | {c: framed_sum(c, "row", "col", -radius, radius) for c in ("dy", "ny")})
+    g = g.withColumns({c: framed_sum(c, "col", "row", -radius, radius) for c in ("dx", "nx")} | {c: framed_sum(c, "col", "row", -radius, radius - 1) for c in ("dy", "ny")})
     m = F.col("s1") / F.col("k")
     var = F.greatest(F.col("s2") / F.col("k") - m * m, F.lit(0.0))
     fourth = F.col("s4") / F.col("k") - 4 * m * F.col("s3") / F.col("k") + 6 * m * m * F.col("s2") / F.col("k") - 3 * m**4

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -62,13 +62,18 @@ def gradients(grid: DataFrame, v: str = "mean") -> DataFrame:
     return out.withColumn("ne", (F.col("n") + F.col("e")) / 2**0.5).withColumn("se", (F.col("n") - F.col("e")) / 2**0.5)
 
 
+def framed_sum(c: str, by: str, order: str, lo: int, hi: int) -> Column:
+    """The sum of c over the rows of `by` whose order is from lo to hi away: the difference of
+    two sums that only grow, so that a wide frame costs no more than a narrow one."""
+    w = W.partitionBy(by).orderBy(order)
+    return F.sum(c).over(w.rangeBetween(W.unboundedPreceding, hi)) - F.coalesce(F.sum(c).over(w.rangeBetween(W.unboundedPreceding, lo - 1)), F.lit(0.0))
+
+
 def box_sums(grid: DataFrame, radius: int, *cols: str) -> DataFrame:
-    """Sums of cols over the square of 2 radius + 1 cells, as windows first along rows
-    and then along columns; needs every cell of interest to have a row."""
-    along = W.partitionBy("row").orderBy("col").rangeBetween(-radius, radius)
-    grid = grid.withColumns({c: F.sum(c).over(along) for c in cols})
-    down = W.partitionBy("col").orderBy("row").rangeBetween(-radius, radius)
-    return grid.withColumns({c: F.sum(c).over(down) for c in cols})
+    """Sums of cols over the square of 2 radius + 1 cells, first along rows and then along
+    columns; needs every cell of interest to have a row."""
+    grid = grid.withColumns({c: framed_sum(c, "row", "col", -radius, radius) for c in cols})
+    return grid.withColumns({c: framed_sum(c, "col", "row", -radius, radius) for c in cols})
 
 
 def contours(grid: DataFrame, levels: list[float], v: str = "mean") -> DataFrame:

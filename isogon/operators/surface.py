@@ -6,12 +6,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isogon.cluster import ship
+from isogon.cluster import ship, through_table
 from isogon.functions.geo import fusion_weight, legendre
-from isogon.operators.joins import idw, influence
+from isogon.operators.joins import idw, influence, nearest
+from isogon.operators.stats import robust_bounds
 
 MOST_KERNEL = 4_000
 
@@ -35,7 +37,8 @@ def unscaled(c: Column, span: tuple[float, float], symmetric: bool = False) -> C
 
 class Polynomial:
     """Least squares over all monomials of total degree up to cutoff, in coordinates
-    scaled to [0, 1]: product sums in the cluster, one small solve here."""
+    scaled to [0, 1]: sums of products in the cluster, by batches, and one small solve here.
+    Rows with a null count for nothing."""
 
     def __init__(self, cutoff: int = 5, x: str = "x", y: str = "y", v: str = "v"):
         self.cutoff, self.x, self.y, self.v = cutoff, x, y, v
@@ -48,15 +51,29 @@ class Polynomial:
         return [F.pow(a, i) * F.pow(b, j) for i, j in self.powers]
 
     def fit(self, df: DataFrame) -> Polynomial:
+        ship(df.sparkSession)
         self.span = normaliser(df, self.x, self.y)
         a, b, v = scaled(F.col(self.x), self.span[self.x]).alias("a"), scaled(F.col(self.y), self.span[self.y]).alias("b"), F.col(self.v).cast("double").alias("v")
-        # a product of two monomials is a monomial: each sum is taken once
-        most = 2 * self.cutoff
-        sums = df.select(a, b, v).agg(*[F.sum(F.pow("a", F.lit(i)) * F.pow("b", F.lit(j))).alias(f"m{i}_{j}") for i in range(most + 1) for j in range(most + 1 - i)], *[F.sum(F.pow("a", F.lit(i)) * F.pow("b", F.lit(j)) * F.col("v")).alias(f"r{i}_{j}") for i, j in self.powers]).first()
-        if sums["m0_0"] is None:
+        low, high = self.cutoff + 1, 2 * self.cutoff + 1
+
+        def moments(batches):
+            # a product of two monomials is a monomial: each sum is taken once
+            lhs, rhs = np.zeros((high, high)), np.zeros((low, low))
+            for batch in batches:
+                x, y, v = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+                p, q = np.vander(x, high, increasing=True), np.vander(y, high, increasing=True)
+                lhs += p.T @ q
+                rhs += (p[:, :low] * v[:, None]).T @ q[:, :low]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(high * high + low * low)), pa.array(np.concatenate([lhs.ravel(), rhs.ravel()]))], names=["k", "s"])
+
+        rows = df.select(a, b, v).where("a IS NOT NULL AND b IS NOT NULL AND v IS NOT NULL")
+        sums = rows.mapInArrow(moments, "k long, s double").groupBy("k").agg(F.sum("s").alias("s")).orderBy("k").collect()
+        s = np.array([r.s for r in sums])
+        if not len(s) or not s[0]:
             raise ValueError("no points to fit")
-        lhs = np.array([[sums[f"m{i + k}_{j + m}"] for k, m in self.powers] for i, j in self.powers])
-        rhs = np.array([sums[f"r{i}_{j}"] for i, j in self.powers])
+        m, r = s[: high * high].reshape(high, high), s[high * high :].reshape(low, low)
+        lhs = np.array([[m[i + k, j + n] for k, n in self.powers] for i, j in self.powers])
+        rhs = np.array([r[i, j] for i, j in self.powers])
         lhs[np.diag_indices(len(lhs))] += 1e-10 * lhs.diagonal().max()
         self.coefficients = np.linalg.solve(lhs, rhs)
         return self
@@ -231,6 +248,26 @@ def by_blocks(points: DataFrame, targets: DataFrame, size: float, halo: float, s
     return targets.join(fit, [F.col(x) == fit.x, F.col(y) == fit.y], "left").select(*[targets[c] for c in targets.columns], "fit") if (x, y) != ("x", "y") else targets.join(fit, ["x", "y"], "left")
 
 
+def without_outliers(points: DataFrame, v: str = "v", limit: float = 1000.0, width: float = 5.0, fallback: float = 300.0) -> DataFrame:
+    """points whose value lies within `width` deviations (by the median of distances) of the
+    median of the values below limit; within +-fallback where these do not vary."""
+    b = robust_bounds(points, v, limit, width, fallback)
+    still = F.col("mad").isNull() | (F.col("mad") < 1e-10)
+    b = b.select(F.when(still, -fallback).otherwise(F.col("low")).alias("_low"), F.when(still, fallback).otherwise(F.col("high")).alias("_high"))
+    return points.join(F.broadcast(b), F.col(v).cast("double").between(F.col("_low"), F.col("_high"))).drop("_low", "_high")
+
+
+def local_surface(points: DataFrame, targets: DataFrame, size: float, halo: float) -> DataFrame:
+    """targets with fit: the local thin-plate surface through the points that are no outliers;
+    where a block has none around it, the value of the nearest of all points."""
+    clean = without_outliers(points).select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("v").cast("double").alias("v"))
+    fit = through_table(by_blocks(clean, targets, size, halo, solve_local), "local-surface")
+    lost = fit.where(F.col("fit").isNull() | F.isnan("fit")).select("x", "y").distinct().withColumn("id", F.struct("x", "y"))
+    p = clean.groupBy("x", "y").agg(F.avg("v").alias("v")).withColumn("id", F.struct("x", "y"))
+    near = nearest(lost, p, 1, size).join(p.select(F.col("id").alias("p_id"), "v"), "p_id").select(F.col("q_id.x").alias("x"), F.col("q_id.y").alias("y"), F.col("v").alias("_near"))
+    return fit.join(near, ["x", "y"], "left").withColumn("fit", F.when(F.col("fit").isNull() | F.isnan("fit"), F.col("_near")).otherwise(F.col("fit"))).drop("_near")
+
+
 def fill_by_surface(grid: DataFrame, block: int = 50, halo: int = 10) -> DataFrame:
     """(row, col, mean, filled): every cell of the grid's extent, those without a row by the
     local surface through the others around, block by block."""

@@ -874,6 +874,14 @@ def _(spark, d):
     return rounded(surface.by_blocks(g, g.select("x", "y"), 20.0, 5.0, surface.solve_local), 4)
 
 
+@query("N6_outliers", sql(SP) + "SELECT DISTINCT x, y, true AS near FROM survey_points")
+def _(spark, d):
+    """A plane with every eleventh value far off: the surface leaves these out."""
+    p = view(spark, d, SP).select("x", "y").distinct().withColumn("v", F.when(F.xxhash64("x", "y") % 11 == 0, 900.0).otherwise(F.col("x") - F.col("y") * 2 + 20))
+    fit = surface.local_surface(p, p.select("x", "y"), 10.0, 5.0)
+    return fit.select("x", "y", (F.abs(F.col("fit") - (F.col("x") - F.col("y") * 2 + 20)) < 1e-3).alias("near"))
+
+
 @query("N8_smooth_surface", sql(SP) + "SELECT DISTINCT x, y, true AS near FROM survey_points")
 def _(spark, d):
     """A surface of no bends is met where the nodes fall on points, and between them."""
@@ -993,6 +1001,18 @@ def _(spark, d):
     return got.select("line_id", (F.abs(F.col("offset") - F.col("line_id") * 3) < 0.02).alias("offset_near"), (F.col("rmse") < 0.02).alias("rmse_near"), "n")
 
 
+@query("X3_sparse_lines", sql(SP) + ", r AS (SELECT id % 4 AS line_id, row_number() OVER (PARTITION BY id % 4 ORDER BY id) - 1 AS k, x, y FROM survey_points) SELECT 'all' AS way, true AS near, (SELECT count(*) FROM r WHERE k % 5 = 0 AND (x + 0.1 <= 40 OR pow((x + 0.1 - 40) * cos(radians(20)), 2) + pow(y - 2 * round(y / 2), 2) <= pow(4 * cos(radians(20)), 2))) AS n, CAST(4 AS BIGINT) AS lines UNION ALL SELECT 'none', NULL, 0, 0")
+def _(spark, d):
+    """All survey points as four lines off a plane, which is known west of 40 only."""
+    plane = F.col("x") * 2 - F.col("y") * 3 + 7
+    known = _dense(spark, 21, 26).withColumns({"v": plane + F.when(F.col("x") > 40, 500.0).otherwise(0.0), "index": F.when(F.col("x") > 40, 0).otherwise(1)})
+    lines = view(spark, d, SP).withColumn("x", F.col("x") + 0.1).select((F.col("id") % 4).alias("line_id"), F.col("id").alias("seq"), "x", "y", (plane + F.col("id") % 4 * 3).alias("v"))
+    got = accuracy.sparse_check_lines(known, lines, 20.0, 12.0)
+    no = accuracy.sparse_check_lines(known.withColumn("index", F.lit(2)), lines)
+    out = got.select(F.lit("all").alias("way"), (F.col("rmse") < 60).alias("near"), "n", "lines")
+    return out.unionByName(no.select(F.lit("none").alias("way"), F.when(F.col("rmse") >= 0, True).alias("near"), "n", "lines"))
+
+
 def _line(spark, d):
     """One line across a plane, off it by 3 and a wave, and places near part of it."""
     plane = _dense(spark, 21, 26).withColumn("v", F.col("x") * 2 - F.col("y") * 3 + 7)
