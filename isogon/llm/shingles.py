@@ -54,10 +54,9 @@ class Shingles:
         if len(self.words) > self.room or self.held > self.chars:
             self.words, self.held = {}, 0
         known, h = self.words, xxhash.xxh64_intdigest
-        for w in words:
-            if w not in known:
-                known[w] = h(w)
-                self.held += len(w)
+        for w in set(words).difference(known):
+            known[w] = h(w)
+            self.held += len(w)
         hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         size = min(self.shingle, len(words))
         n = len(words) - size + 1
