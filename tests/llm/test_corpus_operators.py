@@ -622,6 +622,15 @@ def test_edits():
         assert substrings.greedy_edits(a, b, most) >= min(levenshtein(a, b), most + 1)
 
 
+def test_minima_of_windows():
+    rng = np.random.default_rng(0)
+    for n in (0, 3, 4, 5, 60):
+        for width in (1, 2, 4, 7, 16):
+            code = rng.permutation(n).astype(np.uint64) + np.uint64(5)
+            want = sorted({a + int(code[a : a + width].argmin()) for a in range(n - width + 1)})
+            assert substrings._minima(code, width).tolist() == want
+
+
 def test_chains_are_optimal():
     from itertools import combinations
 
