@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from isogon.cluster import checkpointed
 
@@ -46,7 +47,8 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, cell: float, q_id: st
     n = points.limit(k).count()
     wide = left.select("qx", "qy").unionAll(p.select("px", "py")).agg(F.greatest(F.max("qx") - F.min("qx"), F.max("qy") - F.min("qy"))).first()[0]
     if not n or wide is None:
-        return left.crossJoin(p.limit(0)).select("q_id", "p_id", F.lit(0.0).alias("d2"), F.lit(0).alias("rank"))
+        kinds = [T.StructField("q_id", left.schema["q_id"].dataType), T.StructField("p_id", p.schema["p_id"].dataType), T.StructField("d2", T.DoubleType()), T.StructField("rank", T.IntegerType())]
+        return queries.sparkSession.createDataFrame([], T.StructType(kinds))
     size = cell
     while True:
         cand = _cells(left, size, "qx", "qy", True).join(_cells(p, size, "px", "py", False), ["_cx", "_cy"])

@@ -142,6 +142,10 @@ def pair_lines(model: Model, name: str, date: str) -> tuple[list[str], list[str]
     return field, change
 
 
+#: fixed value: the line a model begins with in a file of several epochs
+SHDF_HEAD = "%SHDF 16695 Definitive Geomagnetic Reference Field Model Coefficient File"
+
+
 def shdf_lines(models: list[Model], name: str) -> list[str]:
     """Models of several epochs in one file: % keys, # notes, then I,n,m,g,h,gdot,hdot. A
     model ends where the next begins, the last after as long as the one before it."""
@@ -149,7 +153,7 @@ def shdf_lines(models: list[Model], name: str) -> list[str]:
     for i, m in enumerate(models):
         span = models[i + 1].epoch - m.epoch if i + 1 < len(models) else m.epoch - models[i - 1].epoch if i else 5
         keys = {"ModelName": name, "ModelStartYear": int(m.epoch), "ModelEndYear": int(m.epoch) + int(span), "Epoch": f"{m.epoch:.0f}", "IntStaticDeg": m.top, "IntSecVarDeg": m.top, "ExtStaticDeg": 0, "ExtSecVarDeg": 0}
-        out += ["%SHDF 16695 Definitive Geomagnetic Reference Field Model Coefficient File", *(f"%{k}: {v}" for k, v in keys.items()), "# I/E, n, m, Gnm, Hnm, SV-Gnm, SV-Hnm"]
+        out += [SHDF_HEAD, *(f"%{k}: {v}" for k, v in keys.items()), "# I/E, n, m, Gnm, Hnm, SV-Gnm, SV-Hnm"]
         for n, k in _terms(m.top):
             h, hd = (f"{m.h[n, k]:f}", f"{m.hdot[n, k]:f}") if k else ("", "")
             out.append(f"I,{n},{k},{m.g[n, k]:f},{h},{m.gdot[n, k]:f},{hd}")
