@@ -781,8 +781,10 @@ def test_a_passage_runs_on_beyond_the_margin(spark):
     assert got == {(1, 0, 10, 410, 300), (2, 0, 0, 400, 300)}
 
 
-def test_one_seed_in_most_rows(spark):
-    """A passage in every document, its seeds dealt to several tasks."""
+def test_one_seed_in_most_rows(spark, monkeypatch):
+    """A passage in every document, its seeds and the first document's words dealt to several tasks."""
+    real = substrings._aligned
+    monkeypatch.setattr(substrings, "_aligned", lambda *a: real(*a, most=9))
     r = random.Random(13)
     words = lambda n: ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
     shared = words(60)
