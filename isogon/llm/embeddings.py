@@ -11,10 +11,14 @@ so a pair meets once a block. What meets is compared in the block, then over all
 and by the cosine in double precision. A link counts in the first block whose budget it
 keeps.
 
-Cells next to each other form regions, as many as keep about REGION vectors each. A
-vector goes to a region once, for all blocks in which its home or a visit lies there, and
-cells inside a region cost no copies. Regions of over HOME_PART homes or VISIT_PART rows
-are cut into parts. A task gives for each vector the number of links it found and the
+Distances to reference points and inside a cell are matrix products; what these let pass
+is decided row by row. A vector's homes are found once and go with it, so that all tasks
+agree on them.
+
+Cells next to each other form regions, as many as keep about REGION vectors each, or
+WIDE_REGION where there would be over FEW. A vector goes to a region once, for all blocks
+in which its home or a visit lies there, and cells inside a region cost no copies. Regions
+of over HOME_PART homes or VISIT_PART rows are cut into parts. A task gives for each vector the number of links it found and the
 least key of those joined to it, not the links.
 
 Equal vectors are one class (told by two 64-bit hashes and the length) that is joined
@@ -33,8 +37,8 @@ from pyspark.sql import functions as F
 from isogon.cluster import checkpointed, ship, through_table
 from isogon.llm.components import connected_components, spread_join
 
-SLACK = 1e-9
-REGION, HOME_PART, VISIT_PART = 16_384, 32_768, 65_536
+SLACK, SINGLE = 1e-9, 1e-5  # of squared distances, in double and in single precision
+REGION, WIDE_REGION, FEW, HOME_PART, VISIT_PART = 16_384, 32_768, 16, 131_072, 131_072
 
 
 def rotation(dim: int, seed: int) -> np.ndarray:
@@ -65,6 +69,11 @@ def in_regions(points: np.ndarray, regions: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
 
 
+def squared(y: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Squared distances of rows by a matrix product."""
+    return (y * y).sum(1)[:, None] + (p * p).sum(1)[None] - 2 * (y @ p.T)
+
+
 class Cells:
     """The cells of each block."""
 
@@ -78,29 +87,40 @@ class Cells:
             self.points.append(p[order])
             self.region.append(region)
         self.regions = 1 + max(int(r[-1]) for r in self.region)
-        self.apart = [np.sqrt(np.maximum(((p[:, None] - p[None]) ** 2).sum(-1), 1e-300)) for p in self.points]
-
-    def visits(self, x: np.ndarray, b: int) -> tuple[np.ndarray, np.ndarray]:
-        """(home cell, mask of it and the cells before it that are visited) of rotated
-        vectors in block b."""
-        p, y = self.points[b], x[:, self.dims[b]]
-        d = ((y[:, None] - p[None]) ** 2).sum(-1)
-        home = d.argmin(1)
-        over = (d - d[np.arange(len(y)), home][:, None]) / (2 * self.apart[b][home])
-        seen = over <= np.sqrt(self.share[b]) + 1e-6
-        seen[np.arange(len(y)), home] = True
-        return home, seen & (np.arange(len(p))[None] <= home[:, None])
-
-    def placed(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(mask of the regions with a home, mask of the regions with a home or a visit)."""
+        self.within = []
+        for p, share in zip(self.points, self.share, strict=True):
+            apart = np.sqrt(np.maximum(squared(p, p), 0))
+            self.within.append(2 * apart * (np.sqrt(share) + 4e-6) + 1e-7)
+
+    def visits(self, y: np.ndarray, b: int, home: np.ndarray | None = None, cells: slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """(home cell, mask of it and the cells before it that are visited, among those asked
+        for) of rotated vectors' components y of block b. A cell is visited if its bisector with
+        the home lies within the block's radius."""
+        p = self.points[b]
+        if home is None:
+            d = squared(y, p)
+            home = d.argmin(1)
+            least = d[np.arange(len(y)), home]
+            d = d[:, cells]
+        else:
+            d, least = squared(y, p[cells]), ((y - p[home]) ** 2).sum(1)
+        at = np.arange(len(p))[cells]
+        seen = d - least[:, None] <= self.within[b][:, cells][home]
+        return home, (seen | (at[None] == home[:, None])) & (at[None] <= home[:, None])
+
+    def placed(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(home cell in each block, mask of the regions with a home, mask of the regions with a
+        home or a visit)."""
+        cell = np.zeros((len(x), len(self.dims)), np.int32)
         homes, goes = np.zeros((len(x), self.regions), bool), np.zeros((len(x), self.regions), bool)
         for a in range(0, len(x), 512):
-            for b in range(len(self.dims)):
-                home, seen = self.visits(x[a : a + 512], b)
+            for b, dims in enumerate(self.dims):
+                home, seen = self.visits(x[a : a + 512, dims], b)
+                cell[a : a + 512, b] = home
                 homes[np.arange(a, a + len(home)), self.region[b][home]] = True
                 first = np.concatenate([[0], np.flatnonzero(np.diff(self.region[b])) + 1])
                 goes[a : a + 512, : len(first)] |= np.logical_or.reduceat(seen, first, axis=1)
-        return homes, goes
+        return cell, homes, goes
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -149,7 +169,7 @@ def _links(classes: DataFrame, dim: int, kind: str, blocks: int, most_cells: int
     classes = classes.select("key", "mult", "len", F.when(F.size("v") == dim, F.col("v")).otherwise(padded).alias("v"))
     n = classes.count()
     drawn = classes.select("v").orderBy(F.xxhash64("v")).limit(int(min(most_cells, max(16, n**0.5)))).toArrow()
-    made = Cells(unit(matrix(drawn.column("v").combine_chunks(), dim)), rotation(dim, seed), min(blocks, dim), budget, -(-n // REGION))
+    made = Cells(unit(matrix(drawn.column("v").combine_chunks(), dim)), rotation(dim, seed), min(blocks, dim), budget, max(min(FEW, -(-n // REGION)), -(-n // WIDE_REGION)))
     sent = spark.sparkContext.broadcast(made)  # most_cells points and a rotation
     regions = made.regions
 
@@ -157,7 +177,7 @@ def _links(classes: DataFrame, dim: int, kind: str, blocks: int, most_cells: int
         c = sent.value
         home, goes = np.zeros(regions, np.int64), np.zeros(regions, np.int64)
         for batch in batches:
-            h, g = c.placed(rotated(unit(matrix(batch.column(0), dim)), c.rot))
+            _, h, g = c.placed(rotated(unit(matrix(batch.column(0), dim)), c.rot))
             home += h.sum(0)
             goes += g.sum(0)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(regions)), pa.array(home), pa.array(goes)], names=["r", "h", "s"])
@@ -173,7 +193,7 @@ def _links(classes: DataFrame, dim: int, kind: str, blocks: int, most_cells: int
         c = sent.value
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            homes, goes = c.placed(rotated(unit(matrix(batch.column(3), dim)), c.rot))
+            cell, homes, goes = c.placed(rotated(unit(matrix(batch.column(3), dim)), c.rot))
             at, group, role = [], [], []
             for i, r in zip(*(z.tolist() for z in np.nonzero(goes)), strict=True):
                 base, hp, vp = plan[r]
@@ -185,14 +205,15 @@ def _links(classes: DataFrame, dim: int, kind: str, blocks: int, most_cells: int
                         role.append((1 if homes[i, r] and j == p else 0) | (2 if k == q else 0))
             for z in range(0, len(at), 8192):
                 rows = batch.take(pa.array(at[z : z + 8192], pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(group[z : z + 8192], pa.int32()), pa.array(role[z : z + 8192], pa.int8()), *rows.columns], names=["g", "role", "key", "mult", "len", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(group[z : z + 8192], pa.int32()), pa.array(role[z : z + 8192], pa.int8()), pa.FixedSizeListArray.from_arrays(pa.array(cell[at[z : z + 8192]].ravel()), cell.shape[1]).cast(pa.list_(pa.int32())), *rows.columns], names=["g", "role", "home", "key", "mult", "len", "v"])
 
     def compare(group: pa.Table) -> pa.Table:
         c = sent.value
         region = region_of[group.column("g")[0].as_py()]
         role, key, mult, size = (group.column(n).to_numpy() for n in ("role", "key", "mult", "len"))
-        v = unit(matrix(group.column("v").combine_chunks(), dim))
-        x = rotated(v, c.rot)
+        raw = group.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        homes = group.column("home").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(raw), -1)
+        x = np.concatenate([rotated(unit(raw[a : a + 4096].astype(float)), c.rot).astype(np.float32) for a in range(0, len(raw), 4096)])
         found, parent = {}, {}
 
         def root(i: int) -> int:
@@ -202,9 +223,13 @@ def _links(classes: DataFrame, dim: int, kind: str, blocks: int, most_cells: int
             return i
 
         def joined(b: int, i: np.ndarray, j: np.ndarray) -> None:
-            d = (x[i] - x[j]) ** 2
+            at, back = np.unique(np.concatenate([i, j]), return_inverse=True)
+            v = unit(raw[at].astype(float))
+            t = rotated(v, c.rot)
+            p, q = back[: len(i)], back[len(i) :]
+            d = (t[p] - t[q]) ** 2
             inside = np.stack([d[:, dims].sum(1) <= share + SLACK / 2 for dims, share in zip(c.dims, c.share, strict=True)], 1)
-            ok = ((v[i] * v[j]).sum(1) >= threshold) & inside[:, b] & ~inside[:, :b].any(1) & (size[i] == size[j])
+            ok = ((v[p] * v[q]).sum(1) >= threshold) & inside[:, b] & ~inside[:, :b].any(1) & (size[i] == size[j])
             for i1, j1 in zip(key[i[ok]].tolist(), key[j[ok]].tolist(), strict=True):
                 r1, r2 = root(i1), root(j1)
                 if r1 != r2:
@@ -218,27 +243,28 @@ def _links(classes: DataFrame, dim: int, kind: str, blocks: int, most_cells: int
             cells = np.flatnonzero(c.region[b] == region)
             if not len(cells):
                 continue
-            y = np.ascontiguousarray(x[:, c.dims[b]])
-            norm = (y * y).sum(1)
-            home, seen = np.zeros(len(x), np.int64), np.zeros((len(x), len(cells)), bool)
-            for a in range(0, len(x), 512):
-                home[a : a + 512], s = c.visits(x[a : a + 512], b)
-                seen[a : a + 512] = s[:, cells]
+            y, home, span = np.ascontiguousarray(x[:, c.dims[b]]), homes[:, b], slice(cells[0], cells[-1] + 1)
+            norm, one = (y * y).sum(1, keepdims=True), np.ones((len(y), 1), np.float32)
+            # a product of these two gives squared distances
+            left, right = np.hstack([-2 * y, norm, one]), np.hstack([y, one, norm])
+            seen = np.concatenate([c.visits(y[a : a + 4096].astype(float), b, home[a : a + 4096], span)[1] for a in range(0, len(y), 4096)])
             for k, cell in enumerate(cells.tolist()):
                 hs, vs = np.flatnonzero((home == cell) & (role & 1 > 0)), np.flatnonzero(seen[:, k] & (role & 2 > 0))
                 for a in range(0, len(hs), 512):
                     h = hs[a : a + 512]
+                    mine = left[h]
                     for z in range(0, len(vs), 2048):
                         w = vs[z : z + 2048]
-                        near = norm[h][:, None] + norm[w][None] - 2 * (y[h] @ y[w].T) <= c.share[b] + SLACK
-                        near &= (home[w] > cell)[None] | (key[h][:, None] < key[w][None])
-                        p, q = np.nonzero(near)
+                        p, q = np.divmod(np.flatnonzero(mine @ right[w].T <= np.float32(c.share[b] + SINGLE)), len(w))
+                        p, q = h[p], w[q]
+                        once = (home[q] > cell) | (key[p] < key[q])
+                        p, q = p[once], q[once]
                         for s in range(0, len(p), 20_000):
-                            joined(b, h[p[s : s + 20_000]], w[q[s : s + 20_000]])
+                            joined(b, p[s : s + 20_000], q[s : s + 20_000])
         ids = sorted(found)
         return pa.table({"key": pa.array(ids, pa.int64()), "n": pa.array([found[i] for i in ids], pa.int64()), "root": pa.array([root(i) for i in ids], pa.int64())})
 
-    return classes.mapInArrow(deal, f"g int, role byte, key long, mult long, len int, v {kind}").groupBy("g").applyInArrow(compare, "key long, n long, root long")
+    return classes.mapInArrow(deal, f"g int, role byte, home array<int>, key long, mult long, len int, v {kind}").groupBy("g").applyInArrow(compare, "key long, n long, root long")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ rows and clashing column names, against brute force."""
 
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -339,6 +340,30 @@ def test_embeddings(spark, monkeypatch, region, part):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_placing_vectors_in_cells():
+    """Who is near enough to a home vector visits its cell; 4,000 vectors take a second or so
+    (seconds more by differences of all components)."""
+    rng = np.random.default_rng(4)
+    v = embeddings.unit(rng.normal(size=(4000, 64)))
+    v[2000:] = embeddings.unit(v[:2000] + rng.normal(size=(2000, 64)) * 0.03)
+    cells = embeddings.Cells(v[rng.permutation(4000)[:1024]], embeddings.rotation(64, 3), 4, 0.1, 5)
+    x = embeddings.rotated(v, cells.rot)
+    began = time.process_time()
+    home, homes, goes = cells.placed(x)
+    assert time.process_time() - began < 3
+    near = 0
+    for b, dims in enumerate(cells.dims):
+        y = x[:, dims]
+        _, seen = cells.visits(y, b)
+        for i in range(2000):
+            for one, other in ((i, 2000 + i), (2000 + i, i)):
+                if ((y[one] - y[other]) ** 2).sum() <= cells.share[b] and home[one, b] <= home[other, b]:
+                    near += 1
+                    assert seen[other, home[one, b]] and goes[other, cells.region[b][home[one, b]]]
+        assert homes[np.arange(4000), cells.region[b][home[:, b]]].all()
+    assert near > 1000
+
+
 @pytest.mark.parametrize("threshold", [0.95, 0.3])
 def test_embeddings_against_all_pairs(spark, sf_mid, threshold):
     """The whole table; it has links at the lower threshold only."""
