@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from isogon.cluster import checkpointed
+from isogon.cluster import checkpointed, ship
 
 
 def index_lookup(points: DataFrame, grid: DataFrame, key: Column, value: str = "value") -> DataFrame:
@@ -37,34 +41,139 @@ def within(points: DataFrame, others: DataFrame, radius: float, x: str = "x", y:
     return p.join(o, near, "left_semi").drop("_cx", "_cy")
 
 
+#: points a tile of nearest() has in the mean, tiles at most, and queries to a task
+TILE, MOST_TILES, PART = 2048, 8192, 1_000_000
+
+
+def _tiles(x: np.ndarray, y: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """A tree that halves places again and again across their wider side, until it has count
+    leaves or more: (axes 0 or 1, cuts) of its inner nodes in heap order, and its levels."""
+    levels = max(0, int(np.ceil(np.log2(max(1, count)))))
+    axes, cuts, parts = [], [], [np.arange(len(x))]
+    for _ in range(levels):
+        after = []
+        for part in parts:
+            axis = 0 if not len(part) or np.ptp(x[part]) >= np.ptp(y[part]) else 1
+            v = (x, y)[axis][part]
+            cut = float(np.median(v)) if len(part) else 0.0
+            axes.append(axis)
+            cuts.append(cut)
+            after += [part[v < cut], part[v >= cut]]
+        parts = after
+    return np.array(axes, int), np.array(cuts, float), levels
+
+
+def _leaf(tree, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The tile of each place."""
+    axes, cuts, levels = tree
+    at = np.zeros(len(x), np.int64)  # place in the level; the level's nodes begin at 2 ** level - 1
+    for level in range(levels):
+        node = at + 2**level - 1
+        at = 2 * at + (np.where(axes[node] == 0, x, y) >= cuts[node])
+    return at
+
+
 def nearest(queries: DataFrame, points: DataFrame, k: int, cell: float, q_id: str = "id", p_id: str = "id", x: str = "x", y: str = "y") -> DataFrame:
-    """(q_id, p_id, d2, rank): the k nearest points, by distance and then id, exact. The
-    nine cells around a query hold all points within a cell's width: a query whose
-    k-th distance is within it is done, the others go on with cells twice as wide, until
-    one cell is as wide as all places together."""
-    p = points.select(F.col(p_id).alias("p_id"), F.col(x).alias("px"), F.col(y).alias("py"))
-    left, done = queries.select(F.col(q_id).alias("q_id"), F.col(x).alias("qx"), F.col(y).alias("qy")), None
-    n = points.limit(k).count()
-    wide = left.select("qx", "qy").unionAll(p.select("px", "py")).agg(F.greatest(F.max("qx") - F.min("qx"), F.max("qy") - F.min("qy"))).first()[0]
-    if not n or wide is None:
-        kinds = [T.StructField("q_id", left.schema["q_id"].dataType), T.StructField("p_id", p.schema["p_id"].dataType), T.StructField("d2", T.DoubleType()), T.StructField("rank", T.IntegerType())]
-        return queries.sparkSession.createDataFrame([], T.StructType(kinds))
-    size = cell
-    while True:
-        cand = _cells(left, size, "qx", "qy", True).join(_cells(p, size, "px", "py", False), ["_cx", "_cy"])
-        d2 = (F.col("qx") - F.col("px")) ** 2 + (F.col("qy") - F.col("py")) ** 2
-        w = W.partitionBy("q_id").orderBy("d2", "p_id")
-        found = cand.withColumn("d2", d2).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        last = size >= wide
-        sure = found.where((F.col("rank") == n) & (F.col("d2") <= size * size)).select("q_id")
-        part = (found if last else found.join(sure, "q_id", "left_semi")).select("q_id", "p_id", "d2", "rank")
-        done = part if done is None else done.unionAll(part)
-        if last:
-            return done
-        left = checkpointed(left.join(sure, "q_id", "left_anti"))
-        if left.isEmpty():
-            return done
-        size *= 2
+    """(q_id, p_id, d2, rank): the k nearest points, by distance and then id, exact; null and
+    infinite places and NaN count for nothing. A tree over a bounded draw of the places cuts
+    the points into tiles, whose bounds and counts (MOST_TILES at most) go to the queries. A
+    query first goes to the tiles nearest to it that hold k points; what it finds
+    bounds its distance, and it goes to all tiles within it. Of points at one place the
+    k least ids count. `cell`, a width of cells in earlier versions, is not used."""
+    spark = queries.sparkSession
+    ship(spark)
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
+    p = points.select(F.col(p_id).alias("p_id"), F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py")).where(finite("px") & finite("py"))
+    q = queries.select(F.col(q_id).alias("q_id"), F.col(x).cast("double").alias("qx"), F.col(y).cast("double").alias("qy")).where(finite("qx") & finite("qy"))
+    p = p.withColumn("_n", F.row_number().over(W.partitionBy("px", "py").orderBy("p_id"))).where(F.col("_n") <= k).drop("_n")
+    pid, qid = p.schema["p_id"].dataType, q.schema["q_id"].dataType
+    out = T.StructType([T.StructField("q_id", qid), T.StructField("p_id", pid), T.StructField("d2", T.DoubleType()), T.StructField("rank", T.IntegerType())])
+    p = checkpointed(p)
+    n = p.count()
+    if not n:
+        return spark.createDataFrame([], out)
+    want = min(MOST_TILES, -(-n // TILE))
+    drawn = p.select("px", "py").orderBy(F.xxhash64("px", "py")).limit(want * 16).toPandas() if want > 1 else None
+    tree = _tiles(drawn["px"].to_numpy(), drawn["py"].to_numpy(), want) if want > 1 else (np.zeros(0, int), np.zeros(0), 0)
+
+    @F.pandas_udf("long")
+    def tile(px: pd.Series, py: pd.Series) -> pd.Series:
+        return pd.Series(_leaf(tree, px.to_numpy(), py.to_numpy()))
+
+    p = p.withColumn("tile", tile("px", "py"))
+    got = p.groupBy("tile").agg(F.count("*").alias("n"), *[f(c).alias(f"{c}_{f.__name__}") for c in ("px", "py") for f in (F.min, F.max)]).toPandas()
+    sent = spark.sparkContext.broadcast({c: got[c].to_numpy() for c in got.columns})
+
+    def away(qx: np.ndarray, qy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(least, greatest) squared distance of places to the tiles' bounds."""
+        t = sent.value
+        gap = [np.maximum(np.maximum(t[f"{c}_min"] - v[:, None], v[:, None] - t[f"{c}_max"]), 0) for c, v in (("px", qx), ("py", qy))]
+        far = [np.maximum(np.abs(v[:, None] - t[f"{c}_min"]), np.abs(v[:, None] - t[f"{c}_max"])) for c, v in (("px", qx), ("py", qy))]
+        return gap[0] ** 2 + gap[1] ** 2, far[0] ** 2 + far[1] ** 2
+
+    def first(batches):
+        """Queries and the tiles whose farthest corners are nearest, which hold k points together."""
+        t = sent.value
+        for batch in batches:
+            qx, qy = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("qx", "qy"))
+            for a in range(0, len(qx), 256):
+                far = away(qx[a : a + 256], qy[a : a + 256])[1]
+                order = np.argsort(far, axis=1, kind="stable")
+                held = np.cumsum(t["n"][order], axis=1)
+                i, j = np.nonzero(held - t["n"][order] < k)
+                yield _sent(batch, a + i, t["tile"][order[i, j]])
+
+    def rest(batches):
+        """Queries and all tiles within the distance found (none: all tiles)."""
+        t = sent.value
+        for batch in batches:
+            qx, qy, most = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("qx", "qy", "most"))
+            for a in range(0, len(qx), 256):
+                bound = most[a : a + 256, None] * (1 + 1e-9)
+                i, j = np.nonzero(~(away(qx[a : a + 256], qy[a : a + 256])[0] > bound))
+                yield _sent(batch, a + i, t["tile"][j])
+
+    def search(key, asked: pa.Table, held: pa.Table) -> pa.Table:
+        qx, qy, px, py = (t.column(c).to_numpy() for t, c in ((asked, "qx"), (asked, "qy"), (held, "px"), (held, "py")))
+        order = pc.sort_indices(held.column("p_id"), null_placement="at_start").to_numpy()  # ties of distance by id
+        px, py = px[order], py[order]
+        at, whose, d2s = [], [], []
+        step = max(1, 1_000_000 // max(1, len(px)))
+        for a in range(0, len(qx), step):
+            d2 = (qx[a : a + step, None] - px) ** 2 + (qy[a : a + step, None] - py) ** 2
+            bound = np.partition(d2, k - 1, axis=1)[:, k - 1 : k] if len(px) > k else np.full((len(d2), 1), np.inf)
+            i, j = np.nonzero(d2 <= bound)
+            d = d2[i, j]
+            s = np.lexsort((j, d, i))
+            i, j, d = i[s], j[s], d[s]
+            keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+            at.append(a + i[keep])
+            whose.append(order[j[keep]])
+            d2s.append(d[keep])
+        at, whose, d2s = (np.concatenate(v) if v else np.zeros(0, int) for v in (at, whose, d2s))
+        return pa.table({"row": asked.column("row").take(pa.array(at)), "p_id": held.column("p_id").take(pa.array(whose)), "d2": pa.array(d2s, pa.float64())})
+
+    q = checkpointed(q.withColumn("row", F.monotonically_increasing_id()))
+    # the queries of a tile are cut into parts of about PART
+    parts = -(-max(1, q.count()) // PART)
+    part, dealt = F.pmod(F.xxhash64("row"), F.lit(parts)), p.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    spread = "row long, qx double, qy double, tile long"
+    kind = T.StructType([T.StructField("row", T.LongType()), T.StructField("p_id", pid), T.StructField("d2", T.DoubleType())])
+    best = W.partitionBy("row").orderBy("d2", "p_id")
+
+    def found(asked: DataFrame) -> DataFrame:
+        hits = asked.withColumn("part", part).groupBy("tile", "part").cogroup(dealt.groupBy("tile", "part")).applyInArrow(search, kind)
+        return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    spots = q.select("row", "qx", "qy")
+    near = found(spots.mapInArrow(first, spread)).groupBy("row").agg(F.when(F.count("*") >= k, F.max("d2")).alias("most"))
+    done = found(spots.join(near, "row", "left").mapInArrow(rest, spread))
+    return q.select("row", "q_id").join(done, "row").select("q_id", "p_id", "d2", "rank")
+
+
+def _sent(batch: pa.RecordBatch, at: np.ndarray, tile: np.ndarray) -> pa.RecordBatch:
+    rows = batch.select(["row", "qx", "qy"]).take(pa.array(at))
+    return pa.RecordBatch.from_arrays([*rows.columns, pa.array(tile, pa.int64())], names=["row", "qx", "qy", "tile"])
 
 
 def idw(queries: DataFrame, points: DataFrame, k: int, cell: float, power: int = 2, v: str = "v", radius: float | None = None, exact: float = 1e-6, **names) -> DataFrame:

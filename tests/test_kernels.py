@@ -1,10 +1,12 @@
 """Numerical kernels by what must hold of them."""
 
+import time
+
 import numpy as np
 import pytest
 
 from isogon.functions import geo, mainfield
-from isogon.operators import complexity, continuation, navigation, surface, windows
+from isogon.operators import complexity, continuation, joins, navigation, surface, windows
 from isogon.plans.catalog import LOW_DEGREE
 
 RNG = np.random.default_rng(0)
@@ -219,3 +221,20 @@ def test_random_sample_is_exact(spark):
     for n in (1, 3, 7, 1000, 1001):
         got = [r.id for r in filters.random_sample(df, n, 5).collect()]
         assert len(got) == len(set(got)) == 1000 // n
+
+
+def test_nearest_far_from_all_points(spark):
+    """Queries far from a small cloud: what each compares with stays a part of the points."""
+    rng = np.random.default_rng(8)
+    places = np.round(rng.random((30_000, 2)) * 2, 2)  # places twice and more, equal distances
+    asked = np.vstack([rng.random((40, 2)) * 2, rng.random((40, 2)) * 4000 - 2000, [[np.nan, 0.0]]])
+    p = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(places)] + [(-1, None, 0.0)], "id long, x double, y double")
+    q = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(asked)], "id long, x double, y double")
+    began = time.time()
+    got = {(r.q_id, r["rank"]): (r.p_id, r.d2) for r in joins.nearest(q, p, 7, 1e-5).collect()}
+    assert time.time() - began < 60
+    assert len(got) == 80 * 7
+    for i, (a, b) in enumerate(asked[:80]):
+        d2 = (a - places[:, 0]) ** 2 + (b - places[:, 1]) ** 2
+        for k, j in enumerate(np.lexsort((np.arange(len(places)), d2))[:7]):
+            assert got[i, k + 1] == (j, d2[j])
