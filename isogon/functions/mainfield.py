@@ -135,13 +135,16 @@ def schmidt(top: int, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def synthesize(g: np.ndarray, h: np.ndarray, lat: np.ndarray, lon: np.ndarray, height: np.ndarray) -> np.ndarray:
-    """North, east, down in nT at geodetic places (degrees, km over the ellipsoid)."""
+    """North, east, down in nT at geodetic places (degrees, km over the ellipsoid). Latitudes
+    beyond 90 degrees go on along the meridian, beyond the pole; north keeps its sense."""
     phi, lam = np.radians(lat), np.radians(lon)
     e2 = 1 - (MINOR / MAJOR) ** 2
     n = MAJOR / np.sqrt(1 - e2 * np.sin(phi) ** 2)
     rho, z = (n + height) * np.cos(phi), (n * (1 - e2) + height) * np.sin(phi)
     r = np.hypot(rho, z)
-    theta = np.clip(np.arctan2(rho, z), 1e-9, np.pi - 1e-9)  # the poles by their neighbourhood
+    theta = np.arctan2(rho, z)  # under 0 beyond a pole
+    side = np.where(theta < 0, -1.0, 1.0)
+    theta = side * np.clip(np.abs(theta), 1e-9, np.pi - 1e-9)  # the poles by their neighbourhood
     top = g.shape[0] - 1
     p, d = schmidt(top, theta)
     north, east, down = np.zeros_like(r), np.zeros_like(r), np.zeros_like(r)
@@ -214,10 +217,10 @@ RESULT = ["lat", "lon", "height", "year", *(x for f in ("f", "h", "x", "y", "z",
 
 def result_table(points: DataFrame, models: list[Model], lat: str = "lat", lon: str = "lon", height: str = "height", year: str = "year", weak: float = 100.0) -> DataFrame:
     """points' other columns, the 18 columns of RESULT, grid variation gv and gvdot, and the
-    uncertainties u_*. At a pole, and where the horizontal field is under `weak` nT,
+    uncertainties u_*. At a pole (to 1/1000 degree), and where the horizontal field is under `weak` nT,
     declination, its change and what depends on them are null."""
     out = main_field(points, models, lat, lon, height, year)
-    vague = (F.abs(F.col(lat)) >= 90.0 - 1e-3) | (F.col("field.h") < weak)
+    vague = (F.abs(F.pmod(F.col(lat), F.lit(180.0)) - 90.0) <= 1e-3) | (F.col("field.h") < weak)
     of = lambda c: F.when(~vague, F.col(f"field.{c}")) if c in ("decl", "decldot") else F.col(f"field.{c}")
     rest = [c for c in points.columns if c not in (lat, lon, height, year)]
     cols = [F.col(c).alias(n) for c, n in ((lat, "lat"), (lon, "lon"), (height, "height"), (year, "year"))] + [of(c).alias(c) for c in RESULT[4:]]
@@ -244,24 +247,35 @@ def with_crust(core: list[Model], crust: Model, split: int = 15) -> list[Model]:
     return out
 
 
+def curvatures(lat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Radii in km of the ellipsoid's curvature along the meridian and across it."""
+    e2 = 1 - (MINOR / MAJOR) ** 2
+    w = 1 - e2 * np.sin(np.radians(lat)) ** 2
+    return MAJOR * (1 - e2) / w**1.5, MAJOR / np.sqrt(w)
+
+
 def gradients(points: DataFrame, models: list[Model], step_km: float = 0.1, lat: str = "lat", lon: str = "lon", height: str = "height", year: str = "year") -> DataFrame:
     """points with structs d_north, d_east and d_down: the change of north, east and down
-    components in nT a km along these directions, by central differences."""
+    components in nT a km along these directions on the ellipsoid: central differences
+    over step_km, along the parallel the derivative itself."""
     ship(points.sparkSession)
 
     @F.pandas_udf("nx double, ny double, nz double, ex double, ey double, ez double, dx double, dy double, dz double")
     def slope(la: pd.Series, lo: pd.Series, he: pd.Series, ye: pd.Series) -> pd.DataFrame:
         a, b, c, t = (s.to_numpy(float) for s in (la, lo, he, ye))
         out = np.full((9, len(a)), np.nan)
-        turn = np.degrees(step_km / (SPHERE + c))
-        round_ = turn / np.maximum(np.cos(np.radians(a)), 1e-9)
-        zero = np.zeros_like(a)
+        along, across = curvatures(a)
+        turn = np.degrees(step_km / (along + c))
+        cos = np.cos(np.radians(a))
+        radius = (across + c) * np.where(np.abs(cos) < 1e-9, 1e-9, cos)
         for one in np.unique(t[~np.isnan(t)]):
             at, m = t == one, choose(models, one)
-            for k, (da, db, dc) in enumerate(((turn, zero, zero), (zero, round_, zero), (zero, zero, zero - step_km))):
-                up = synthesize(m.g, m.h, (a + da)[at], (b + db)[at], (c + dc)[at])
-                back = synthesize(m.g, m.h, (a - da)[at], (b - db)[at], (c - dc)[at])
+            order = np.arange(m.top + 1)[None]
+            for k, (da, dc) in ((0, (turn, 0.0)), (2, (0.0, -step_km))):
+                up, back = (synthesize(m.g, m.h, (a + sign * da)[at], b[at], (c + sign * dc)[at]) for sign in (1, -1))
                 out[3 * k : 3 * k + 3, at] = (up - back) / (2 * step_km)
+            # in longitude the terms g cos + h sin have the derivatives order * (h cos - g sin)
+            out[3:6, at] = synthesize(order * m.h, -order * m.g, a[at], b[at], c[at]) / radius[at]
         return pd.DataFrame(dict(zip(("nx", "ny", "nz", "ex", "ey", "ez", "dx", "dy", "dz"), out, strict=True)))
 
     got = points.withColumn("_s", slope(lat, lon, height, year))

@@ -238,3 +238,25 @@ def test_nearest_far_from_all_points(spark):
         d2 = (a - places[:, 0]) ** 2 + (b - places[:, 1]) ** 2
         for k, j in enumerate(np.lexsort((np.arange(len(places)), d2))[:7]):
             assert got[i, k + 1] == (j, d2[j])
+
+
+def test_field_beyond_the_pole(spark):
+    """The same place and field, seen with north and east turned about."""
+    at = lambda lat, lon: mainfield.synthesize(m.g, m.h, np.array([lat]), np.array([lon]), np.array([0.5])).ravel()
+    m = mainfield.Model(2020.0, LOW_DEGREE)
+    for lat, lon in ((100.0, 30.0), (-130.0, 10.0), (265.0, 70.0)):
+        assert np.allclose(at(lat, lon) * [-1, -1, 1], at(180.0 - lat, lon + 180.0))
+        assert np.allclose(at(lat + 360, lon), at(lat, lon))
+    p = spark.createDataFrame([(1, 100.0), (2, 90.0), (3, -90.0), (4, 270.0005), (5, 80.0)], "id int, lat double").selectExpr("id", "lat", "30D AS lon", "0.5D AS height", "2020D AS year")
+    assert {r.id for r in mainfield.result_table(p, [m]).where("decl IS NOT NULL").collect()} == {1, 5}
+
+
+def test_gradients_by_small_steps(spark):
+    """Near the pole too, against differences along arcs of the ellipsoid."""
+    m = mainfield.Model(2020.0, LOW_DEGREE)
+    p = spark.createDataFrame([(40.0,), (-70.0,), (89.99,), (95.0,)], "lat double").selectExpr("lat", "30D AS lon", "0.5D AS height", "2020D AS year")
+    for r in mainfield.gradients(p, [m]).collect():
+        along, across = (float(v[0]) + 0.5 for v in mainfield.curvatures(np.array([r.lat])))
+        for got, (da, db), size in ((r.d_north, (1e-3, 0.0), along), (r.d_east, (0.0, 1e-3), across * np.cos(np.radians(r.lat)))):
+            up, back = (mainfield.synthesize(m.g, m.h, np.array([r.lat + s * da]), np.array([30.0 + s * db]), np.array([0.5])).ravel() for s in (1, -1))
+            assert np.allclose([got.x, got.y, got.z], (up - back) / (np.radians(2e-3) * size), rtol=1e-5, atol=1e-3)
