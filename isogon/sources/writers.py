@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import os
+import re
+import zipfile
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +81,40 @@ def listing(spark: SparkSession, path: str, *endings: str) -> list[str]:
     return sorted(n for n in names if not endings or n.endswith(endings))
 
 
+def execute(spark: SparkSession, url: str, *statements: str) -> None:
+    """Statements through the driver's JDBC, each by itself."""
+    link = spark.sparkContext._jvm.java.sql.DriverManager.getConnection(url)
+    try:
+        for text in statements:
+            ask = link.createStatement()
+            ask.execute(text)
+            ask.close()
+    finally:
+        link.close()
+
+
+def sealed(spark: SparkSession, folder: str, path: str) -> str:
+    """A small Derby database in a folder of the driver's, closed and packed for reading only
+    into a file at path, in a file system that all executors mount. Returns its URL: unlike
+    a folder or a database in memory, any number of processes can open it."""
+    at = re.fullmatch(r"(?:file:(?://)?)?(/.*)", path)
+    if not at:
+        raise ValueError(f"{path} is not in a mounted file system")
+    try:
+        spark.sparkContext._jvm.java.sql.DriverManager.getConnection(f"jdbc:derby:{folder};shutdown=true").close()
+    except Py4JJavaError as e:  # Derby reports the end as an exception
+        if e.java_exception.getSQLState() != "08006":
+            raise
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for top, _, names in os.walk(folder):
+            for name in sorted(names):
+                if not name.endswith(".lck"):
+                    z.write(os.path.join(top, name), os.path.join("db", os.path.relpath(os.path.join(top, name), folder)))
+    put(spark, path, data.getvalue())
+    return f"jdbc:derby:jar:({at[1]})db"
+
+
 class Catalogue:
     """Changes to a catalogue table in a database: they wait until submit(), which makes
     all of them in one transaction or none; cancel() forgets them. Values are parameters

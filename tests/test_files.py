@@ -1,5 +1,8 @@
 """Readers on the file shapes they accept, and writers read back."""
 
+import os
+import subprocess
+import sys
 import pytest
 
 from isogon.sources import readers, writers
@@ -141,3 +144,18 @@ def test_borders_colours_images_and_projects(spark, put, tmp_path):
     writers.copy(spark, f"file://{tmp_path}/c.rgb", f"file://{tmp_path}/project/c.txt")
     writers.put(spark, f"file://{tmp_path}/project/d.dat", b"1")
     assert writers.listing(spark, f"file://{tmp_path}/project", ".txt", ".dat") == ["c.txt", "d.dat"]
+
+
+def test_database_on_several_processes(tmp_path):
+    """Executors that are not the driver read the queries' databases."""
+    run = f"""
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1").config("spark.checkpoint.dir", "file://{tmp_path}").getOrCreate()
+from isogon.plans import catalog
+for name in ("S17_database", "K10_catalogue_changes"):
+    print(name, catalog.QUERIES[name](s, "/root/testdata/sf0.001").count())
+s.stop()
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    got = subprocess.run([sys.executable, "-c", run], cwd=tmp_path, env={**os.environ, "PYTHONPATH": root}, capture_output=True, text=True, timeout=180)
+    assert [x for x in got.stdout.splitlines() if x.startswith(("S17", "K10"))] == ["S17_database 25", "K10_catalogue_changes 25"], got.stderr[-2000:]
