@@ -65,6 +65,15 @@ def to_geodetic(x: Column, y: Column, z: Column, rounds: int = 6) -> Column:
     return F.struct(F.degrees(lat).alias("lat"), F.degrees(F.atan2(y, x)).alias("lon"), (p / F.cos(lat) - n).alias("height"))
 
 
+def in_turn_of(lat: Column, lon: Column, near_lat: Column, near_lon: Column) -> Column:
+    """Struct lat, lon: of all degrees that name this place, also by whole turns and beyond a
+    pole, those nearest to the latitude and longitude given."""
+    turned = lambda v, near: v + 360 * F.round((near - v) / 360)
+    a, b = turned(lat, near_lat), turned(180 - lat, near_lat)
+    over = F.abs(b - near_lat) < F.abs(a - near_lat)
+    return F.struct(F.when(over, b).otherwise(a).alias("lat"), turned(F.when(over, lon + 180).otherwise(lon), near_lon).alias("lon"))
+
+
 def gauss_kruger(lat: Column, lon: Column) -> Column:
     """Struct x (north), y (east + 500 km) in the 6-degree zone of lon: the usual
     series, meridian arc to the eighth power and offsets to the sixth."""

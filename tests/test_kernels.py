@@ -260,3 +260,13 @@ def test_gradients_by_small_steps(spark):
         for got, (da, db), size in ((r.d_north, (1e-3, 0.0), along), (r.d_east, (0.0, 1e-3), across * np.cos(np.radians(r.lat)))):
             up, back = (mainfield.synthesize(m.g, m.h, np.array([r.lat + s * da]), np.array([30.0 + s * db]), np.array([0.5])).ravel() for s in (1, -1))
             assert np.allclose([got.x, got.y, got.z], (up - back) / (np.radians(2e-3) * size), rtol=1e-5, atol=1e-3)
+
+
+def test_places_in_the_turn_of_others(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(50.0, -170.0, 50.0, 190.0), (85.0, 30.0, 95.0, 210.0), (-50.0, 10.0, -50.0, 10.0), (-80.0, 20.0, 260.0, 560.0), (10.0, 180.0, 10.0, -180.0)]
+    df = spark.createDataFrame(rows, "lat double, lon double, near_lat double, near_lon double")
+    got = df.select("near_lat", "near_lon", geo.in_turn_of(F.col("lat"), F.col("lon"), F.col("near_lat"), F.col("near_lon")).alias("t")).collect()
+    want = {(50.0, 190.0): (50.0, 190.0), (95.0, 210.0): (95.0, 210.0), (-50.0, 10.0): (-50.0, 10.0), (260.0, 560.0): (260.0, 560.0), (10.0, -180.0): (10.0, -180.0)}
+    assert {(r.near_lat, r.near_lon): (r.t.lat, r.t.lon) for r in got} == want
