@@ -135,7 +135,10 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, cell: float, q_id: st
 
     def search(key, asked: pa.Table, held: pa.Table) -> pa.Table:
         qx, qy, px, py = (t.column(c).to_numpy() for t, c in ((asked, "qx"), (asked, "qy"), (held, "px"), (held, "py")))
-        order = pc.sort_indices(held.column("p_id"), null_placement="at_start").to_numpy()  # ties of distance by id
+        ids = held.select(["p_id"])
+        while any(pa.types.is_struct(t) for t in ids.schema.types):
+            ids = ids.flatten()
+        order = pc.sort_indices(ids, sort_keys=[(c, "ascending") for c in ids.column_names], null_placement="at_start").to_numpy()  # ties of distance by id
         px, py = px[order], py[order]
         at, whose, d2s = [], [], []
         step = max(1, 1_000_000 // max(1, len(px)))
