@@ -816,3 +816,51 @@ def test_one_seed_in_most_rows(spark, monkeypatch):
     docs = table(spark, [(i, " ".join(words(20) + shared + words(20))) for i in range(120)])
     got = {(f.id, f.other_id, f.start, f.end) for f in substrings.passages(docs, deal=10).collect()}
     assert got == {(i, 0, 20, 80) for i in range(1, 120)}
+
+
+@pytest.mark.parametrize("regular", [False, True])
+def test_no_passage_at_the_threshold_is_lost(spark, regular):
+    """Passages of 50 words of which ten differ, and of 90 of which 18 do, in 40 pairs each: all are found."""
+    r = random.Random(14)
+    words = lambda n: ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    docs = []
+    for size in [50] * 40 + [90] * 40:
+        passage = words(size)
+        at = range(2, size, 5) if regular else r.sample(range(1, size - 1), size // 5)
+        other = [words(1)[0] if i in at else w for i, w in enumerate(passage)]
+        i = len(docs)
+        docs += [(i, " ".join(words(60) + passage + words(70))), (i + 1, " ".join(words(30) + other + words(40)))]
+    found = substrings.passages(table(spark, docs)).collect()
+    assert all(f.id == f.other_id + 1 and f.share >= 0.8 - 1e-9 and f.end - f.start >= 50 for f in found)
+    assert {f.id for f in found} == set(range(1, 160, 2))
+
+
+def test_a_first_occurrence_hides_no_passage(spark):
+    """Document 0 has each four words in a row of every passage, and in documents 1 and 2 each 40, but
+    no passage; the others share passages, equal and edited, and are linked all the same."""
+    r = random.Random(15)
+    words = lambda n: ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    pieces, longer, docs = [], [[], []], []
+    for i in range(10):
+        passage = words(60)
+        for a in range(57):
+            pieces += passage[a : a + 4] + words(1)
+        for a in (0, 20):
+            longer[a > 0] += passage[a : a + 40] + words(30)
+        other = [words(1)[0] if i % 2 and a % 6 == 5 and a < 59 else w for a, w in enumerate(passage)]
+        docs += [(10 + 2 * i, " ".join(words(30) + passage + words(30))), (11 + 2 * i, " ".join(words(20) + other + words(50)))]
+    docs += [(0, " ".join(pieces)), (1, " ".join(longer[0])), (2, " ".join(longer[1]))]
+    found = {(f.id, f.other_id) for f in substrings.passages(table(spark, docs)).collect()}
+    assert found == {(11 + 2 * i, 10 + 2 * i) for i in range(10)}
+
+
+def test_equal_runs_in_many_documents(spark):
+    """Seeds of more documents than are compared in pairs: runs of 50 equal words are found though
+    the first documents have 49 of them at most."""
+    r = random.Random(16)
+    words = lambda n: ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    shared = words(98)
+    docs = [(i, " ".join(words(20) + shared[49 * (i % 2) :][:49] + words(20))) for i in range(40)]
+    docs += [(100 + i, " ".join(words(20) + shared[24:74] + words(20))) for i in range(3)] + [(200, " ".join(shared[24:74])), (300, " ".join(shared[24:74]))]
+    found = {(f.id, f.start, f.end) for f in substrings.passages(table(spark, docs), full=4).collect()}
+    assert found == {(101, 20, 70), (102, 20, 70), (200, 0, 50), (300, 0, 50)}
