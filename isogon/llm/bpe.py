@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isogon.cluster import ship
+from isogon.cluster import CACHES, ship, tidy
 
 NONE = np.int32(1 << 30)
 #: Where a split of a text before a space could fall inside a run of white space.
@@ -248,6 +248,7 @@ def decode(tokens: list[bytes], ids: Iterable[int]) -> bytes:
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
+CACHES.append(_ENCODERS)
 
 
 def encoder(path: str, pattern: str) -> Encoder:
@@ -288,7 +289,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             flat = pa.array(np.concatenate(got) if got else np.zeros(0, np.int32))
             yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["id", "ids"])
 
-    return _rows(docs, id_col, text_col).mapInArrow(run, "id long, ids array<int>").withColumnRenamed("id", id_col)
+    return _rows(docs, id_col, text_col).mapInArrow(tidy(run, _ENCODERS), "id long, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode_ids(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -318,7 +319,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                 b.append(hashlib.sha256(decode(enc.replay.token, got.tolist())).hexdigest())
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return _rows(docs, id_col, text_col).mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return _rows(docs, id_col, text_col).mapInArrow(tidy(run, _ENCODERS), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
 def production(docs: DataFrame) -> DataFrame:

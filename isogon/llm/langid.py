@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from isogon.cluster import ship
+from isogon.cluster import CACHES, ship, tidy
 
 START = "▁"
 STRETCH = 256
@@ -239,6 +239,7 @@ class Scorer:
 
 #: The last scorer of this worker, with the words it has met.
 _SCORERS: dict[str, Scorer] = {}
+CACHES.append(_SCORERS)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -271,7 +272,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run, _SCORERS), schema)
 
 
 def held_out(id_col: str | Column = "doc_id", folds: int = 5) -> Column:

@@ -36,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from isogon.cluster import free, ship, through_table
+from isogon.cluster import free, ship, through_table, tidy
 
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15
@@ -103,7 +103,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(no, pa.int32()), pa.array(hs, pa.int64()), pa.array(size, pa.int32())], names=["id", "sig", "no", "h", "size"])
 
     place = [T.StructField("id", kind), T.StructField("sig", T.LongType()), T.StructField("no", T.IntegerType()), T.StructField("h", T.LongType())]
-    first = rows.mapInArrow(hashed, T.StructType([*place, T.StructField("size", T.IntegerType())]))
+    first = rows.mapInArrow(tidy(hashed), T.StructType([*place, T.StructField("size", T.IntegerType())]))
     known = through_table(first.groupBy("h", "size").agg(F.min(F.struct("id", "sig", "no")).alias("first"), F.count("*").alias("n")).where("n > 1"), "line-repeats")
     total, keys = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     deal = max(deal, -(-total // 2048))
@@ -134,7 +134,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
             at = pa.array(where, pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(no, pa.int32()), pa.array(hs, pa.int64()), pa.array(raws, pa.binary()), pa.array(salts, pa.int32())], names=["id", "sig", "no", "h", "raw", "salt"])
 
-    again = rows.mapInArrow(bytes_of, T.StructType([*place, T.StructField("raw", T.BinaryType()), T.StructField("salt", T.IntegerType())])).withColumn("size", F.octet_length("raw"))
+    again = rows.mapInArrow(tidy(bytes_of), T.StructType([*place, T.StructField("raw", T.BinaryType()), T.StructField("salt", T.IntegerType())])).withColumn("size", F.octet_length("raw"))
     most = F.max("n").over(W.partitionBy("h")) if parts else F.col("n")  # sizes that share a hash share its parts
     salted = known.withColumn("parts", F.when(most > deal, F.ceil(most / deal)).otherwise(1).cast("int"))
     found = through_table(again.join(salted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("n"), ["h", "size", "salt"]), "line-chunks")
@@ -178,7 +178,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
             yield pa.RecordBatch.from_arrays([*cols, *(pa.array(c, pa.int32()) for c in counts)], names=[*names, *added])
 
     schema = T.StructType([*(T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType) for f in docs.schema.fields), *(T.StructField(c, T.IntegerType()) for c in added)])
-    return joined.mapInArrow(rebuild, schema)
+    return joined.mapInArrow(tidy(rebuild), schema)
 
 
 ADDED = ["_chunks", "_lines", "_removed_chunks", "_removed_lines"]

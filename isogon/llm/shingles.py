@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isogon.cluster import free, ship, through_table
+from isogon.cluster import free, ship, through_table, tidy
 from isogon.llm import simhash
 from isogon.llm.components import connected_components
 from isogon.llm.substrings import _board, _hits
@@ -127,14 +127,14 @@ def links_of(rows: DataFrame, nodes: DataFrame, shingle: int, least: float, most
             b = b.filter(pa.array(_hits(named.value, b.column(1).to_numpy(zero_copy_only=False), size)))
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([find.of(t).tobytes() for t in b.column(2).to_pylist()], pa.binary())], names=["sig", "raw"])
 
-    found = through_table(rows.mapInArrow(sets, "sig long, raw binary").dropDuplicates(["sig"]), "shingle-sets")
+    found = through_table(rows.mapInArrow(tidy(sets), "sig long, raw binary").dropDuplicates(["sig"]), "shingle-sets")
     a, b = found.select(F.col("sig").alias("src"), F.col("raw").alias("ra")), found.select(F.col("sig").alias("dst"), F.col("raw").alias("rb"))
 
     def verified(batches):
         for b in batches:
             yield b.select(["src", "dst"]).filter(pa.array([alike(_set(x), _set(y), least) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_()))
 
-    near = pairs.join(a, "src").join(b, "dst").select("src", "dst", "ra", "rb").mapInArrow(verified, "src long, dst long")
+    near = pairs.join(a, "src").join(b, "dst").select("src", "dst", "ra", "rb").mapInArrow(tidy(verified), "src long, dst long")
 
     def grouped(batches):
         key, groups = None, []
@@ -157,7 +157,7 @@ def links_of(rows: DataFrame, nodes: DataFrame, shingle: int, least: float, most
                 groups = [*apart, joined]
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 
-    star = many.join(found, "sig").select("key", "sig", "raw").repartition("key").sortWithinPartitions("key", "sig").mapInArrow(grouped, "src long, dst long")
+    star = many.join(found, "sig").select("key", "sig", "raw").repartition("key").sortWithinPartitions("key", "sig").mapInArrow(tidy(grouped), "src long, dst long")
     return near.unionAll(star)
 
 
@@ -176,7 +176,7 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.fromiter((simhash.simhash(t, shingle) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64)), pa.array([keys(find.of(t)) for t in texts], pa.list_(pa.int64()))], names=["id", "sig", "fp", "keys"])
 
-    table = through_table(rows.mapInArrow(sketched, "id long, sig long, fp long, keys array<long>"), "shingles")
+    table = through_table(rows.mapInArrow(tidy(sketched), "id long, sig long, fp long, keys array<long>"), "shingles")
     nodes = table.select("sig", "fp", "keys").dropDuplicates(["sig"])
     roots = connected_components(links_of(rows, nodes, shingle, least, most)).withColumnsRenamed({"id": "sig"})
     first = table.groupBy("sig").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("f"))

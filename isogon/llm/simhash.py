@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isogon.cluster import checkpointed, ship, through_table
+from isogon.cluster import checkpointed, ship, through_table, tidy
 from isogon.llm.components import connected_components, spread_join
 
 MAX_BITS = 2
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
-    return rows.mapInArrow(run, "id long, fp long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(run), "id long, fp long").withColumnRenamed("id", id_col)
 
 
 def _signed(x: int) -> int:
@@ -171,7 +171,7 @@ def similar_links(fps: DataFrame, seed: int = 7) -> DataFrame:
         if len(rest_key):
             yield linked(rest_key, rest_fp)
 
-    return met.select("key", "fp").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "src long, dst long")
+    return met.select("key", "fp").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(tidy(run), "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:

@@ -77,3 +77,15 @@ def test_near_duplicates_with_repeated_and_null_ids(spark):
     got = corpus_pipeline.near_duplicates(spark, docs, "")
     assert got.columns == docs.columns
     assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == [(0, "only here"), (1, a), (1, b)]
+
+
+def test_workers_keep_one_stage_only():
+    """A stage's words go when another stage's function begins in the same worker, not its own."""
+    from isogon import cluster
+    from isogon.llm import bpe, langid
+
+    bpe._ENCODERS["a", "b"], langid._SCORERS["c"] = "encoder", "scorer"
+    assert list(cluster.tidy(lambda batches: batches, bpe._ENCODERS)([1, 2])) == [1, 2]
+    assert bpe._ENCODERS and not langid._SCORERS
+    assert list(cluster.tidy(iter)([3])) == [3]
+    assert not bpe._ENCODERS
