@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -864,3 +865,50 @@ def test_equal_runs_in_many_documents(spark):
     docs += [(100 + i, " ".join(words(20) + shared[24:74] + words(20))) for i in range(3)] + [(200, " ".join(shared[24:74])), (300, " ".join(shared[24:74]))]
     found = {(f.id, f.start, f.end) for f in substrings.passages(table(spark, docs), full=4).collect()}
     assert found == {(101, 20, 70), (102, 20, 70), (200, 0, 50), (300, 0, 50)}
+
+
+def test_seeds_of_blocks_are_those_of_texts():
+    """Many texts at once have the seeds that the definition gives for each of them."""
+    r = random.Random(17)
+    seps = [" ", "\n", "\t\x0b", "  ", "\r\x0c"]
+    texts = ["", " ", "A b", "of " * 70, "\xa0 é " * 45, "x" * 700 + " " + "of the " * 50]
+    texts += ["".join(r.choice("abAB") + r.choice(seps) for _ in range(r.randrange(30, 90))) + r.choice(["", " ", "end"]) for _ in range(60)]
+    find = substrings.Seeds(4, 1, 16, 50, 0.8)
+    known = {}
+    for most in (1, 300, 1 << 19):
+        at = 0
+        for i, data, bounds in substrings._blocks(pa.array([t.encode() for t in ["cut off", *texts]], pa.binary())[1:], most):
+            assert i == at
+            at += len(bounds) - 1
+            hashes, place, code, text, start, end = find.codes(data, bounds)
+            words = [t.encode().lower().split() for t in texts[i:at]]
+            assert len(hashes) == sum(map(len, words))
+            assert all(known.setdefault(w, h) == h for w, h in zip((w for t in words for w in t), hashes.tolist(), strict=True))
+            want = [(j, tuple(t[a : a + 4])) for j, t in enumerate(words) if len(t) >= 40 for a in range(len(t) - 3)]
+            assert text.tolist() == [j for j, _ in want]
+            assert all(known.setdefault(w, c) == c for (_, w), c in zip(want, code.tolist(), strict=True))
+            assert all((text[a:z] == text[a]).all() and (z == len(text) or text[z] != text[a]) for a, z in zip(start.tolist(), end.tolist(), strict=True))
+        assert at == len(texts)
+    assert len(set(known.values())) == len(known)
+
+
+def test_common_seeds_near_a_match_count_where_both_have_them(spark):
+    """Seeds of many documents beside one of two: they make up for missing ones only in a pair that has
+    the same ones. Passages are found that have common phrases in them, and pairs with unlike ones not aligned."""
+    r = random.Random(18)
+    words = lambda n: ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    phrases = [words(10) for _ in range(4)]
+    docs = [(1000 * p + i, " ".join(words(30) + phrases[p] + words(30))) for p in range(4) for i in range(30)]
+    asked = []
+    for i in range(20):
+        passage = [w for p in phrases for w in [*p, *words(4)]][:-4]
+        docs += [(9000 + 4 * i, " ".join(words(20) + passage + words(20))), (9001 + 4 * i, " ".join(words(9) + passage + words(60)))]
+        own = words(5)
+        docs += [(9002 + 4 * i, " ".join(words(20) + phrases[0] + own + words(40))), (9003 + 4 * i, " ".join(words(20) + phrases[2] + own + words(40)))]
+    real = substrings._aligned
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(substrings, "_aligned", lambda rows, found, *a: asked.extend((c.sig, c.osig) for c in found.collect()) or real(rows, found, *a))
+        found = {(f.id, f.other_id) for f in substrings.passages(table(spark, docs)).collect()}
+    assert {(9001 + 4 * i, 9000 + 4 * i) for i in range(20)} <= found
+    sig = {s.doc_id: s.s for s in table(spark, docs).selectExpr("doc_id", "xxhash64(doc_id, text) AS s").collect()}
+    assert not {(sig[9003 + 4 * i], sig[9002 + 4 * i]) for i in range(20)} & set(asked)
