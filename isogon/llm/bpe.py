@@ -23,6 +23,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -182,12 +183,13 @@ class Encoder:
         import regex
 
         self.replay, self.find, self.room, self.chars = MergeReplay(ranks), regex.compile(pattern).findall, room, chars
+        self.number = [str(i) for i in range(len(self.replay.token))]
         self.clear()
 
     def clear(self) -> None:
         self.head: dict[str, int] = {}  # units as they stand
         self.tail: dict[str, int] = {}  # units after a space
-        self.flat, self.start, self.text, self.held = np.zeros(0, np.int32), np.zeros(1, np.int64), [], 0
+        self.flat, self.start, self.held = np.zeros(0, np.int32), np.zeros(1, np.int64), 0
 
     def units(self, text: str) -> tuple[list[str], list[str]]:
         if _RUN.search(text):
@@ -196,7 +198,7 @@ class Encoder:
         return ([first] if first else []), rest
 
     def learn(self, docs: list[tuple[list[str], list[str]]]) -> None:
-        if len(self.text) > self.room or self.held > self.chars:
+        if len(self.start) > self.room or self.held > self.chars:
             self.clear()
         head = dict.fromkeys(u for h, _ in docs for u in h if u not in self.head)
         tail: dict[str, None] = {}
@@ -213,14 +215,11 @@ class Encoder:
         seq = np.fromiter((w for s in split for w in s), np.int64)
         flat, lens = gather(ids, offsets[:-1], np.diff(offsets), seq)
         per = np.add.reduceat(np.append(lens, 0), np.minimum(np.cumsum([0, *map(len, split)])[:-1], len(lens))) * np.array([bool(s) for s in split])
-        base = len(self.text)
+        base = len(self.start) - 1
         self.head.update(zip(head, range(base, base + len(head)), strict=True))
         self.tail.update(zip(tail, range(base + len(head), base + len(units)), strict=True))
-        ends = np.cumsum(per)
-        whole = flat.tolist()
-        self.text += [",".join(map(str, whole[a:b])) for a, b in zip((ends - per).tolist(), ends.tolist(), strict=True)]
         self.flat = np.concatenate([self.flat, flat])
-        self.start = np.concatenate([self.start, self.start[-1] + ends])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(per)])
 
     def at(self, units: tuple[list[str], list[str]]) -> list[int]:
         head, tail = units
@@ -258,19 +257,21 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _ENCODERS[path, pattern]
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, step: int = 8 << 20) -> Iterator[tuple[pa.Array, list, Encoder]]:
-    """(id column, [positions of each document's units], encoder), bounded in text."""
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, step: int = 2 << 20) -> Iterator[tuple[pa.Array, list, Encoder]]:
+    """(id column, [positions of each document's units], encoder), for `step` bytes of text
+    at a time or one text: a step's words and the arrays of their replay are what a worker
+    holds beside the cache."""
     enc = encoder(path, pattern)
     for b in batches:
-        texts, at = [x or "" for x in b.column(1).to_pylist()], 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= step):
-                size += len(texts[end])
-                end += 1
-            units = [enc.units(t) for t in texts[at:end]]
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(ends):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + step, side="right")))
+            units = [enc.units(t or "") for t in b.column(1).slice(at, end - at).to_pylist()]
             enc.learn(units)
-            yield b.column(0).slice(at, end - at), [enc.at(u) for u in units], enc
+            places = [enc.at(u) for u in units]
+            del units
+            yield b.column(0).slice(at, end - at), places, enc
             at = end
 
 
@@ -313,10 +314,10 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         for ids, docs_at, enc in _encoded(batches, path, pattern):
             n, a, b = [], [], []
             for at in docs_at:
-                got = enc._many(np.array(at, np.int64)) if at else np.zeros(0, np.int32)
+                got = enc._many(np.array(at, np.int64)).tolist() if at else []
                 n.append(len(got))
-                a.append(hashlib.sha256(",".join(map(enc.text.__getitem__, at)).encode()).hexdigest())
-                b.append(hashlib.sha256(decode(enc.replay.token, got.tolist())).hexdigest())
+                a.append(hashlib.sha256(",".join(map(enc.number.__getitem__, got)).encode()).hexdigest())
+                b.append(hashlib.sha256(decode(enc.replay.token, got)).hexdigest())
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return _rows(docs, id_col, text_col).mapInArrow(tidy(run, _ENCODERS), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

@@ -625,6 +625,24 @@ def test_bpe_round_trip(spark):
     assert bpe.production(empty(spark)).count() == 0
 
 
+def test_bpe_bounds_what_a_worker_holds():
+    """Of a batch of 8 MB of rare words only some MB are laid out at a time (the whole batch at once: 174 MB)."""
+    import tracemalloc
+
+    r, path = random.Random(5), P.path("byte_bpe_multi_50k.tiktoken")
+    words = ["".join(r.choices("abcdefghijklmnop", k=8)) for _ in range(150_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(450)), pa.array([" ".join(r.choices(words, k=2000)) for _ in range(449)] + [None])], names=["id", "t"])
+    enc, sizes = bpe.encoder(path, P.PATTERN), []
+    enc.clear()
+    tracemalloc.start()
+    for ids, at, _ in bpe._encoded(iter([batch]), path, P.PATTERN):
+        sizes.append(len(ids))
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    enc.clear()
+    assert sum(sizes) == 450 and peak < 135 and len(sizes) > 1, (sizes, peak)
+
+
 # --- substring dedup
 
 
