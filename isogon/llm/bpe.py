@@ -306,12 +306,12 @@ def decode_ids(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: s
     return rows.mapInArrow(run, "id long, data binary").withColumnRenamed("id", id_col)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", step: int = 2 << 20) -> DataFrame:
     """(id_col, n_tokens, ids_sha256, decoded_sha256): encode() and decode_ids() in
     one pass, with digests in place of the ids and bytes."""
 
     def run(batches):
-        for ids, docs_at, enc in _encoded(batches, path, pattern):
+        for ids, docs_at, enc in _encoded(batches, path, pattern, step):
             n, a, b = [], [], []
             for at in docs_at:
                 got = enc._many(np.array(at, np.int64)).tolist() if at else []
@@ -323,11 +323,12 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     return _rows(docs, id_col, text_col).mapInArrow(tidy(run, _ENCODERS), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
-def production(docs: DataFrame) -> DataFrame:
+def production(docs: DataFrame, step: int = 2 << 20) -> DataFrame:
     import public_tokenizers
 
-    return round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, step=step)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
-    return production(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    # larger steps take less time; beside other stages a worker has no room for them
+    return production(spark.read.parquet(f"{sf_dir}/documents.parquet"), 8 << 20)
