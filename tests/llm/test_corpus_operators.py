@@ -930,3 +930,25 @@ def test_common_seeds_near_a_match_count_where_both_have_them(spark):
     assert {(9001 + 4 * i, 9000 + 4 * i) for i in range(20)} <= found
     sig = {s.doc_id: s.s for s in table(spark, docs).selectExpr("doc_id", "xxhash64(doc_id, text) AS s").collect()}
     assert not {(sig[9003 + 4 * i], sig[9002 + 4 * i]) for i in range(20)} & set(asked)
+
+
+def test_the_bit_map_grows_with_the_hashes(spark):
+    """At 6 GB some 160 million hashes repeat, of which a map of 2 ** 28 bits tells little: most of it is set."""
+    assert all(2 ** substrings._bits(n) >= 8 * n for n in (0, 1000, 7_588_330, 33_000_000, 160_000_000, 2_000_000_000))
+    assert 2 ** substrings._bits(7_588_330) == 1 << 28
+
+
+def test_what_all_tasks_get_may_be_a_file(spark, monkeypatch):
+    """Bit maps and numbers of documents sent as files give the same passages, with null ids and equal ones too."""
+    r = random.Random(19)
+    words = lambda n: ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    passages = [words(60) for _ in range(5)]
+    docs = table(spark, [(None if i == 3 else i // 2, " ".join(words(20) + passages[i % 5] + words(20))) for i in range(40)])
+    want = sorted(substrings.passages(docs).collect(), key=str)
+    asked = []
+    real = substrings.SparkFiles
+    monkeypatch.setattr(substrings, "LARGE", 0)
+    monkeypatch.setattr(substrings._Sent, "send", lambda self, f=substrings._Sent.send: asked.append(self.name) or f(self))
+    got = sorted(substrings.passages(docs).collect(), key=str)
+    assert got == want and len(got) == 5 * 28
+    assert len(asked) == 2 and all(real.get(n) for n in asked)
