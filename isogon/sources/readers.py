@@ -127,14 +127,16 @@ def survey_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def model_queries(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, year, reference, height_km, lat, lon, ok): five fields, the height with its
-    unit in front: K as it is, M times 1000, F by 3280.0839895."""
+    """(line_no, year, reference, height_km, lat, lon, read, ok): five fields, the height with its
+    unit in front: K as it is, M times 1000, F by 3280.0839895. read: whether the line has this
+    form; ok: whether its height, latitude and longitude are in range too."""
     df = lines(spark, path).where("trim(value) <> ''").withColumn("f", F.split(F.trim("value"), " +"))
     unit, h = F.substring(F.get("f", F.lit(2)), 1, 1), F.substring(F.get("f", F.lit(2)), 2, 40).try_cast("double")
     height = F.when(unit == "K", h).when(unit == "M", h * 1000).when(unit == "F", h / 3280.0839895)
     at = lambda i: F.get("f", F.lit(i)).try_cast("double")
-    ok = (F.size("f") == 5) & at(0).isNotNull() & F.get("f", F.lit(1)).isin("E", "M") & height.isNotNull() & at(3).between(-90, 90) & at(4).between(-180, 180)
-    return df.select("line_no", at(0).alias("year"), F.get("f", F.lit(1)).alias("reference"), height.alias("height_km"), at(3).alias("lat"), at(4).alias("lon"), F.coalesce(ok, F.lit(False)).alias("ok"))
+    read = F.coalesce((F.size("f") == 5) & at(0).isNotNull() & F.get("f", F.lit(1)).isin("E", "M") & height.isNotNull() & at(3).isNotNull() & at(4).isNotNull(), F.lit(False))
+    ok = read & height.between(-9999.9999, 9999.9999) & at(3).between(-90, 90) & at(4).between(-180, 180)
+    return df.select("line_no", at(0).alias("year"), F.get("f", F.lit(1)).alias("reference"), height.alias("height_km"), at(3).alias("lat"), at(4).alias("lon"), read.alias("read"), F.coalesce(ok, F.lit(False)).alias("ok"))
 
 
 def complexity_file(spark: SparkSession, path: str, synonyms: dict[str, str]) -> DataFrame:

@@ -159,3 +159,11 @@ s.stop()
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     got = subprocess.run([sys.executable, "-c", run], cwd=tmp_path, env={**os.environ, "PYTHONPATH": root}, capture_output=True, text=True, timeout=180)
     assert [x for x in got.stdout.splitlines() if x.startswith(("S17", "K10"))] == ["S17_database 25", "K10_catalogue_changes 25"], got.stderr[-2000:]
+
+
+def test_model_query_lines_out_of_range(spark, put):
+    """Lines of the right form are read whatever their numbers; those out of range, heights included, are not ok."""
+    text = "2021 E K1 30 180\n2021 E K1 30 180.03\n2021 E K1 90.5 110\n2021 E M9 30 110\n2021 E M10 30 110\n2021 E K-10000 30 110\n2021 E X1 30 110\n2021 E K1 30 east\n"
+    got = readers.model_queries(spark, put("r.txt", text)).orderBy("line_no").collect()
+    assert [(r.read, r.ok) for r in got] == [(True, True), (True, False), (True, False), (True, True), (True, False), (True, False), (False, False), (False, False)]
+    assert [(r.height_km, r.lat, r.lon) for r in got[1:3]] == [(1.0, 30.0, 180.03), (1.0, 90.5, 110.0)]
